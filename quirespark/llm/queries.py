@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokenfiles
+from . import bpe, fingerprints, guesscost, media, tokenfiles
 from .common import documents, python_path
 
 
@@ -19,6 +19,18 @@ def _text(path: str) -> str:
         return f.read()
 
 
+def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_and_next(documents(spark, sf_dir))
+
+
+def op2_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(documents(spark, sf_dir))
+
+
+def op5_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guesscost.span_digests(guesscost.scan(documents(spark, sf_dir)))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digests(documents(spark, sf_dir), _text(tokenizer("word_bpe_49k.json")), 2)
 
@@ -30,7 +42,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN))
 
 
-QUERIES = {"op9_token_files": op9_token_files, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    "op1_edit_fingerprints": op1_edit_fingerprints,
+    "op2_media_archives": op2_media_archives,
+    "op5_guess_cost_secrets": op5_guess_cost_secrets,
+    "op9_token_files": op9_token_files,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
 
 
