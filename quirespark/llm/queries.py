@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, guesscost, media, mixing, tokenfiles
+from . import bpe, fingerprints, guesscost, langid, media, mixing, tokenfiles
 from .common import documents, python_path
 
 
@@ -35,6 +35,10 @@ def op5_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guesscost.span_digests(guesscost.scan(documents(spark, sf_dir)))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digests(documents(spark, sf_dir), _text(tokenizer("word_bpe_49k.json")), 2)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_media_archives": op2_media_archives,
     "op4_fair_mix": op4_fair_mix,
     "op5_guess_cost_secrets": op5_guess_cost_secrets,
+    "op7_language": op7_language,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
