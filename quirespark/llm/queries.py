@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, guesscost, langid, media, mixing, tokenfiles
+from . import bpe, debruijn, fingerprints, guesscost, langid, media, mixing, tokenfiles
 from .common import documents, python_path
 
 
@@ -27,6 +27,10 @@ def op2_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(documents(spark, sf_dir))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removal_digests(debruijn.without_repeats(documents(spark, sf_dir)))
+
+
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_edit_fingerprints": op1_edit_fingerprints,
     "op2_media_archives": op2_media_archives,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_fair_mix": op4_fair_mix,
     "op5_guess_cost_secrets": op5_guess_cost_secrets,
     "op7_language": op7_language,
