@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, fingerprints, guesscost, langid, media, mixing, tokenfiles
+from . import bpe, debruijn, fingerprints, guesscost, jaccard, langid, media, mixing, tokenfiles
 from .common import documents, python_path
 
 
@@ -39,6 +39,10 @@ def op5_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guesscost.span_digests(guesscost.scan(documents(spark, sf_dir)))
 
 
+def op6_shingle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.document_groups(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_repeated_passages": op3_repeated_passages,
     "op4_fair_mix": op4_fair_mix,
     "op5_guess_cost_secrets": op5_guess_cost_secrets,
+    "op6_shingle_groups": op6_shingle_groups,
     "op7_language": op7_language,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
