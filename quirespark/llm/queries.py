@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, fingerprints, guesscost, jaccard, langid, media, mixing, tokenfiles
+from . import bpe, debruijn, fingerprints, guesscost, jaccard, langid, lines, media, mixing, tokenfiles
 from .common import documents, python_path
 
 
@@ -47,6 +47,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(documents(spark, sf_dir))
 
 
+def op8_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digests(documents(spark, sf_dir), _text(tokenizer("word_bpe_49k.json")), 2)
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_guess_cost_secrets": op5_guess_cost_secrets,
     "op6_shingle_groups": op6_shingle_groups,
     "op7_language": op7_language,
+    "op8_near_lines": op8_near_lines,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
