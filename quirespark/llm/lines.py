@@ -101,8 +101,9 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc, text_hash, at, line, id)`` of the lines that count; ``id`` is a 64-bit hash of the line."""
-    docs = df.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
-    return docs.where(F.length("line") >= SHORTEST).withColumn("id", F.xxhash64("line"))
+    docs = df.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.split(F.col(text_col), "\n").alias("lines"))
+    each = docs.select("doc", "text_hash", F.posexplode("lines").alias("at", "line"))  # apart: else every line would hash the whole text
+    return each.where(F.length("line") >= SHORTEST).withColumn("id", F.xxhash64("line"))
 
 
 def repeated_lines(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
