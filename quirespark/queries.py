@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import files, geometry, headings, text
@@ -13,11 +13,20 @@ from .operators import layout as L
 from .operators import progress as P
 from .operators import styles
 from .operators.blocks import joined_blocks, markdown_blocks
-from .plans import pages, translate, views
+from .plans import convert, packages, pages, translate, views
+from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-W, H = F.lit(float(views.WIDTH)), F.lit(float(views.HEIGHT))
+
+
+def W() -> Column:
+    return F.lit(float(views.WIDTH))
+
+
+def H() -> Column:
+    return F.lit(float(views.HEIGHT))
+
 
 
 def query(sql: str | None = None):
@@ -61,7 +70,7 @@ IN_ORDER = "ORDER BY band, bar, segment, col, y0, x0, item_no"
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.without_margins(views.blocks(spark, sf_dir), H)
+    return L.without_margins(views.blocks(spark, sf_dir), H())
 
 
 # --- margins and reading order ---------------------------------------------
@@ -69,27 +78,27 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {B} SELECT doc_id, line_no, {MARGIN} AS is_margin FROM blocks")
 def margin_filter(spark, sf_dir):
-    return views.blocks(spark, sf_dir).select("doc_id", "line_no", geometry.is_margin(F.col("text"), F.col("y0"), F.col("y1"), H).alias("is_margin"))
+    return views.blocks(spark, sf_dir).select("doc_id", "line_no", geometry.is_margin(F.col("text"), F.col("y0"), F.col("y1"), H()).alias("is_margin"))
 
 
 @query(f"{KEYS} SELECT doc_id, line_no, CAST(segment AS BIGINT) AS segment FROM keys")
 def vertical_segments(spark, sf_dir):
-    return L.reading_keys(kept(spark, sf_dir), W).select("doc_id", "line_no", F.col("segment").cast("long").alias("segment"))
+    return L.reading_keys(kept(spark, sf_dir), W()).select("doc_id", "line_no", F.col("segment").cast("long").alias("segment"))
 
 
 @query(f"{KEYS} SELECT doc_id, line_no, CAST(band AS BIGINT) AS band, CAST(bar AS BIGINT) AS bar FROM keys")
 def column_bands(spark, sf_dir):
-    return L.reading_keys(kept(spark, sf_dir), W).select("doc_id", "line_no", F.col("band").cast("long").alias("band"), F.col("bar").cast("long").alias("bar"))
+    return L.reading_keys(kept(spark, sf_dir), W()).select("doc_id", "line_no", F.col("band").cast("long").alias("band"), F.col("bar").cast("long").alias("bar"))
 
 
 @query(f"{KEYS} SELECT doc_id, line_no, split_x, CAST(col AS BIGINT) AS col FROM keys")
 def column_split_x(spark, sf_dir):
-    return L.reading_keys(kept(spark, sf_dir), W).select("doc_id", "line_no", "split_x", F.col("col").cast("long").alias("col"))
+    return L.reading_keys(kept(spark, sf_dir), W()).select("doc_id", "line_no", "split_x", F.col("col").cast("long").alias("col"))
 
 
 @query(f"{KEYS} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, page_no {IN_ORDER}) AS position FROM keys")
 def reading_order(spark, sf_dir):
-    return L.reading_order(kept(spark, sf_dir), W).select("doc_id", "line_no", F.col("position").cast("long").alias("position"))
+    return L.reading_order(kept(spark, sf_dir), W()).select("doc_id", "line_no", F.col("position").cast("long").alias("position"))
 
 
 @query(
@@ -98,7 +107,7 @@ pg AS (SELECT doc_id, page_no, trim(string_agg(text, chr(10) || chr(10) {IN_ORDE
 SELECT doc_id, string_agg('<!-- page ' || page_no || ' -->' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY page_no) AS markdown FROM pg WHERE text <> '' GROUP BY doc_id"""
 )
 def page_markdown_fast(spark, sf_dir):
-    return pages.fast(views.blocks(spark, sf_dir), W, H)
+    return pages.fast(views.blocks(spark, sf_dir), W(), H())
 
 
 # --- body size and block statistics ----------------------------------------
@@ -108,7 +117,7 @@ BODY = "body AS (SELECT doc_id, page_no, coalesce(median(size) FILTER (WHERE len
 
 @query(f"WITH {B}, {BODY} SELECT * FROM body")
 def body_font_size(spark, sf_dir):
-    return L.body_sizes(views.blocks(spark, sf_dir), H).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "body_size")
+    return L.body_sizes(views.blocks(spark, sf_dir), H()).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "body_size")
 
 
 def spanned(spark, sf_dir):
@@ -190,7 +199,7 @@ def region_boxes(spark, sf_dir):
     r = views.regions(spark, sf_dir)
     most = {"x0": 600, "y0": 842, "x1": 600, "y1": 842}
     cut = r.select("doc_id", "page_no", "seq", *[geometry.clamped((F.col(c) - 300).cast("double"), F.lit(m)).alias(c) for c, m in most.items()])
-    page = [F.lit(0.0), F.lit(0.0), W, H]
+    page = [F.lit(0.0), F.lit(0.0), W(), H()]
     padded = cut.withColumn("b", geometry.render_box([F.col(c).cast("double") for c in most], page, 3.0))
     area = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
     return padded.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("page_no", "seq", *most)], area.alias("padded_area"))
@@ -239,7 +248,7 @@ hm AS (SELECT *, CASE WHEN text = 'a b s t r a c t' THEN '## Abstract' WHEN text
 
 def heading_input(spark, sf_dir):
     b = views.blocks(spark, sf_dir)
-    known = b.join(L.body_sizes(b, H), L.PAGE).select("doc_id", "line_no", text.squeeze(F.col("text")).alias("text"), F.col("size").alias("font_size"), "flags", "x0", "width", "body_size")
+    known = b.join(L.body_sizes(b, H()), L.PAGE).select("doc_id", "line_no", text.squeeze(F.col("text")).alias("text"), F.col("size").alias("font_size"), "flags", "x0", "width", "body_size")
     rows = [(-1, i, t, s, f, x, w, 10.0) for i, (t, s, f, x, w) in enumerate(GOLDEN)]
     golden = spark.createDataFrame(rows, known.schema)
     return known.unionByName(golden).withColumn("x1", F.col("x0") + F.col("width")).withColumn("is_bold", F.col("flags") == 16).withColumn("is_italic", F.col("flags") == 2).withColumn("first_span", F.lit(None).cast("string"))
@@ -248,19 +257,19 @@ def heading_input(spark, sf_dir):
 @query(f"{HEADS} SELECT doc_id, line_no, rejected, academic FROM lev")
 def heading_rejects(spark, sf_dir):
     t = F.col("text")
-    return heading_input(spark, sf_dir).select("doc_id", "line_no", headings.rejected(t, F.col("width"), W).alias("rejected"), headings.academic_title(t).alias("academic"))
+    return heading_input(spark, sf_dir).select("doc_id", "line_no", headings.rejected(t, F.col("width"), W()).alias("rejected"), headings.academic_title(t).alias("academic"))
 
 
 @query(f"{HEADS} SELECT doc_id, line_no, CAST(level AS BIGINT) AS level FROM lev")
 def heading_levels(spark, sf_dir):
     c = [F.col(x) for x in ("text", "font_size", "is_bold", "is_italic", "x0", "width", "body_size")]
-    return heading_input(spark, sf_dir).select("doc_id", "line_no", headings.heading_level(*c, W).cast("long").alias("level"))
+    return heading_input(spark, sf_dir).select("doc_id", "line_no", headings.heading_level(*c, W()).cast("long").alias("level"))
 
 
 @query(f"{HEADS}, {PREFIX_SQL} SELECT doc_id, line_no, markdown FROM hm")
 def heading_markdown(spark, sf_dir):
     c = [F.col(x) for x in ("text", "first_span", "font_size", "is_bold", "is_italic", "x0", "x1", "width", "body_size")]
-    return heading_input(spark, sf_dir).select("doc_id", "line_no", headings.heading_markdown(*c, W).alias("markdown"))
+    return heading_input(spark, sf_dir).select("doc_id", "line_no", headings.heading_markdown(*c, W()).alias("markdown"))
 
 
 @query(f"{HEADS}, {PREFIX_SQL} SELECT doc_id, line_no, pnum || '. ' || trim(substr(rem, 1, length(title))) AS heading, trim(substr(rem, length(title) + 1)) AS rest FROM pt WHERE pnum <> '' AND title IS NOT NULL")
@@ -281,7 +290,7 @@ SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS markdown
 @query(ACADEMIC)
 def document_markdown_academic(spark, sf_dir):
     b = views.blocks(spark, sf_dir).withColumn("font_size", F.col("size")).withColumn("is_bold", F.col("flags") == 16).withColumn("is_italic", F.col("flags") == 2).withColumn("first_span", F.lit(None).cast("string"))
-    return pages.academic(b, b, views.regions(spark, sf_dir), W, H, F.concat(F.col("doc_id").cast("string"), F.lit("_assets")))
+    return pages.academic(b, b, views.regions(spark, sf_dir), W(), H(), F.concat(F.col("doc_id").cast("string"), F.lit("_assets")))
 
 
 # --- Markdown blocks, protection, chunks, translation ----------------------
@@ -513,3 +522,28 @@ def last_output_path(spark, sf_dir):
     ending = F.when(F.col("event_type") == "view", ".log").otherwise(".md ")
     log = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.concat(F.lit("out/"), F.col("event_id").cast("string"), ending).alias("line"))
     return P.last_output(log)
+
+
+# --- files built from the documents, and converted again -------------------
+
+
+def built(spark, sf_dir, make) -> DataFrame:
+    ship(spark)
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.udf(make, "binary")("doc_id", "text").alias("content"))
+
+
+@query(
+    f"""WITH {views.LINES}, l AS (SELECT doc_id, line_no, {SQUEEZED} AS text FROM lines)
+SELECT doc_id, '# Document ' || doc_id || {NL} || {NL} || coalesce(string_agg(text, {NL} || {NL} ORDER BY line_no) FILTER (WHERE text <> '') || {NL} || {NL}, '') || '$\\frac{{a\\le b}}{{2}}$' || {NL} || {NL} || '<table><tr><td colspan="2">wide</td></tr><tr><td>l</td><td>r</td></tr></table>' AS markdown FROM l GROUP BY doc_id"""
+)
+def docx_convert(spark, sf_dir):
+    return convert.docx_markdown(built(spark, sf_dir, packages.docx)).select("doc_id", "markdown")
+
+
+@query(
+    f"""WITH {views.LINES}, l AS (SELECT doc_id, line_no, {SQUEEZED} AS text FROM lines),
+p AS (SELECT doc_id, line_no // 12 + 1 AS page_no, string_agg(text, {NL} || {NL} ORDER BY line_no) AS text FROM l WHERE text <> '' GROUP BY ALL)
+SELECT doc_id, string_agg('<!-- page ' || page_no || ' -->' || {NL} || {NL} || text, {NL} || {NL} ORDER BY page_no) AS markdown FROM p GROUP BY doc_id"""
+)
+def pdf_convert(spark, sf_dir):
+    return convert.pdf_markdown(built(spark, sf_dir, packages.pdf), mode="fast").where("markdown is not null").select("doc_id", "markdown")

@@ -7,8 +7,12 @@ LINES = T.ArrayType(T.StructType([T.StructField("spans", T.ArrayType(SPAN))]))
 BBOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")])
 
 
-def table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+
+
+def table(columns: str) -> T.StructType:
+    """A schema from ``name kind, name kind``; needs no session, so that workers can import it."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
 
 
 DOCS = table("doc_id string, path string, ext string, mime string, stem string, content binary")

@@ -1,0 +1,121 @@
+"""A small text provider for PDF files, with the standard library: pages, blocks and spans.
+
+It reads uncompressed objects and Flate streams, and places the strings of simple
+one-byte fonts. A fuller parser can take its place: a provider is any function from
+bytes to ``(pages, blocks)`` in the shapes of ``schemas``.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b")
+STREAM = re.compile(rb"\bstream\r?\n")
+LENGTH = re.compile(rb"/Length\s+(\d+)(?!\s+\d+\s+R)")
+TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|\[(?:\((?:\\.|[^\\()])*\)|[^\]])*\]|/[^\s/<>\[\]()]+|<[0-9A-Fa-f\s]*>|[-+.\d]+|[A-Za-z'\"*]+", re.S)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace")
+    out = re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), token[1:-1])
+    out = re.sub(rb"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), out, flags=re.S)
+    return out.decode("cp1252", "replace")
+
+
+def objects_of(content: bytes) -> dict[int, tuple[bytes, bytes]]:
+    """Number -> dictionary and stream of each object; a stream's length is the one that it states, if it does."""
+    found, at = {}, 0
+    while m := OBJECT.search(content, at):
+        end = content.find(b"endobj", m.end())
+        end = len(content) if end < 0 else end
+        data, head = b"", content[m.end() : end]
+        if begin := STREAM.search(content, m.end(), end):
+            head = content[m.end() : begin.start()]
+            stated = LENGTH.search(head)
+            stop = begin.end() + int(stated[1]) if stated else content.find(b"endstream", begin.end())
+            data = content[begin.end() : stop]
+            end = max(content.find(b"endobj", stop), stop)
+        found[int(m[1])] = (head, data)
+        at = end
+    return found
+
+
+def parse(content: bytes) -> tuple[list[tuple], list[tuple]]:
+    """``(page_no, width, height)`` rows, and ``(page_no, block_no, 0, bbox, lines)`` rows: a block for each placed line."""
+    objects = objects_of(content)
+    pages, blocks = [], []
+    kids = [n for n, (b, _) in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
+    for number, n in enumerate(kids, 1):
+        body = objects[n][0]
+        box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", body)
+        x0, y0, x1, y1 = map(float, box.groups()) if box else (0.0, 0.0, 612.0, 792.0)
+        pages.append((number, x1 - x0, y1 - y0))
+        fonts = {}
+        for name, ref in re.findall(rb"/(\w+)\s+(\d+)\s+0\s+R", body):
+            base = re.search(rb"/BaseFont\s*/([^\s/<>]+)", objects.get(int(ref), (b"", b""))[0])
+            if base:
+                fonts[name] = base[1].decode("latin-1")
+        data = b""
+        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+0\s+R)", body)
+        for ref in re.findall(rb"(\d+)\s+0\s+R", refs[1]) if refs else []:
+            head, stream = objects.get(int(ref), (b"", b""))
+            data += (zlib.decompress(stream) if b"FlateDecode" in head else stream) + b"\n"
+        for line in _lines(data, fonts):
+            left = min(s[4] for s in line)
+            right = max(s[4] + 0.5 * s[2] * len(s[0]) for s in line)
+            size = max(s[2] for s in line)
+            base = (y1 - y0) - line[0][5]
+            spans = [{"text": s[0], "font": s[1], "size": s[2], "flags": s[3]} for s in line]
+            blocks.append((number, len([b for b in blocks if b[0] == number]), 0, {"x0": left, "y0": base - size, "x1": right, "y1": base + 0.2 * size}, [{"spans": spans}]))
+    return pages, blocks
+
+
+def _lines(data: bytes, fonts: dict) -> list[list[tuple]]:
+    lines: list[list[tuple]] = []
+    stack: list[bytes] = []
+    font, size, x, y, lead = "", 0.0, 0.0, 0.0, 0.0
+    last = None
+
+    def show(text):
+        nonlocal last
+        flags = (16 if re.search("bold", font, re.I) else 0) | (2 if re.search("ital|oblique", font, re.I) else 0)
+        if text:
+            if last == y and lines:
+                lines[-1].append((text, font, size, flags, x, y))
+            else:
+                lines.append([(text, font, size, flags, x, y)])
+            last = y
+
+    for token in TOKEN.findall(data):
+        first = token[:1]
+        if first in b"(/[<" or first in b"+-.0123456789":
+            stack.append(token)
+            continue
+        numbers = [float(t) for t in stack if re.fullmatch(rb"[-+]?(?:\d+\.?\d*|\.\d+)", t)]
+        if token == b"BT":
+            x = y = 0.0
+            last = None
+        elif token == b"Tf" and numbers:
+            size = numbers[-1]
+            names = [t for t in stack if t[:1] == b"/"]
+            font = fonts.get(names[-1][1:], names[-1][1:].decode("latin-1")) if names else font
+        elif token in (b"Td", b"TD") and len(numbers) >= 2:
+            x, y = x + numbers[-2], y + numbers[-1]
+            lead = -numbers[-1] if token == b"TD" else lead
+        elif token == b"Tm" and len(numbers) >= 6:
+            x, y = numbers[-2], numbers[-1]
+        elif token == b"TL" and numbers:
+            lead = numbers[-1]
+        elif token == b"T*":
+            y -= lead
+        elif token in (b"Tj", b"'", b'"') and stack:
+            y -= 0 if token == b"Tj" else lead
+            show(_string(stack[-1]))
+        elif token == b"TJ" and stack:
+            show("".join(_string(s) for s in re.findall(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>", stack[-1], re.S)))
+        stack = []
+    return lines
