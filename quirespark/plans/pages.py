@@ -37,10 +37,10 @@ def academic(blocks: DataFrame, samples: DataFrame, regions: DataFrame, width: C
     shown = rich.withColumn("text", L.region_markdown(F.col("label"), F.col("page_no"), F.col("region_no"), assets)).where("text is not null")
     text = L.outside_regions(L.without_margins(blocks.withColumn("text", squeeze(F.col("text"))).where("text <> ''"), height), rich)
     headed = with_headings(text, L.body_sizes(samples, height), width)
-    columns = ["doc_id", "page_no", "item_no", "x0", "y0", "x1", "y1", "width", "text"]
-    pictures = shown.select("doc_id", "page_no", (F.lit(1_000_000) + F.col("region_no")).alias("item_no"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], (F.col("x1") - F.col("x0")).cast("double").alias("width"), "text")
-    pages = L.page_text(headed.select(*columns).unionByName(pictures), width)
-    every = blocks.select("doc_id", "page_no").distinct()  # pages without any item have their mark
+    every = blocks.select("doc_id", "page_no", width.alias("page_width")).distinct()  # pages without any item have their mark
+    columns = ["doc_id", "page_no", "item_no", "x0", "y0", "x1", "y1", "width", "text", "page_width"]
+    pictures = shown.join(every, L.PAGE).select("doc_id", "page_no", (F.lit(1_000_000) + F.col("region_no")).alias("item_no"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], (F.col("x1") - F.col("x0")).cast("double").alias("width"), "text", "page_width")
+    pages = L.page_text(headed.withColumn("page_width", width).select(*columns).unionByName(pictures), F.col("page_width"))
     marked = every.join(pages, L.PAGE, "left").withColumn("text", F.concat_ws("\n\n", F.format_string(MARK, "page_no"), F.nullif(F.trim("text"), F.lit(""))))
     return joined(marked)
 
