@@ -167,7 +167,8 @@ def list_entries(docs: DataFrame, boundary: int) -> DataFrame:
         F.array_repeat(F.lit(0).cast("long"), F.floor((F.col("p") + 63) / 64).cast("int")),
         lambda acc, s: F.transform(acc, lambda bits, i: F.when(F.floor(s["segment"] / 64) == i, bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s["segment"] % 64))).otherwise(bits)),
     )
-    held = ranked.select("class", "n", "size_range", "p", alone.alias("alone"), taken.alias("taken"), F.explode(prefix).alias("entry"))
+    named = ranked.select("class", "n", "size_range", "p", alone.alias("alone"), taken.alias("taken"), prefix.alias("prefix"))
+    held = named.select("class", "n", "size_range", "p", "alone", "taken", F.explode("prefix").alias("entry"))  # apart: else every entry would make the bits anew
     return held.select(F.col("entry.token").alias("token"), "class", "n", "size_range", "p", "alone", "taken")
 
 
