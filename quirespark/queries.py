@@ -117,7 +117,7 @@ BODY = "body AS (SELECT doc_id, page_no, coalesce(median(size) FILTER (WHERE len
 
 @query(f"WITH {B}, {BODY} SELECT * FROM body")
 def body_font_size(spark, sf_dir):
-    return L.body_sizes(views.blocks(spark, sf_dir), H()).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "body_size")
+    return L.body_sizes(views.blocks(spark, sf_dir), H()).select("doc_id", F.col("page_no").cast("int").alias("page_no"), "body_size")
 
 
 def spanned(spark, sf_dir):
@@ -169,7 +169,7 @@ def overlap_exclusion(spark, sf_dir):
 
 @query(f"{RB} SELECT doc_id, page_no, seq, region_no FROM rich")
 def region_dedupe(spark, sf_dir):
-    return L.deduplicated_regions(views.regions(spark, sf_dir)).select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("seq").cast("long").alias("seq"), F.col("region_no").cast("long").alias("region_no"))
+    return L.deduplicated_regions(views.regions(spark, sf_dir)).select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.col("seq").cast("long").alias("seq"), F.col("region_no").cast("long").alias("region_no"))
 
 
 TABLES = "found AS (SELECT doc_id, page_no, k, 45 AS x0, 100 + 65*((doc_id*2 + k) % 9) AS y0, 300 AS x1, 160 + 65*((doc_id*2 + k) % 9) + 20*k AS y1 FROM (SELECT DISTINCT doc_id, page_no FROM blocks) p, unnest(range(0, 3)) AS t(k))"
@@ -179,7 +179,7 @@ TABLES = "found AS (SELECT doc_id, page_no, k, 45 AS x0, 100 + 65*((doc_id*2 + k
 def table_admission(spark, sf_dir):
     found = views.blocks(spark, sf_dir).select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     found = found.select("*", F.lit(45).alias("x0"), F.expr("100 + 65 * ((doc_id * 2 + k) % 9)").alias("y0"), F.lit(300).alias("x1"), F.expr("160 + 65 * ((doc_id * 2 + k) % 9) + 20 * k").alias("y1"))
-    return L.admitted_tables(found, views.regions(spark, sf_dir)).select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("k").cast("long").alias("k"), F.col("confidence").cast("double").alias("confidence"))
+    return L.admitted_tables(found, views.regions(spark, sf_dir)).select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.col("k").cast("long").alias("k"), F.col("confidence").cast("double").alias("confidence"))
 
 
 @query(f"{RB} SELECT doc_id, page_no, region_no, {REGION_MD} AS markdown, printf('page-%04d-%02d-', page_no, region_no) || label || '.png' AS asset FROM rich")
@@ -187,7 +187,7 @@ def region_markdown(spark, sf_dir):
     rich = L.deduplicated_regions(views.regions(spark, sf_dir).where(F.col("label").isin(*L.RICH)))
     assets = F.concat(F.col("doc_id").cast("string"), F.lit("_assets"))
     c = [F.col("label"), F.col("page_no"), F.col("region_no")]
-    return rich.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("region_no").cast("long").alias("region_no"), L.region_markdown(*c, assets).alias("markdown"), L.asset_name(c[1], c[2], c[0]).alias("asset"))
+    return rich.select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.col("region_no").cast("long").alias("region_no"), L.region_markdown(*c, assets).alias("markdown"), L.asset_name(c[1], c[2], c[0]).alias("asset"))
 
 
 @query(
@@ -202,7 +202,7 @@ def region_boxes(spark, sf_dir):
     page = [F.lit(0.0), F.lit(0.0), W(), H()]
     padded = cut.withColumn("b", geometry.render_box([F.col(c).cast("double") for c in most], page, 3.0))
     area = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
-    return padded.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("page_no", "seq", *most)], area.alias("padded_area"))
+    return padded.select("doc_id", F.col("seq").cast("long").alias("seq"), *[F.col(c).cast("int").alias(c) for c in ("page_no", *most)], area.alias("padded_area"))
 
 
 # --- headings --------------------------------------------------------------
