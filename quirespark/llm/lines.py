@@ -70,8 +70,6 @@ def keys(line: Column, threshold: int) -> tuple[Column, Column]:
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether two strings are within ``threshold`` edits: bit d + threshold of level e says that diagonal d takes e errors at most."""
     width, full = 2 * threshold + 1, (1 << (2 * threshold + 1)) - 1
-    left, right = F.split(a, ""), F.split(b, "")
-    na, nb = F.length(a), F.length(b)
 
     def closed(levels: list[Column]) -> list[Column]:
         out = [levels[0]]
@@ -79,24 +77,33 @@ def within(a: Column, b: Column, threshold: int) -> Column:
             out.append(level.bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(full)))
         return out
 
-    start = [F.lit(sum(1 << (threshold + d) for d in range(e + 1))) for e in range(threshold + 1)]
-
-    def step(state: Column, i: Column) -> Column:
-        c = F.get(left, i)
-        same = F.lit(0)
-        for d in range(width):
-            same = same.bitwiseOR(F.when(F.coalesce((i + (d - threshold) >= 0) & (i + (d - threshold) < nb) & (F.get(right, F.greatest(F.lit(0), i + (d - threshold))) == c), F.lit(False)), 1 << d).otherwise(0))
-        out = [state["r0"].bitwiseAND(same)]
-        for e in range(1, threshold + 1):
-            was, less = state[f"r{e}"], state[f"r{e - 1}"]
-            out.append(was.bitwiseAND(same).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)))
-        return F.struct(*[x.alias(f"r{e}") for e, x in enumerate(closed(out))])
-
-    first = F.struct(*[x.alias(f"r{e}") for e, x in enumerate(start)])
-    last = F.aggregate(F.sequence(F.lit(0), F.greatest(na - 1, F.lit(0))), first, step)[f"r{threshold}"]
+    def levels(values: list[Column]) -> Column:
+        return F.struct(*[x.alias(f"r{e}") for e, x in enumerate(values)])
+
+    first = levels([F.lit(sum(1 << (threshold + d) for d in range(e + 1))) for e in range(threshold + 1)])
+
+    def check(pair: Column) -> Column:
+        na, nb = F.size(pair["l"]), F.size(pair["r"])
+
+        def step(state: Column, i: Column) -> Column:
+            c = F.get(pair["l"], i)
+            same = F.lit(0)
+            for d in range(width):
+                same = same.bitwiseOR(F.when(F.get(pair["r"], i + (d - threshold)) == c, 1 << d).otherwise(0))
+            out = [state["r0"].bitwiseAND(same)]
+            for e in range(1, threshold + 1):
+                was, less = state[f"r{e}"], state[f"r{e - 1}"]
+                out.append(was.bitwiseAND(same).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)))
+            return levels(closed(out))
+
+        last = F.aggregate(F.sequence(F.lit(0), na - 1), first, step)[f"r{threshold}"]
+        return F.call_function("shiftright", last, nb - na + threshold).bitwiseAND(F.lit(1)) == 1
+
+    na, nb = F.length(a), F.length(b)
+    # the characters are cut apart once: a lambda's variable holds them
+    pair = F.array(F.struct(F.split(a, "").alias("l"), F.split(b, "").alias("r")))
     near = F.abs(na - nb) <= threshold
-    bit = F.call_function("shiftright", last, F.when(near, nb - na + threshold).otherwise(0)).bitwiseAND(F.lit(1)) == 1
-    return F.when(na == 0, near).otherwise(near & bit)
+    return F.when(~near, False).when((na == 0) | (nb == 0), True).otherwise(F.exists(pair, check))
 
 
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
