@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import io
+import struct
 import zipfile
+import zlib
 from xml.etree import ElementTree as X
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -126,6 +128,17 @@ def latex(node) -> str:
     return out
 
 
+def placeholder(width: int = 1000, height: int = 300) -> bytes:
+    """A white picture with a grey frame, in place of one that can't be shown."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    edge, row = b"\0" + b"\xa0" * width, b"\0\xa0" + b"\xff" * (width - 2) + b"\xa0"
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(edge + row * (height - 2) + edge)) + chunk(b"IEND", b"")
+
+
 # --- document --------------------------------------------------------------
 
 
@@ -139,6 +152,7 @@ def to_html(content: bytes) -> tuple[str, list[tuple[str, str, bytes]], str | No
         for r in X.fromstring(found["word/_rels/document.xml.rels"]):
             targets[r.get("Id")] = r.get("Target", "")
     images: list[tuple[str, str, bytes]] = []
+    seen = 0
     title = None
     if "docProps/core.xml" in found:
         t = X.fromstring(found["docProps/core.xml"]).find("{http://purl.org/dc/elements/1.1/}title")
@@ -148,9 +162,13 @@ def to_html(content: bytes) -> tuple[str, list[tuple[str, str, bytes]], str | No
         path = "word/" + targets.get(blip.get(f"{R}embed"), "").removeprefix("/word/")
         if path not in found:
             return ""
+        nonlocal seen
+        seen += 1
         mime = MIME.get("." + path.rpartition(".")[2].lower(), "application/octet-stream")
-        stem = f"image-{len(images) + 1:04d}"
+        stem = f"image-{seen:04d}"
         images.append((stem + {**SHOWN, **OTHERS}.get(mime, ".bin"), mime, found[path]))
+        if mime not in SHOWN:  # browsers can't show it: the bytes stay beside an empty picture
+            images.append((stem + ".png", "image/png", placeholder()))
         return f'<img src="{stem}{SHOWN.get(mime, ".png")}" alt="">'
 
     def run(r):

@@ -47,7 +47,7 @@ def test_docx():
     parts = docx.parts(package())
     assert docx.count_images(parts) == 2 and docx.heading_levels(parts) == {"C": 1, "A": 3}
     shown, images, _ = docx.to_html(package())
-    assert [i[:2] for i in images] == [("image-0001.png", "image/png"), ("image-0002.emf", "image/x-emf")]
+    assert [i[:2] for i in images] == [("image-0001.png", "image/png"), ("image-0002.emf", "image/x-emf"), ("image-0002.png", "image/png")]
     text, _ = html.to_markdown(shown.split("<table>")[0])
     assert text + "\n\n" == WORD
 
