@@ -228,6 +228,8 @@ def links(docs: DataFrame, boundary: int) -> DataFrame:
     placed = stored(placed)
     mixed_lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     left = placed.join(mixed_lists, "token", "left_semi").join(lists, "token").where("class != a")  # the centre has been compared
+    listed = left.groupBy("class", "size_range").agg(F.collect_list("token").alias("own"))  # at most a set's prefix
+    left = left.join(listed, ["class", "size_range"])
     x, y = left.alias("x"), left.alias("y")
     apart = F.aggregate(F.zip_with("x.taken", "y.taken", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, b: s + b)
     smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
@@ -236,7 +238,9 @@ def links(docs: DataFrame, boundary: int) -> DataFrame:
         & (F.col("x.class") < F.col("y.class"))
         & (F.col("x.component") != F.col("y.component"))
         & (10 * smaller >= 9 * larger)
+        & (F.col("x.size_range") == F.col("y.size_range"))
         & ((F.col("x.p") == 0) | ((F.greatest("x.alone", "y.alone") <= F.floor(smaller / 9)) & (F.col("x.p") - apart <= F.floor(smaller / 9))))
+        & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.token"))  # a pair comes once, from the first list that holds both
     )
     rest = x.join(y, open_pair).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     return first.union(verified(rest, own))
