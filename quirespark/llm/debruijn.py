@@ -16,8 +16,10 @@ from words before the node to words behind it.
    hashes, and those whose first source coordinate lies elsewhere occurred before.
 4. The covered runs of a document are compacted into maximal spans and taken out.
 
-The bit map only spares work: as it fills up, more candidates come through, and the
-result stays the same. Runs are compared by 128 bits: the anchor's hash and their own.
+Candidates are hashed anew from the text in each step rather than kept: that costs some
+seconds and saves the disk that 64 bits for every window would take. The bit maps only
+spare work: as they fill up, more candidates come through, and the result stays the
+same. Nodes, edges and windows are told apart by 64-bit hashes.
 
 Edge cases. A null text has no words. Documents of less than ``WINDOW`` words are kept
 whole. A repeated row (equal id and text) is the same document; rows with equal ids and
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, emit, records, stored
@@ -97,6 +99,15 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def place_hash(doc, text_hash, low):
+    """Spreads coordinates over a bit map; the same on numpy arrays and in :func:`place_column`."""
+    return (low.astype(np.uint64) << np.uint64(44)) ^ text_hash.astype(np.int64).view(np.uint64) ^ doc.astype(np.int64).view(np.uint64)
+
+
+def place_column() -> Column:
+    return F.shiftleft(F.col("low").cast("long"), 44).bitwiseXOR(F.col("text_hash")).bitwiseXOR(F.col("doc"))
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, node: int = NODE) -> DataFrame:
     """``(doc, text_hash, spans array<struct<start, end>>)``: maximal runs of words that windows which occurred before cover."""
     spark = df.sparkSession
@@ -111,38 +122,48 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     counted = docs.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     shared = share_map(spark, counted, "anchor")
-    schema = "doc long, text_hash long, low int, high int, anchor long, edge long, windows array<long>"
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             for slab in slabs(batch, 2):
                 h, before = words(*buffers(slab.column(2)))
-                document, low, high, anchor, edge, sums = edges(h, before, window, node)
+                document, low, high, anchor, edge, _ = edges(h, before, window, node)
                 kept = in_map(bits, anchor)
-                if not kept.any():
-                    continue
                 document, low, high, anchor, edge = document[kept], low[kept], high[kept], anchor[kept], edge[kept]
-                size = high - low + 1
-                ends = np.cumsum(size)
-                start = np.repeat(low - ends + size, size) + np.arange(ends[-1])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(signed(run(sums, _base, start, start + window, 23))))
-                own = before[document]
-                yield pa.RecordBatch.from_arrays(
-                    [slab.column(0).take(pa.array(document)), slab.column(1).take(pa.array(document)), pa.array((low - own).astype(np.int32)), pa.array((high - own).astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(edge)), lists],
-                    names=["doc", "text_hash", "low", "high", "anchor", "edge", "windows"],
-                )
-
-    found = stored(docs.select("doc", "text_hash", "text").mapInArrow(candidates, schema))
+                at, own = pa.array(document), before[document]
+                columns = [slab.column(0).take(at), slab.column(1).take(at), pa.array((low - own).astype(np.int32)), pa.array((high - own).astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(edge))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "low", "high", "anchor", "edge"])
+
+    found = docs.select("doc", "text_hash", "text").mapInArrow(candidates, "doc long, text_hash long, low int, high int, anchor long, edge long")
     place = F.struct("doc", "text_hash", "low")
-    distinct = stored(found.groupBy("anchor", "edge").agg(F.min(F.struct("doc", "text_hash", "low", "windows")).alias("first")))
-    later = found.select("doc", "text_hash", "low", "high", "anchor", "edge").join(distinct.select("anchor", "edge", F.struct("first.doc", "first.text_hash", "first.low").alias("at")), ["anchor", "edge"]).where(place != F.col("at"))
+    distinct = stored(found.groupBy("edge").agg(F.min(F.struct("doc", "text_hash", "low", "anchor")).alias("first")).select("edge", "first.*"))
+    at = distinct.select("edge", F.struct("doc", "text_hash", "low").alias("at"))
+    later = found.select("edge", "doc", "text_hash", "low", "high").join(at, "edge").where(place != F.col("at"))
     copies = later.select("doc", "text_hash", F.col("low").alias("start"), (F.col("high") + window).alias("end"))
     branching = distinct.groupBy("anchor").agg(F.count("*").alias("edges")).where("edges > 1").select("anchor")
-    each = distinct.join(branching, "anchor", "left_semi").select("anchor", "first.doc", "first.text_hash", "first.low", F.posexplode("first.windows").alias("i", "window")).withColumn("start", F.col("low") + F.col("i"))
-    at = F.struct("doc", "text_hash", "start")
-    earliest = each.groupBy("anchor", "window").agg(F.min(at).alias("at"), F.count("*").alias("n")).where("n > 1")
-    shown = each.join(earliest, ["anchor", "window"]).where(at != F.col("at")).select("doc", "text_hash", "start", (F.col("start") + window).alias("end"))
+    branches = share_map(spark, distinct.join(branching, "anchor", "left_semi").select(place_column().alias("place")), "place")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, bits = shared.value, branches.value
+        for batch in batches:
+            for slab in slabs(batch, 2):
+                h, before = words(*buffers(slab.column(2)))
+                document, low, high, anchor, _, sums = edges(h, before, window, node)
+                doc, text_hash = slab.column(0).to_numpy(), slab.column(1).to_numpy()
+                kept = in_map(first, anchor) & in_map(bits, place_hash(doc[document], text_hash[document], low - before[document]))
+                document, low, high = document[kept], low[kept], high[kept]
+                size = high - low + 1
+                start = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                document = np.repeat(document, size)
+                columns = [pa.array(doc[document]), pa.array(text_hash[document]), pa.array((start - before[document]).astype(np.int32)), pa.array(signed(run(sums, _base, start, start + window, 23)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "start", "window"])
+
+    each = docs.select("doc", "text_hash", "text").mapInArrow(windows, "doc long, text_hash long, start int, window long")
+    here = F.struct("doc", "text_hash", "start")
+    # copies of an edge are out by now: a window's group has a row for each distinct edge around it
+    earliest = each.withColumn("at", F.min(here).over(Window.partitionBy("window")))
+    shown = earliest.where(here != F.col("at")).select("doc", "text_hash", "start", (F.col("start") + window).alias("end"))
     return spans(copies.unionByName(shown))
 
 
@@ -150,7 +171,7 @@ def spans(covered: DataFrame) -> DataFrame:
     """Overlapping and adjoining runs of a document as maximal spans; a document's runs are bounded by its words."""
     own = Window.partitionBy("doc", "text_hash").orderBy("start", "end")
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    marked = covered.distinct().withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    marked = covered.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
     numbered = marked.withColumn("span", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = numbered.groupBy("doc", "text_hash", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return whole.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
