@@ -43,6 +43,8 @@ from .fingerprints import mixed
 from .wordhash import buffers, run, runs, signed, slabs, words
 
 SHINGLE = 3
+#: A set's parity has 2**PARITY bits.
+PARITY = 10
 _base = 0x8BB84B93962EACC9 | 1
 #: Lower bounds of the heavy size ranges: each is about the root of 2 times the last.
 RANGES = [9]
@@ -181,7 +183,11 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(class, shingles)`` of the classes in ``wanted``, and of a few others."""
+    """``(class, shingles, parity)`` of the classes in ``wanted``.
+
+    Bit k of ``parity`` is that of the number of shingles whose hash falls to it: two sets
+    differ in at least as many shingles as their parities differ in bits.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "class"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +197,13 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if named:
                 ends = np.cumsum([0, *map(len, named.values())]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(list(named.values())))))
-                yield pa.RecordBatch.from_arrays([pa.array(list(named), pa.int64()), lists], names=["class", "shingles"])
+                odd = [np.packbits((np.bincount((s >> np.uint64(64 - PARITY)).astype(np.int64), minlength=1 << PARITY) & 1).astype(np.uint8)).view(np.int64) for s in named.values()]
+                words_each = (1 << PARITY) // 64
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * words_each), pa.array(np.concatenate(odd)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(named), pa.int64()), lists, parity], names=["class", "shingles", "parity"])
 
-    found = docs.select("text").mapInArrow(pick, "class long, shingles array<long>").join(wanted, "class", "left_semi")
-    return stored(found.groupBy("class").agg(F.min("shingles").alias("shingles")))
+    found = docs.select("text").mapInArrow(pick, "class long, shingles array<long>, parity array<long>").join(wanted, "class", "left_semi")
+    return stored(found.groupBy("class").agg(F.min(F.struct("shingles", "parity")).alias("s")).select("class", "s.*"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,17 +238,19 @@ def links(docs: DataFrame, boundary: int) -> DataFrame:
     mixed_lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     left = placed.join(mixed_lists, "token", "left_semi").join(lists, "token").where("class != a")  # the centre has been compared
     listed = left.groupBy("class", "size_range").agg(F.collect_list("token").alias("own"))  # at most a set's prefix
-    left = left.join(listed, ["class", "size_range"])
+    left = left.join(listed, ["class", "size_range"]).join(own.select("class", "parity"), "class")
     x, y = left.alias("x"), left.alias("y")
     apart = F.aggregate(F.zip_with("x.taken", "y.taken", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, b: s + b)
-    smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    differ = F.floor((F.col("x.n") + F.col("y.n")) / 19)  # shingles that linked sets of these sizes can differ in
+    bits = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
     open_pair = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.class") < F.col("y.class"))
         & (F.col("x.component") != F.col("y.component"))
-        & (10 * smaller >= 9 * larger)
+        & (F.abs(F.col("x.n") - F.col("y.n")) <= differ)
         & (F.col("x.size_range") == F.col("y.size_range"))
-        & ((F.col("x.p") == 0) | ((F.greatest("x.alone", "y.alone") <= F.floor(smaller / 9)) & (F.col("x.p") - apart <= F.floor(smaller / 9))))
+        & ((F.col("x.p") == 0) | ((F.greatest("x.alone", "y.alone") <= differ) & (F.col("x.p") - apart <= differ)))
+        & (bits <= differ)
         & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.token"))  # a pair comes once, from the first list that holds both
     )
     rest = x.join(y, open_pair).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
