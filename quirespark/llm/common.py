@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as python_path  # noqa: F401
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of output that a Python worker gathers before it hands a batch on.
@@ -23,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = f"{tempfile.gettempdir()}/quirespark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quirespark-{uuid.uuid4().hex}"
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()  # workers don't know the default store
+    return f"{whole.rstrip('/')}/quirespark-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -66,6 +71,12 @@ def records(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True)
 
 
+def int_lists(values: list[bytes]) -> pa.Array:
+    """A column of integer lists from little-endian 32-bit integers."""
+    ends = np.cumsum([0, *(len(v) // 4 for v in values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), dtype="<i4")))
+
+
 def cut_points(df: DataFrame, key: str, parts: int) -> list[float]:
     """At most ``parts - 1`` ascending values that part ``key`` into ranges of about as many rows each.
 
@@ -102,23 +113,3 @@ def offsets(df: DataFrame, part: str, total: Column, parts: int) -> list:
 def pick(values: Sequence, index: Column) -> Column:
     """``values[index]`` for a list that is bounded by the number of parts."""
     return F.element_at(F.lit(list(values)), index + 1)
-
-
-def python_path(spark: SparkSession) -> None:
-    """Ships this package to executors whose Python path does not name it already."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    context = spark.sparkContext
-    if root in known or getattr(context, "_quirespark_shipped", False):
-        return
-    import zipfile
-
-    target = os.path.join(tempfile.mkdtemp(prefix="quirespark-"), "quirespark.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "quirespark")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    context.addPyFile(target)
-    context._quirespark_shipped = True

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, cut_points, offsets, pick, range_of, records, shared_folder, shuffle_partitions
+from .common import cut_points, int_lists, offsets, pick, range_of, records, shared_folder, shuffle_partitions
 
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 18
 #: Chunks whose ids a worker remembers; at that many it starts anew. This bounds memory only.
 MEMO = 1 << 19
 
@@ -37,7 +39,11 @@ _coders: dict[int, "Chunks"] = {}
 
 
 class Chunks(dict):
-    """Chunk of text without blanks -> its ids as little-endian 32-bit integers."""
+    """Chunk of text without blanks -> its ids as little-endian 32-bit integers.
+
+    A chunk of letters is one word to the vocabulary: the library's model takes it as it is, once its
+    bytes are written in the vocabulary's alphabet. Any other chunk goes through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -45,16 +51,17 @@ class Chunks(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            ids = self[chunk.lower()]
-        elif chunk[-1] in ",.":
-            # one mark after letters is a token of its own
-            ids = self[chunk[:-1]] + self[chunk[-1]] if chunk[:-1].isalpha() else self.encode(chunk)
+        if chunk[-1] in ",." and chunk[:-1].isalpha():  # one mark after letters is a token of its own
+            return self[chunk[:-1]] + self[chunk[-1]]
+        if chunk.isalpha() and chunk.islower() and in_latin_1(chunk):
+            word = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(ALPHABET)
+            ids = array("i", [token.id for token in self.model.tokenize(word)]).tobytes()
         else:
-            ids = self.encode(chunk)
+            ids = array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(self) > MEMO:
             self.clear()
             self[""] = b""
@@ -62,11 +69,34 @@ class Chunks(dict):
             self[chunk] = ids
         return ids
 
-    def encode(self, chunk: str) -> bytes:
-        return array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+    def texts(self, texts: list[str]) -> list[bytes]:
+        chunks = [plain(text).replace("\n", " ").split(" ") for text in texts]
+        seen = list(set().union(*chunks))
+        ids = dict(zip(seen, map(self.__getitem__, seen), strict=True)).__getitem__
+        return [b"".join(map(ids, c)) for c in chunks]
+
+
+def in_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def plain(text: str) -> str:
+    """Latin-1 texts in lower case, as the vocabulary has them; others are left to the library."""
+    return text.lower() if in_latin_1(text) else text
 
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+def byte_alphabet() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+ALPHABET = byte_alphabet()
 
 
 def coder(vocabulary: str) -> Chunks:
@@ -76,11 +106,6 @@ def coder(vocabulary: str) -> Chunks:
     return _coders[key]
 
 
-def _lists(values: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(v) // 4 for v in values)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), dtype="<i4")))
-
-
 def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> int:
     """Writes ``(doc_id, part, row, before, n_tokens, ids)`` files to ``path``; returns the number of ranges."""
     spark = df.sparkSession
@@ -93,15 +118,18 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col:
         own, row, before, kept, held = coder(shared.value), 0, 0, [], 0
 
         def batch():
-            ids = [k[-1] for k in kept]
-            first = [pa.array(c, type=t) for c, t in zip(list(zip(*kept, strict=True))[:-1], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            return pa.RecordBatch.from_arrays([*first, _lists(ids)], names=names)
-
-        for key, part, text in records(batches):
-            ids = own.text(text) + end
-            kept.append((key, part, row, before, len(ids) // 4, ids))
-            row, before, held = row + 1, before + len(ids) // 4, held + len(ids) + 64
-            if held >= BATCH_BYTES:
+            nonlocal row, before
+            ids = [x + end for x in own.texts([text for _, _, text in kept])]
+            counts = np.array([len(x) // 4 for x in ids], np.int64)
+            starts = before + np.cumsum(counts) - counts
+            columns = [pa.array([k for k, _, _ in kept], pa.int64()), pa.array([p for _, p, _ in kept], pa.int32()), pa.array(np.arange(row, row + len(kept))), pa.array(starts), pa.array(counts), int_lists(ids)]
+            row, before = row + len(kept), before + int(counts.sum())
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for found in records(batches):
+            kept.append(found)
+            held += len(found[2]) + 64
+            if held >= TOGETHER:
                 yield batch()
                 kept, held = [], 0
         if kept:
