@@ -138,7 +138,7 @@ def repeated_lines(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     seen = lists.where("id != centre").join(own.select("id", "first"), "id").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     seen = stored(seen)
     x, y = seen.alias("x"), seen.where("listed = 1").alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & F.when(F.col("x.first") > F.col("y.first"), ~F.col("x.gone")).otherwise(~F.col("y.gone")))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & ((F.col("x.listed") == 0) | (F.col("x.id") < F.col("y.id"))) & F.when(F.col("x.first") > F.col("y.first"), ~F.col("x.gone")).otherwise(~F.col("y.gone")))
     pairs = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     near = gone.union(later(pairs)).distinct()
     known = first.join(near.withColumn("near", F.lit(True)), "id", "left")
