@@ -1,18 +1,21 @@
 """Size-aware heavy-light join of documents by the Jaccard likeness of their shingles.
 
-Sets link when 100 * |A and B| >= 90 * |A or B|. Equal sets are one class from the
-start; everything below is about classes, so that copies cost nothing more.
+Sets link when 100 * |A and B| >= percent * |A or B|; a :class:`Contract` holds the words of
+a shingle and ``percent``, 3 and 90 unless others are given, and all bounds that follow from
+them. Equal sets are one class from the start; everything below is about classes, so that
+copies cost nothing more.
 
 Light sets (at most ``boundary`` shingles) are joined by enumerated subsets of fixed
-size: the set itself and, from 10 shingles on, its subsets with one shingle less. Two
-linked sets of at most 19 shingles share one of them. The boundary is the cheaper of 9
-and 19 for the sizes at hand.
+size: the set itself and, where a linked set can lack one of its shingles, its subsets with
+one shingle less. Two linked sets share one of them as long as neither can lack two. The
+boundary is the cheaper of the last size that can lack none and the last that can lack one
+(9 and 19 at 90 percent) for the sizes at hand.
 
 Heavy sets are joined over inverted lists. Hash ranges cut a set into p segments, the
 same for all sets of a size range; a segment's hash is a token. Sets that differ in d
-shingles differ in at most d segments, and d <= n / 9, so that linked sets share p - d
-tokens at least and meet in the list of one of their d + 1 rarest. Tokens are counted
-over all sets first; those of one set alone only shorten its prefix.
+shingles differ in at most d segments, and d <= n * (100 - percent) / percent, so that linked
+sets share p - d tokens at least and meet in the list of one of their d + 1 rarest. Tokens are
+counted over all sets first; those of one set alone only shorten its prefix.
 
 Lists aren't expanded into pairs. (1) Every member of a list is verified against its
 centre, the member with the fewest tokens of its own. (2) Links are contracted into
@@ -23,7 +26,7 @@ components is left out, so that the components are those of all links.
 Shingles, sets and classes are told apart by 64-bit hashes.
 
 Edge cases. A null text, or one without words, has an empty set, links with nothing and
-is its own component; one or two words are a set of one. Repeated rows are one class. A
+is its own component; fewer words than a shingle has are a set of one. Repeated rows are one class. A
 null id joins its class, but is no component's smallest id unless all are null. An
 empty table gives no rows. Other columns are not read.
 """
@@ -31,10 +34,12 @@ empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -42,31 +47,64 @@ from .debruijn import LOWEST, bit_map, in_map, keyed
 from .fingerprints import mixed
 from .wordhash import buffers, run, runs, signed, slabs, words
 
-SHINGLE = 3
 #: A set's parity has 2**PARITY bits.
 PARITY = 10
 _base = 0x8BB84B93962EACC9 | 1
-#: Lower bounds of the heavy size ranges: each is about the root of 2 times the last.
-RANGES = [9]
-while RANGES[-1] < 1 << 40:
-    RANGES.append(int(RANGES[-1] * 2**0.5) + 1)
-_ranges = np.array(RANGES)
 
 
-def segments(size_range: int) -> int:
-    """Twice the shingles in which linked sets of a size range can differ, and two."""
-    return 2 * ((RANGES[size_range + 1] - 1) // 9) + 2
+@dataclass(frozen=True)
+class Contract:
+    """Words of a shingle and least likeness in percent (1 to 99), and what follows from them."""
 
+    shingle: int = 3
+    percent: int = 90
 
-def sets(hashes: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    def __post_init__(self):
+        if self.shingle < 1 or not 1 <= self.percent <= 99:
+            raise ValueError("a shingle has a word at least, and the least likeness is 1 to 99 percent")
+
+    @property
+    def boundaries(self) -> tuple[int, int]:
+        """The largest sets of which a linked set can lack no shingle, and one at most."""
+        return 99 // (100 - self.percent), 199 // (100 - self.percent)
+
+    @cached_property
+    def ranges(self) -> np.ndarray:
+        """Lower bounds of the heavy size ranges, from the least set that links with a heavy one: each is about the root of 2 times the last."""
+        out = [max(1, self.percent * (self.boundaries[0] + 1) // 100)]
+        while out[-1] < 1 << 40:
+            out.append(int(out[-1] * 2**0.5) + 1)
+        return np.array(out)
+
+    def range_of(self, n: int) -> int:
+        return int(np.searchsorted(self.ranges, n, "right")) - 1
+
+    def segments(self, size_range: int) -> int:
+        """Twice the shingles in which linked sets of a size range can differ, and two."""
+        return 2 * ((int(self.ranges[size_range + 1]) - 1) * (100 - self.percent) // self.percent) + 2
+
+    def differ(self, n: Column) -> Column:
+        """Shingles in which a set of ``n`` and one that it links with can differ."""
+        return F.floor(n * (100 - self.percent) / self.percent).cast("int")
+
+    def differ_of(self, both: Column) -> Column:
+        """The same of two sets with ``both`` shingles in all."""
+        return F.floor(both * (100 - self.percent) / (100 + self.percent))
+
+
+#: The contract of op6's SQL, and the one of documents that count as near copies elsewhere.
+DIGEST, NEAR = Contract(3, 90), Contract(5, 80)
+
+
+def sets(hashes: np.ndarray, before: np.ndarray, shingle: int) -> list[np.ndarray]:
     """Each document's distinct shingles, ascending."""
     sums = runs(hashes, _base)
     out = []
-    start = np.arange(max(0, len(hashes) - SHINGLE + 1))
-    grams = run(sums, _base, start, start + SHINGLE, 31)
+    start = np.arange(max(0, len(hashes) - shingle + 1))
+    grams = run(sums, _base, start, start + shingle, 31)
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(np.unique(grams[a : b - SHINGLE + 1]))
+        if b - a >= shingle:
+            out.append(np.unique(grams[a : b - shingle + 1]))
         elif b > a:
             out.append(run(sums, _base, np.array([a]), np.array([b]), 31))
         else:
@@ -81,7 +119,7 @@ def class_of(own: np.ndarray) -> int:
     return int(signed(mixed(np.array([total]), 33))[0])
 
 
-def tokens(own: np.ndarray, boundary: int) -> list[tuple[int, int, np.ndarray]]:
+def tokens(own: np.ndarray, boundary: int, contract: Contract = DIGEST) -> list[tuple[int, int, np.ndarray]]:
     """``(size range or -1 for light, number of segments, token hashes in order of segment)``."""
     n, out = len(own), []
     if not n:
@@ -91,15 +129,14 @@ def tokens(own: np.ndarray, boundary: int) -> list[tuple[int, int, np.ndarray]]:
             each = mixed(own, 34)
             whole = each.sum(dtype=np.uint64)
             keys = [mixed(np.array([whole + np.uint64(n)]), 35)]
-            if n >= 10:
+            if n > contract.boundaries[0]:
                 keys.append(mixed(whole - each + np.uint64(n - 1), 35))
             out.append((-1, 0, np.concatenate(keys)))
-        if n >= RANGES[0] and 10 * n >= 9 * (boundary + 1):
-            k = int(np.searchsorted(_ranges, n, "right")) - 1
+        if 100 * n >= contract.percent * (boundary + 1):
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(mixed(own, 36), dtype=np.uint64, out=sums[1:])
-            for size_range in (k, k + 1) if 10 * n >= 9 * RANGES[k + 1] else (k,):
-                p = segments(size_range)
+            for size_range in range(contract.range_of(n), contract.range_of(100 * n // contract.percent) + 1):
+                p = contract.segments(size_range)
                 low = np.array([-(-(j << 64) // p) for j in range(p)], np.uint64)
                 at = np.append(np.searchsorted(own, low), n)
                 number = np.arange(p, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size_range + 1)
@@ -107,37 +144,38 @@ def tokens(own: np.ndarray, boundary: int) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def cheaper_boundary(sizes: DataFrame) -> int:
-    """9 or 19: which makes fewer list entries of the sets with 10 to 19 shingles."""
-    found = {r.n: r.sets for r in sizes.where("n between 10 and 19").groupBy("n").agg(F.count("*").alias("sets")).collect()}
+def cheaper_boundary(sizes: DataFrame, contract: Contract = DIGEST) -> int:
+    """Which of the two boundaries makes fewer list entries of the sets between them."""
+    low, high = contract.boundaries
+    found = {r.n: r.sets for r in sizes.where(F.col("n").between(low + 1, high)).groupBy("n").agg(F.count("*").alias("sets")).collect()}
     light = sum(k * (n + 1) for n, k in found.items())
-    heavy = sum(k * segments(int(np.searchsorted(_ranges, n, "right")) - 1) * 2 for n, k in found.items())  # a segment of one or two shingles fits twice as often
-    return 19 if light <= heavy else 9
+    heavy = sum(k * contract.segments(contract.range_of(n)) * 2 for n, k in found.items())  # a segment of one or two shingles fits twice as often
+    return high if light <= heavy else low
 
 
-def each_set(batches: Iterator[pa.RecordBatch], text: int):
+def each_set(batches: Iterator[pa.RecordBatch], text: int, contract: Contract):
     for batch in batches:
         for slab in slabs(batch, text):
-            yield slab, sets(*words(*buffers(slab.column(text)), lower=True))
+            yield slab, sets(*words(*buffers(slab.column(text)), lower=True), contract.shingle)
 
 
-def set_table(docs: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, contract: Contract = DIGEST) -> DataFrame:
     """``(doc, text_hash, n, class)`` of every row of ``keyed``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab, own in each_set(batches, 2):
+        for slab, own in each_set(batches, 2, contract):
             yield pa.RecordBatch.from_arrays([slab.column(0), slab.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([class_of(s) for s in own], pa.int64())], names=["doc", "text_hash", "n", "class"])
 
     return docs.select("doc", "text_hash", "text").mapInArrow(measure, "doc long, text_hash long, n long, class long")
 
 
-def list_entries(docs: DataFrame, boundary: int) -> DataFrame:
+def list_entries(docs: DataFrame, boundary: int, contract: Contract = DIGEST) -> DataFrame:
     """``(token, class, n, size_range, p, alone, taken)``: each set in the lists of its prefix."""
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in each_set(batches, 0):
-            found = [t for s in own for _, _, t in tokens(s, boundary)]
+        for _, own in each_set(batches, 0, contract):
+            found = [t for s in own for _, _, t in tokens(s, boundary, contract)]
             key, number = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(number)], names=["token", "n"])
 
@@ -146,10 +184,10 @@ def list_entries(docs: DataFrame, boundary: int) -> DataFrame:
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for _, own in each_set(batches, 0):
+        for _, own in each_set(batches, 0, contract):
             rows: list[list[np.ndarray]] = []
             for s in own:
-                for size_range, p, found in tokens(s, boundary):
+                for size_range, p, found in tokens(s, boundary, contract):
                     at = np.flatnonzero(in_map(bits, found))
                     if len(at):
                         rows.append([signed(found[at]), np.full(len(at), class_of(s)), np.full(len(at), len(s)), np.full(len(at), size_range), np.full(len(at), p), at])
@@ -161,7 +199,7 @@ def list_entries(docs: DataFrame, boundary: int) -> DataFrame:
     entries = docs.select("text").mapInArrow(often, "token long, class long, n long, size_range int, p int, segment int").join(counted, "token")
     ranked = entries.groupBy("class", "n", "size_range", "p").agg(F.sort_array(F.collect_set(F.struct("df", "token", "segment"))).alias("shared"))  # at most p for each set
     alone = F.when(F.col("p") == 0, 0).otherwise(F.col("p") - F.size("shared"))
-    room = F.floor(F.col("n") / 9).cast("int") + 1 - alone
+    room = contract.differ(F.col("n")) + 1 - alone
     prefix = F.when(F.col("p") == 0, F.col("shared")).when(room > 0, F.slice("shared", 1, F.greatest(room, F.lit(1))))
     # segments that other sets have too, as the bits of an array of longs
     taken = F.aggregate(
@@ -174,15 +212,15 @@ def list_entries(docs: DataFrame, boundary: int) -> DataFrame:
     return held.select(F.col("entry.token").alias("token"), "class", "n", "size_range", "p", "alone", "taken")
 
 
-def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, own: DataFrame, contract: Contract = DIGEST) -> DataFrame:
     """The pairs ``(a, b)`` of classes that link; ``own`` has each class's shingles."""
     first = pairs.join(own.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
     both = first.join(own.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
     same = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * same >= 90 * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    return both.where(100 * same >= contract.percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
-def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def shingle_table(docs: DataFrame, wanted: DataFrame, contract: Contract = DIGEST) -> DataFrame:
     """``(class, shingles, parity)`` of the classes in ``wanted``.
 
     Bit k of ``parity`` is that of the number of shingles whose hash falls to it: two sets
@@ -192,7 +230,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for _, own in each_set(batches, 0):
+        for _, own in each_set(batches, 0, contract):
             named = {c: s for c, s in ((class_of(s), s) for s in own if len(s)) if in_map(bits, np.array([c]).view(np.uint64))[0]}
             if named:
                 ends = np.cumsum([0, *map(len, named.values())]).astype(np.int32)
@@ -224,14 +262,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("class"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("class"), F.col("v").alias("component")).distinct())
 
 
-def links(docs: DataFrame, boundary: int) -> DataFrame:
+def links(docs: DataFrame, boundary: int, contract: Contract = DIGEST) -> DataFrame:
     """Links ``(a, b)`` of classes whose components are those of all links."""
-    entries = stored(list_entries(docs, boundary))
+    entries = stored(list_entries(docs, boundary, contract))
     lists = entries.groupBy("token").agg(F.min(F.struct("alone", "class")).alias("centre"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token", F.col("centre.class").alias("a"))
     stars = stored(entries.join(lists, "token").where("class != a").select("a", F.col("class").alias("b")).distinct())
     wanted = stored(entries.join(lists, "token", "left_semi").select("class").distinct())
-    own = shingle_table(docs, wanted)
-    first = stored(verified(stars, own))
+    own = shingle_table(docs, wanted, contract)
+    first = stored(verified(stars, own, contract))
     joined = components(first)
     placed = entries.join(lists, "token", "left_semi").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     placed = stored(placed)
@@ -241,7 +279,7 @@ def links(docs: DataFrame, boundary: int) -> DataFrame:
     left = left.join(listed, ["class", "size_range"]).join(own.select("class", "parity"), "class")
     x, y = left.alias("x"), left.alias("y")
     apart = F.aggregate(F.zip_with("x.taken", "y.taken", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, b: s + b)
-    differ = F.floor((F.col("x.n") + F.col("y.n")) / 19)  # shingles that linked sets of these sizes can differ in
+    differ = contract.differ_of(F.col("x.n") + F.col("y.n"))  # shingles that linked sets of these sizes can differ in
     bits = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
     open_pair = (
         (F.col("x.token") == F.col("y.token"))
@@ -254,14 +292,14 @@ def links(docs: DataFrame, boundary: int) -> DataFrame:
         & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.token"))  # a pair comes once, from the first list that holds both
     )
     rest = x.join(y, open_pair).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    return first.union(verified(rest, own))
+    return first.union(verified(rest, own, contract))
 
 
-def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", contract: Contract = DIGEST) -> DataFrame:
     """``(doc, text_hash, n_shingles, component, component_id)`` of every row."""
     docs = keyed(df, id_col, text_col)
-    table = stored(set_table(docs))
-    named = components(links(docs, cheaper_boundary(table)))
+    table = stored(set_table(docs, contract))
+    named = components(links(docs, cheaper_boundary(table, contract), contract))
     rows = table.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = rows.where("n > 0").groupBy("component").agg(F.min(F.when(F.col("doc") != LOWEST, F.col("doc"))).alias("smallest"), F.min(F.struct("doc", "text_hash")).alias("kept"))
     own = F.when(F.col("doc") != LOWEST, F.col("doc"))
@@ -270,27 +308,27 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def document_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", contract: Contract = DIGEST) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row."""
-    return grouped(df, id_col, text_col).select(F.when(F.col("doc") != LOWEST, F.col("doc")).alias(id_col), "n_shingles", "component_id")
+    return grouped(df, id_col, text_col, contract).select(F.when(F.col("doc") != LOWEST, F.col("doc")).alias(id_col), "n_shingles", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", contract: Contract = DIGEST) -> DataFrame:
     """The rows of ``df``, one of each group: the one with the smallest id. Rows without words all stay."""
-    stay = grouped(df, id_col, text_col).where("stays").select(F.col("doc").alias("__quire_doc"), F.col("text_hash").alias("__quire_hash")).distinct()
+    stay = grouped(df, id_col, text_col, contract).where("stays").select(F.col("doc").alias("__quire_doc"), F.col("text_hash").alias("__quire_hash")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = df.withColumn("__quire_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))).withColumn("__quire_hash", F.xxhash64(text))
     return named.join(stay, ["__quire_doc", "__quire_hash"], "left_semi").dropDuplicates(["__quire_doc", "__quire_hash"]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def brute(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:
+def brute(rows: list[tuple[int, str | None]], shingle: int = 3, percent: int = 90) -> list[tuple[int, int, int]]:
     """The contract over all pairs: for tests, with distinct ids."""
     import re
 
     made = {}
     for key, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        made[key] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        made[key] = {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set()
     root = {k: k for k in made}
 
     def find(k):
@@ -302,7 +340,7 @@ def brute(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:
     for i, a in enumerate(keys):
         for b in keys[:i]:
             x, y = made[a], made[b]
-            if 10 * min(len(x), len(y)) >= 9 * max(len(x), len(y)) and 100 * len(x & y) >= 90 * len(x | y):
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
     return sorted((k, len(made[k]), find(k)) for k in made)

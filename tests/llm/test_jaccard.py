@@ -57,3 +57,43 @@ def test_query(spark, sf, tmp_path):
     assert got.count() == len(ODD_TEXTS) + 1 and {r.component_id for r in got.collect() if r.doc_id in (5, 6)} == {5}
     assert J.one_of_each(odd).columns == odd.columns and J.one_of_each(odd).count() == len(ODD_TEXTS) - 1
     assert found(QUERIES["op6_shingle_groups"](spark, save(empty_documents(spark), tmp_path / "none"))) == []
+
+
+@pytest.mark.parametrize(("shingle", "percent"), [(5, 80), (2, 60)])
+def test_other_contracts_equal_brute_force(spark, shingle, percent):
+    rng = random.Random(shingle)
+    made = texts(rng, [1, 4, 5, 6, 8, 9, 10, 12, 13, 14, 17, 21, 30, 41, 60, 105, 210], 12)
+    made += [None, "", " ", "a b c d", "A B c d", "a b c d e " * 50]
+    rng.shuffle(made)
+    rows = list(enumerate(made))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    contract, want = J.Contract(shingle, percent), J.brute(rows, shingle, percent)
+    assert len({c for _, _, c in want}) < len(rows) - 50 and want != J.brute(rows, shingle, 90)
+    assert found(J.document_groups(df, contract=contract)) == want
+    for boundary in contract.boundaries:  # whichever is cheaper here
+        linked = J.components(J.links(J.keyed(df, "doc_id", "text"), boundary, contract))
+        groups = linked.groupBy("component").count().count()
+        assert groups == sum(n > 1 for n in _sizes(rows, shingle, percent))
+
+
+def _sizes(rows, shingle, percent):
+    """Numbers of different sets in each component."""
+    own = {}
+    for key, text in rows:
+        w = (text or "").lower().split()
+        own[key] = frozenset(tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))) if w else frozenset()
+    members = {}
+    for key, n, component in J.brute(rows, shingle, percent):
+        if n:
+            members.setdefault(component, set()).add(own[key])
+    return map(len, members.values())
+
+
+def test_pipeline_drops_near_copies_at_five_words(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    other = [*base[:20], "x", *base[21:60], "y", *base[61:]]  # 86 of 106 shingles of five words, 0.81; of three 0.88
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, "one of its own kind and no other")], "doc_id long, text string")
+    assert J.brute([tuple(r) for r in docs.collect()]) == [(1, 98, 1), (2, 98, 2), (3, 6, 3)]
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == [1, 3]
