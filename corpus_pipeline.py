@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages.
 
 1. Language ID drops documents whose language can't be told.
-2. Line dedup takes out lines that an equal or near line stands before.
+2. Line dedup takes out lines that an equal line of any length, or a near line, stands before.
 3. The n-gram Jaccard join (five words, 0.8) keeps one document of each group.
 4. Mixing repeats or drops documents so that sources meet their target weights.
 5. Byte-level BPE encodes every text that is left and decodes it again.
@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.deduplicated(docs)
+    return lines.deduplicated(docs, short=True)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ The check is a banded bit-parallel automaton: for every number of errors, the di
 that can be reached are the bits of an integer, which shifts and masks move on by one
 character at a time.
 
-Lines shorter than ``SHORTEST`` characters (code points) always stay.
+Near lines have ``SHORTEST`` characters (code points) or more. Shorter lines always stay by the
+query's SQL; where ``short`` is set, as in the pipeline, equal ones go too. Short blank lines, of white
+space alone, part a text and stay then.
 
 Edge cases. A null text stays null and has no lines; an empty text stays empty. A text
 whose lines all go becomes empty. A repeated row (equal id and text) is the same document
@@ -106,20 +108,21 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(~near, False).when((na == 0) | (nb == 0), True).otherwise(F.exists(pair, check))
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def numbered(df: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
     """``(doc, text_hash, at, line, id)`` of the lines that count; ``id`` is a 64-bit hash of the line."""
     docs = df.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.split(F.col(text_col), "\n").alias("lines"))
     each = docs.select("doc", "text_hash", F.posexplode("lines").alias("at", "line"))  # apart: else every line would hash the whole text
-    return each.where(F.length("line") >= SHORTEST).withColumn("id", F.xxhash64("line"))
+    counts = F.length("line") >= SHORTEST
+    return each.where(counts | F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else counts).withColumn("id", F.xxhash64("line"))
 
 
-def repeated_lines(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``(doc, text_hash, at)`` of every line that an equal or near line stands before."""
-    lines = numbered(df, id_col, text_col)
+    lines = numbered(df, id_col, text_col, short)
     place = F.struct("doc", "text_hash", "at")
     first = stored(lines.groupBy("id").agg(F.min(place).alias("first")))
     listed, looked = keys(F.col("line"), threshold)
-    distinct = lines.select("id", F.struct("doc", "text_hash", "at", listed.alias("listed"), looked.alias("looked")).alias("entry")).groupBy("id").agg(F.min("entry").alias("entry"))
+    distinct = lines.where(F.length("line") >= SHORTEST).select("id", F.struct("doc", "text_hash", "at", listed.alias("listed"), looked.alias("looked")).alias("entry")).groupBy("id").agg(F.min("entry").alias("entry"))
     entries = distinct.select("id", F.explode(F.concat(F.transform("entry.listed", lambda k: F.struct(k.alias("key"), F.lit(1).alias("listed"))), F.transform("entry.looked", lambda k: F.struct(k.alias("key"), F.lit(0).alias("listed"))))).alias("e"))
     group = Window.partitionBy("key")
     shared = entries.select("id", "e.key", "e.listed").withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).withColumn("centre", F.min(F.when(F.col("listed") == 1, F.col("id"))).over(group))
@@ -145,9 +148,9 @@ def repeated_lines(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     return lines.select("doc", "text_hash", "at", "id").join(known, "id").where((place != F.col("first")) | F.col("near")).select("doc", "text_hash", "at")
 
 
-def without_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``df`` with all its columns, and ``__quire_lines`` and ``__quire_gone``: its text's lines, and those that went."""
-    gone = repeated_lines(df, threshold, id_col, text_col).groupBy(F.col("doc").alias("__quire_doc"), F.col("text_hash").alias("__quire_hash")).agg(F.collect_set("at").alias("__quire_at"))
+    gone = repeated_lines(df, threshold, id_col, text_col, short).groupBy(F.col("doc").alias("__quire_doc"), F.col("text_hash").alias("__quire_hash")).agg(F.collect_set("at").alias("__quire_at"))
     named = df.withColumn("__quire_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))).withColumn("__quire_hash", F.xxhash64(F.col(text_col)))
     both = named.join(gone, ["__quire_doc", "__quire_hash"], "left")
     lines = F.split(F.col(text_col), "\n")
@@ -157,9 +160,9 @@ def without_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
     return both.select(*others, F.coalesce(F.size(lines), F.lit(0)).alias("__quire_lines"), F.coalesce(F.size("__quire_at"), F.lit(0)).alias("__quire_gone"))
 
 
-def deduplicated(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The rows of ``df`` with the lines that stay."""
-    return without_repeats(df, threshold, id_col, text_col).select(*[F.col(f"`{c}`") for c in df.columns])
+    return without_repeats(df, threshold, id_col, text_col, short).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def line_digests(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

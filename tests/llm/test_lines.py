@@ -89,3 +89,13 @@ def test_query(spark, sf, tmp_path):
 def test_plan_has_no_python(spark, sf):
     plan = L.line_digests(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_pipeline_drops_equal_short_lines(spark):
+    import corpus_pipeline
+
+    line = "a line of twenty or more characters"
+    rows = [(1, f"Of.\n\n{line}\nOf."), (2, f"Of.\nOn.\n \n{line}s\n\n漢"), (3, " \n漢\nNo."), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: f"Of.\n\n{line}", 2: "On.\n \n\n漢", 3: " \nNo.", 4: None}
