@@ -1,8 +1,12 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions throughout.
 
-A line goes if an equal line, or one within ``THRESHOLD`` edits, stands before it: in
+A line goes if an equal line, or one within a threshold of edits, stands before it: in
 a document of smaller id, or earlier in the same one. Lines are judged on the input.
 
+The threshold is a number (``THRESHOLD``, as in the query's SQL), or classes of length (``GROWING``):
+the shorter line of a pair decides. A line is listed in the segments of its own class, and looks
+for shorter lines in the segments of theirs.
+
 Equal lines meet in partial minima over a line's hash. For the others, a line is split
 into threshold-plus-one segments; an edit at most touches one, so that a near line has
 one of them unchanged, at a place that the two lengths leave open (the multi-match-aware
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 THRESHOLD, SHORTEST = 1, 20
+#: Least lengths, and the edits from there on: one for 20 characters. Places to look at grow with the cube of the edits (4, 12, 26, 49, 82).
+GROWING = ((20, 1), (40, 2), (60, 3))
 LOWEST = -(1 << 63)
 #: Rows up to which the hashes of lines that need a check are broadcast (16 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
@@ -56,17 +62,35 @@ def segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(0), i - (threshold + 1 - extra)), base + F.when(F.lit(i) >= threshold + 1 - extra, 1).otherwise(0)
 
 
-def keys(line: Column, threshold: int) -> tuple[Column, Column]:
+def classes(threshold: int | tuple) -> list[tuple[int, int | None, int]]:
+    """``(least length, length from which the next class holds, edits)``."""
+    found = ((0, threshold),) if isinstance(threshold, int) else threshold
+    return [(low, high, edits) for (low, edits), (high, _) in zip(found, [*found[1:], (None, 0)], strict=True)]
+
+
+def inside(length: Column, low: int, high: int | None) -> Column:
+    return (length >= low) if high is None else (length >= low) & (length < high)
+
+
+def keys(line: Column, threshold: int | tuple) -> tuple[Column, Column]:
     """Hashes under which a line is listed, and others under which it looks for lines."""
     size = F.length(line)
 
-    def key(length: Column, i: int, shift: int) -> Column:
-        start, width = segment(length, i, threshold)
-        return F.when((start + shift >= 0) & (start + shift + width <= size), F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, width)))
+    def key(length: Column, i: int, shift: int, low: int, high: int | None, edits: int) -> Column:
+        start, width = segment(length, i, edits)
+        return F.when(inside(length, low, high) & (start + shift >= 0) & (start + shift + width <= size), F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, width)))
+
+    listed = [key(size, i, 0, *c) for c in classes(threshold) for i in range(c[2] + 1)]
+    looked = [key(size - longer, i, shift, *c) for c in classes(threshold) for longer, i, shift in places(c[2]) if longer or shift]
+    return F.array_compact(F.array(*listed)), F.array_compact(F.array(*looked))
+
 
-    listed = [key(size, i, 0) for i in range(threshold + 1)]
-    looked = [key(size - longer, i, shift) for longer, i, shift in places(threshold) if longer or shift]
-    return F.array(*listed), F.array_compact(F.array(*looked))
+def near(a: Column, b: Column, threshold: int | tuple) -> Column:
+    """Whether two strings are within the edits that the shorter one's class allows."""
+    shorter, out = F.least(F.length(a), F.length(b)), F
+    for low, high, edits in classes(threshold):
+        out = out.when(inside(shorter, low, high), within(a, b, edits))
+    return out.otherwise(False)
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -104,8 +128,8 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     na, nb = F.length(a), F.length(b)
     # the characters are cut apart once: a lambda's variable holds them
     pair = F.array(F.struct(F.split(a, "").alias("l"), F.split(b, "").alias("r")))
-    near = F.abs(na - nb) <= threshold
-    return F.when(~near, False).when((na == 0) | (nb == 0), True).otherwise(F.exists(pair, check))
+    close = F.abs(na - nb) <= threshold
+    return F.when(~close, False).when((na == 0) | (nb == 0), True).otherwise(F.exists(pair, check))
 
 
 def numbered(df: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
@@ -116,7 +140,7 @@ def numbered(df: DataFrame, id_col: str, text_col: str, short: bool = False) ->
     return each.where(counts | F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else counts).withColumn("id", F.xxhash64("line"))
 
 
-def repeated_lines(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def repeated_lines(df: DataFrame, threshold: int | tuple = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``(doc, text_hash, at)`` of every line that an equal or near line stands before."""
     lines = numbered(df, id_col, text_col, short)
     place = F.struct("doc", "text_hash", "at")
@@ -135,7 +159,7 @@ def repeated_lines(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     def later(pairs: DataFrame) -> DataFrame:
         """The later lines of the pairs that are near."""
         a, b = own.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), own.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
-        return pairs.join(a, "a").join(b, "b").where(within(F.col("la"), F.col("lb"), threshold)).select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+        return pairs.join(a, "a").join(b, "b").where(near(F.col("la"), F.col("lb"), threshold)).select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
     gone = stored(later(stars))
     seen = lists.where("id != centre").join(own.select("id", "first"), "id").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
@@ -143,12 +167,12 @@ def repeated_lines(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     x, y = seen.alias("x"), seen.where("listed = 1").alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & ((F.col("x.listed") == 0) | (F.col("x.id") < F.col("y.id"))) & F.when(F.col("x.first") > F.col("y.first"), ~F.col("x.gone")).otherwise(~F.col("y.gone")))
     pairs = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    near = gone.union(later(pairs)).distinct()
-    known = first.join(near.withColumn("near", F.lit(True)), "id", "left")
+    late = gone.union(later(pairs)).distinct()
+    known = first.join(late.withColumn("near", F.lit(True)), "id", "left")
     return lines.select("doc", "text_hash", "at", "id").join(known, "id").where((place != F.col("first")) | F.col("near")).select("doc", "text_hash", "at")
 
 
-def without_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def without_repeats(df: DataFrame, threshold: int | tuple = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``df`` with all its columns, and ``__quire_lines`` and ``__quire_gone``: its text's lines, and those that went."""
     gone = repeated_lines(df, threshold, id_col, text_col, short).groupBy(F.col("doc").alias("__quire_doc"), F.col("text_hash").alias("__quire_hash")).agg(F.collect_set("at").alias("__quire_at"))
     named = df.withColumn("__quire_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))).withColumn("__quire_hash", F.xxhash64(F.col(text_col)))
@@ -160,12 +184,12 @@ def without_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
     return both.select(*others, F.coalesce(F.size(lines), F.lit(0)).alias("__quire_lines"), F.coalesce(F.size("__quire_at"), F.lit(0)).alias("__quire_gone"))
 
 
-def deduplicated(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def deduplicated(df: DataFrame, threshold: int | tuple = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The rows of ``df`` with the lines that stay."""
     return without_repeats(df, threshold, id_col, text_col, short).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def line_digests(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_digests(df: DataFrame, threshold: int | tuple = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's lines, those that went, and the digest of what is left."""
     found = without_repeats(df.select(id_col, text_col), threshold, id_col, text_col)
     return found.select(id_col, F.when(F.col(text_col).isNull(), 0).otherwise(F.col("__quire_lines")).cast("long").alias("n_lines"), F.col("__quire_gone").cast("long").alias("n_removed"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

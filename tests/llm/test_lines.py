@@ -99,3 +99,30 @@ def test_pipeline_drops_equal_short_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert got == {1: f"Of.\n\n{line}", 2: "On.\n \n\n漢", 3: " \nNo.", 4: None}
+
+
+def brute_growing(rows):
+    """Each document's text without lines that an equal or near one stands before: edits by the shorter line's length."""
+    seen, out = [], {}
+    for key, text in sorted(rows):
+        kept = []
+        for line in text.split("\n"):
+            allowed = [(s, max((e for low, e in L.GROWING if min(len(line), len(s)) >= low), default=0)) for s in seen]
+            if not any(abs(len(line) - len(s)) <= e and distance(line, s) <= e for s, e in allowed):
+                kept.append(line)
+            seen.append(line)
+        out[key] = "\n".join(kept)
+    return out
+
+
+def test_pipeline_allows_more_edits_in_longer_lines(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    bases = ["".join(rng.choices("abcdefgh ", k=k)) for k in (18, 20, 21, 38, 39, 40, 41, 42, 57, 59, 60, 61, 63, 90, 200)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(bases), rng.randrange(5)) for _ in range(rng.randrange(1, 8)))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_growing(rows)
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == want
+    one = {r.doc_id: r.text for r in L.deduplicated(docs, short=True).collect()}
+    assert sum(map(len, one.values())) > sum(map(len, want.values()))
