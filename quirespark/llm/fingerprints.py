@@ -127,22 +127,78 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return mapped.select(F.col("key").alias(id_col), "fingerprint")
 
 
-def near_copies(prints: DataFrame, id_col: str = "doc_id", bands: int = 16, at_least: float = 0.8) -> DataFrame:
-    """``(representative, id, likeness)``: each row against the least id that shares one of its bands.
+def scales(level: int, bits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(level, size, first bits)`` under which a fingerprint is banded.
 
-    A band is a set of bits of one level. Its rows meet its least id alone, so that a
-    group of copies gives as many rows as it has members, not pairs.
+    Sizes are three quarters of powers of two. A fingerprint is also banded at the next level, by the
+    samples that it has there, so that texts meet if the shorter walk has three quarters of the longer one's steps.
     """
-    width = SAMPLES // 4 // bands
-    keyed = prints.select(
-        F.col(id_col).alias("own"),
-        "fingerprint",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.substring("fingerprint", 1, 2), k, F.expr("fingerprint").substr(7 + k * width, F.lit(width))))).alias("band"),
-    )
-    least = keyed.groupBy("band").agg(F.min_by(F.struct("own", "fingerprint"), F.col("own")).alias("least"))
+    at = finer(np.arange(SAMPLES, dtype=np.int64), level + 1)
+    for own, there in ((level, bits), (level + 1, bits[at[at < len(bits)]])):
+        power = min(256, 1 << (len(there).bit_length() - 1)) if len(there) else 0
+        for size in sorted({3 * power // 4, 3 * power // 2 if power < 256 else 0} - {0} | ({1} if power == 1 else set())):
+            if size <= len(there):
+                yield own, size, there[:size]
+
+
+def band_count(width: int, at_least: float, recall: float) -> int:
+    """Bands of ``width`` bits of which two fingerprints of likeness ``at_least`` share one with chance ``recall``."""
+    same = ((1 + at_least) / 2) ** width
+    return 1 if same >= 1 else max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - same))))
+
+
+def band_keys(value: str, width: int, bands: int) -> np.ndarray:
+    """The bands of a fingerprint as 64-bit names; none for an empty one."""
+    out, number = [], np.arange(bands * width, dtype=np.int64)
+    for level, size, bits in scales(*_parsed(value)):
+        chosen = bits[(mixed(number, 4) % np.uint64(size)).astype(np.int64)].reshape(bands, width).astype(np.uint64)
+        packed = (chosen << np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        out.append(mixed(packed ^ mixed(np.arange(bands) + (level << 40) + (size << 24), 5), 6))
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def near_copies(prints: DataFrame, id_col: str = "doc_id", at_least: float = 0.8, width: int = 24, recall: float = 0.99) -> DataFrame:
+    """``(representative, id, likeness)``: links of likeness ``at_least`` and more, from the lesser id, within the bands' recall.
+
+    The rows of a band meet its least id; those that aren't alike meet the least of the others in the
+    next round, and so on until each band's rows that are left lie in one group. Links that only join
+    rows of one group are left out. Ids are distinct; null ids have no links. A band whose rows are all unlike takes as many rounds as it has rows.
+    """
+    from .common import stored
+    from .jaccard import components
+
+    bands = band_count(width, at_least, recall)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, value in records(batches):
+            found = band_keys(value, width, bands)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key, np.int64)), pa.array(found)], names=["own", "band"])
+
+    named = stored(prints.select(F.col(id_col).cast("long").alias("own"), "fingerprint").where("own is not null"))
+    left = stored(named.mapInArrow(name, "own long, band long"))
     alike = F.pandas_udf(lambda a, b: a.combine(b, likeness), "double")
-    pairs = keyed.join(least, "band").where("own > least.own").select(F.col("least.own").alias("representative"), F.col("own").alias(id_col), F.col("least.fingerprint").alias("a"), F.col("fingerprint").alias("b")).distinct()
-    return pairs.select("representative", id_col, alike("a", "b").alias("likeness")).where(F.col("likeness") >= at_least)
+    seen = links = None
+    while True:
+        if links is not None:
+            left = left.join(components(links.select(F.col("a"), F.col("b"))), left.own == F.col("class"), "left").select("own", "band", F.coalesce("component", "own").alias("component"))
+        else:
+            left = left.withColumn("component", F.col("own"))
+        open_bands = left.groupBy("band").agg(F.min("own").alias("a"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "a")
+        left = stored(left.join(open_bands, "band").select("band", "own", "a"))
+        pairs = left.where("own > a").select("a", F.col("own").alias("b")).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        if not left.take(1):
+            break
+        compared = pairs.join(named.select(F.col("own").alias("a"), F.col("fingerprint").alias("fa")), "a").join(named.select(F.col("own").alias("b"), F.col("fingerprint").alias("fb")), "b")
+        now = stored(compared.select("a", "b", alike("fa", "fb").alias("likeness")))
+        seen = now.select("a", "b") if seen is None else seen.union(now.select("a", "b"))
+        found = now.where(F.col("likeness") >= at_least)
+        links = found if links is None else links.union(found)
+        left = left.where("own > a").select("own", "band")  # the least id has met all rows of its band
+    if links is None:
+        return named.select(F.col("own").alias("representative"), F.col("own").alias(id_col), F.lit(0.0).alias("likeness")).limit(0)
+    return links.select(F.col("a").alias("representative"), F.col("b").alias(id_col), "likeness")
 
 
 def edited(text: str, following: str) -> str:

@@ -71,3 +71,43 @@ def test_near_copies_meet_the_least_id(spark):
     found = {(r.representative, r.doc_id) for r in E.near_copies(prints, at_least=0.5).collect()}
     # the walks of two texts meet again after a random time, so that a copy may be missed
     assert {b for _, b in found} <= {2, 3, 4, 5} and len({b for _, b in found}) >= 3 and all(a < b for a, b in found)
+
+
+def flipped(rng, bits, share):
+    out = bits.copy()
+    at = rng.sample(range(len(bits)), int(len(bits) * share))
+    out[at] ^= 1
+    return out
+
+
+def written(level, bits):
+    return f"{level:02x}{len(bits):04x}{np.packbits(bits).tobytes().hex()}"
+
+
+def test_near_copies_beyond_the_least_id_of_a_band(spark, monkeypatch):
+    rng = random.Random(6)
+    one, two = (np.array(rng.choices((0, 1), k=400), np.uint8) for _ in range(2))
+    two[:8] = one[:8]
+    rows = [(1, written(3, one)), (2, written(3, two)), (3, written(3, two))]
+    monkeypatch.setattr(E, "band_keys", lambda value, width, bands: np.array([7]))  # all in one band, whose least id is unlike the others
+    prints = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    assert [(r.representative, r.doc_id) for r in E.near_copies(prints).collect()] == [(2, 3)]
+
+
+def test_neighbouring_levels_share_bands():
+    rng = random.Random(7)
+    fine = np.array(rng.choices((0, 1), k=510), np.uint8)
+    at = E.finer(np.arange(512), 5)
+    coarse = np.concatenate([fine[at[at < 510]], np.array(rng.choices((0, 1), k=3), np.uint8)])
+    a, b = written(4, fine), written(5, coarse)
+    assert E.likeness(a, b) > 0.8 and len(np.intersect1d(E.band_keys(a, 24, 40), E.band_keys(b, 24, 40)))
+
+
+def test_bands_reach_their_recall():
+    rng = random.Random(9)
+    bands, met = E.band_count(24, 0.8, 0.99), 0
+    for _ in range(300):
+        bits = np.array(rng.choices((0, 1), k=rng.randrange(257, 513)), np.uint8)
+        met += bool(len(np.intersect1d(E.band_keys(written(2, bits), 24, bands), E.band_keys(written(2, flipped(rng, bits, 0.1)), 24, bands))))
+    assert met >= 280
+    assert not len(E.band_keys("000000", 24, bands))
