@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and values in a credential context that are hard to guess.
 
 Three patterns give the base spans. Besides those, every value that stands after a
-credential word (a wider list than the base pattern's, any characters but white
-space) is rated by its guess cost: the least sum of bits over all ways to cut it
+credential word (a wider list than the base pattern's, any characters up to white
+space or the quote that opened it, without marks at its end) is rated by its guess cost: the least sum of bits over all ways to cut it
 into known words, dates, repeats, keyboard walks and brute-force characters, found
 by dynamic programming over its positions. Values of ``MIN_BITS`` and more are
 spans of kind ``guess``, unless a base ``assign`` span covers them already.
@@ -33,7 +33,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # greedy runs: as long a match as without the bound, or none
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?id)["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{8,})""",
+    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?id)["']?\x20*[:=]\x20*(?:"([^\s"]{8,})|'([^\s']{8,})|([^\s"']\S{7,}))""",
     re.IGNORECASE | re.ASCII,
 )
 
@@ -44,12 +44,28 @@ WORDS = (
     "token access private public server database system manager office company home family house world spark cloud data demo temp "
     "pass word key code open close start stop black white green orange purple silver golden tiger eagle lion wolf bear computer "
     "internet google account network security january february march april june july august september october november december "
-    "monday tuesday wednesday thursday friday saturday sunday"
+    "monday tuesday wednesday thursday friday saturday sunday "
+    # prose
+    "the and for are but not you all any can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use "
+    "that with have this will your from they been good much some time very when come here just like long make many more only over such take than them well were what "
+    "about above across action active added address after again against agent allow allowed almost along already also although always among amount another answer anyone anything "
+    "appear application approach around article asked assign attempt authentication author authorization available avoid away back base based basic became because become before began begin behind being believe below best better "
+    "between beyond book both bring build business called cannot care carried case cause certain change check child choose city class clear client collect common community complete configuration "
+    "connect consider contact contain content continue control copy correct country course create created credential credentials current customer date decide default define delete describe description detail develop device "
+    "different difficult document does done down during each early easy education effect either else empty enable end enough enter entire error even event ever every everyone everything everywhere exactly except exist expect "
+    "expired explain external face fact false family field figure file final find first follow following force form format found full function further future general generate given going great group half hand happen "
+    "head help hidden high himself history hold hour however idea important include including increase information inside instance instead interest into invalid issue itself keep kind know known language large last later least "
+    "leave left length less letter level life line list little local long longer look lost machine made main mean member message method might minute missing moment month most mother must name national nature near need never next night none "
+    "nothing notice number object often once online option optional order original other others outside page paper part party people perhaps period person place plain point policy possible power present problem process "
+    "produce program project protected provide provider question quite rather read reader ready real reason receive recent record remain remember remote remove report request require required reset result return right rotate safe same save school search second "
+    "section secure seem select send sent server service session several shall short should show side similar simple since small social something sometimes soon special stand state still stored story string strong student study subject "
+    "support sure table tell term text their then there therefore these thing think third those though thought three through today together toward true turn type unable unbelievable under understand unique unknown until update upon user username using usual usually valid value various version view "
+    "visit wait want water week where whether which while whole whose within without woman wonderful working would write wrong year young yourself"
 ).split()
 # The rows that keyboard walks follow, forwards or backwards.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "0123456789", "abcdefghijklmnopqrstuvwxyz")
 
-RANK = {word: rank for rank, word in enumerate(WORDS, 2)}
+RANK = {word: rank for rank, word in enumerate(dict.fromkeys(WORDS), 2)}
 LONGEST = max(map(len, WORDS))
 STEPS = {pair for row in ROWS for way in (row, row[::-1]) for pair in zip(way, way[1:], strict=False)}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
@@ -62,7 +78,7 @@ def char_bits(c: str) -> float:
     if c.isdigit():
         return math.log2(10)
     if c.isalpha():
-        return math.log2(26) if c.isascii() else math.log2(100)
+        return math.log2(52) if c.isascii() else math.log2(100)  # either case
     return math.log2(33)
 
 
@@ -115,12 +131,10 @@ def guess_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     assigned = [(a, b) for a, kind, b in base if kind == 0]
     found = []
     for m in CONTEXT.finditer(text):
-        start, value = m.start(1), m[1].rstrip(".:!?)]}")
+        start, value = m.start(m.lastindex), m[m.lastindex].rstrip(".,:;!?)]}>\"'")
         end = start + len(value)
         if len(value) < MIN_LENGTH or any(a <= start and end <= b for a, b in assigned):
             continue
-        if value.isalpha() or not any(c.isalnum() for c in value):  # a plain word of prose, or a rule of signs
-            continue
         if guess_bits(value) >= MIN_BITS:
             found.append((start, 3, end))
     return found

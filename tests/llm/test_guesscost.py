@@ -83,3 +83,13 @@ def test_query(spark, sf, tmp_path):
             base = G.base_spans(r.text or "")
             assert r.spans == G.joined(sorted(base + G.guess_spans(r.text or "", base)))
     assert QUERIES["op5_guess_cost_secrets"](spark, save(empty_documents(spark), tmp_path / "none")).count() == 0
+
+
+def test_every_value_is_rated():
+    def values(text):
+        return [text[a:b] for a, _, b in G.guess_spans(text, G.base_spans(text))]
+
+    assert values("pwd: xkqvzwjrpb and passphrase=QmZtWvKxRbLp, token=vkqzjwxrt") == ["xkqvzwjrpb", "QmZtWvKxRbLp", "vkqzjwxrt"]
+    assert values("pwd=x9K!p2Qz. pwd=ab,Cd9!<x;Q7 end") == ["x9K!p2Qz", "ab,Cd9!<x;Q7"]
+    assert values("""{"pwd": "a'Kx9!z,Qp", 'pwd': 'b"Kx9!z;Qp'}""") == ["a'Kx9!z,Qp", 'b"Kx9!z;Qp']
+    assert values("token: everything, credentials: information; pwd=-------- secret: (something) pwd: 'short', more") == []
