@@ -78,11 +78,12 @@ def keys(line: Column, threshold: int | tuple) -> tuple[Column, Column]:
 
     def key(length: Column, i: int, shift: int, low: int, high: int | None, edits: int) -> Column:
         start, width = segment(length, i, edits)
-        return F.when(inside(length, low, high) & (start + shift >= 0) & (start + shift + width <= size), F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, width)))
+        there = (start + shift >= 0) & (start + shift + width <= size)
+        return F.when(there if low == 0 and high is None else inside(length, low, high) & there, F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, width)))
 
     listed = [key(size, i, 0, *c) for c in classes(threshold) for i in range(c[2] + 1)]
     looked = [key(size - longer, i, shift, *c) for c in classes(threshold) for longer, i, shift in places(c[2]) if longer or shift]
-    return F.array_compact(F.array(*listed)), F.array_compact(F.array(*looked))
+    return F.array(*listed) if isinstance(threshold, int) else F.array_compact(F.array(*listed)), F.array_compact(F.array(*looked))
 
 
 def near(a: Column, b: Column, threshold: int | tuple) -> Column:
