@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from dataclasses import replace
 
 COMMANDS = ("convert", "translate")
 
@@ -36,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None, spark=None, provider=None) -> int:
+def main(argv: list[str] | None = None, spark=None, provider=None, providers=None) -> int:
     args = parser().parse_args(with_command(sys.argv[1:] if argv is None else argv))
     if not args.command:
         parser().print_help()
@@ -44,32 +45,46 @@ def main(argv: list[str] | None = None, spark=None, provider=None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from .functions.text import relative_path
     from .plans import sinks
-    from .plans.convert import convert, docx_assets
+    from .plans.convert import conversion
     from .plans.translate import translate
+    from .providers import Providers
+    from .scratch import stored
     from .sources.files import read_files
 
     spark = spark or SparkSession.builder.appName("quirespark").getOrCreate()
     root = os.path.abspath(".")
     docs = read_files(spark, args.input)
     tell(args.progress, stage="prepare")
+    target = os.path.relpath(args.output, root) if args.output and os.path.isabs(args.output) else args.output
+    assets = events = None
     if args.command == "convert":
-        done = convert(docs, mode=args.pdf_mode)
+        layout = sinks.placed(docs.select("doc_id"), target=target)
+        folder = F.lit(args.assets_dir) if args.assets_dir else F.col("assets_dir")
+        links = layout.select("doc_id", folder.alias("folder"), relative_path(folder, F.col("output_dir")).alias("assets"))
+        chosen = providers or Providers()
+        if not args.pdf_formula_ocr:
+            chosen = replace(chosen, formula=None)
+        made = conversion(docs.join(links.select("doc_id", "assets"), "doc_id"), mode=args.pdf_mode, providers=chosen)
+        done, assets, events = stored(made.documents), made.assets.join(links, "doc_id"), made.events
         suffix = None
         if args.translate:
-            done = translate(done, provider, args.translation_service).join(done.drop("markdown"), "doc_id")
+            done = stored(translate(done, provider, args.translation_service).join(done.drop("markdown"), "doc_id"))
     else:
         text = docs.select("doc_id", F.decode("content", "UTF-8").alias("markdown"))
-        done, suffix = translate(text, provider, args.service, args.lang_in, args.lang_out), f"_{args.lang_out}"
-    target = os.path.relpath(args.output, root) if args.output and os.path.isabs(args.output) else args.output
+        done, suffix = stored(translate(text, provider, args.service, args.lang_in, args.lang_out)), f"_{args.lang_out}"
     placed = sinks.placed(done, target=target, suffix=suffix)
+    if args.progress and events is not None:
+        for row in events.orderBy("doc_id", "seq").toLocalIterator():
+            tell(True, stage=row.stage, current=row.current, total=row.total)
     tell(args.progress, stage="write")
     sinks.write_files(sinks.markdown_files(placed), root)
-    if args.command == "convert":
+    if assets is not None:
         sinks.write_files(sinks.source_copies(placed, docs), root)
-        folder = F.lit(args.assets_dir) if args.assets_dir else F.col("assets_dir")
-        images = docx_assets(docs.where("ext = '.docx'")).join(placed.select("doc_id", "assets_dir"), "doc_id")
-        sinks.write_files(images.select(F.concat(folder, F.lit("/"), "rel_path").alias("path"), "content"), root)
+        if not args.assets_dir:
+            sinks.reset_folders(placed.select("assets_dir"), root)
+        sinks.write_files(assets.select(F.concat("folder", F.lit("/"), "rel_path").alias("path"), "content"), root)
     for row in placed.select("output").toLocalIterator():
         print(os.path.join(root, row.output))
     tell(args.progress, stage="done")

@@ -59,10 +59,11 @@ def admitted_tables(tables: DataFrame, regions: DataFrame) -> DataFrame:
     return tables.join(r, same & (overlap_ratio(box(), box("r_")) > 0.6), "left_anti").withColumn("confidence", F.lit(1.0))
 
 
-def deduplicated_regions(regions: DataFrame) -> DataFrame:
-    """Regions of a page by falling confidence; one that overlaps a kept one of its label by more than 0.8 goes.
+def region_lists(regions: DataFrame) -> DataFrame:
+    """``(doc_id, page_no, regions)``: the regions of a page that stay, in order of (y0, x0) and numbered from 1 as ``region_no``.
 
-    Adds ``region_no``, from 1 in order of (y0, x0). The fold runs over the regions of one page.
+    Regions come by falling confidence; one that overlaps a kept one of its label by more than 0.8 goes. The fold
+    runs over the regions of one page.
     """
     fields = [c for c in regions.columns if c not in PAGE]
     entry = F.struct((-F.col("confidence")).alias("rank"), F.col("seq").alias("tie"), F.struct(*fields).alias("r"))
@@ -75,7 +76,12 @@ def deduplicated_regions(regions: DataFrame) -> DataFrame:
     every = F.transform("all", lambda e: e["r"])
     kept = F.aggregate(every, F.slice(every, 1, 0), lambda acc, r: F.when(F.exists(acc, lambda k: overlaps(k, r)), acc).otherwise(F.concat(acc, F.array(r))))
     ordered = F.array_sort(F.transform(kept, lambda r: F.struct(r["y0"].alias("y"), r["x0"].alias("x"), (-r["confidence"]).alias("c"), r["seq"].alias("s"), r.alias("r"))))
-    return listed.select(*PAGE, F.posexplode(ordered).alias("i", "o")).select(*PAGE, *[F.col(f"o.r.{c}").alias(c) for c in fields], (F.col("i") + 1).alias("region_no"))
+    return listed.select(*PAGE, F.transform(ordered, lambda o, i: F.struct(*[o["r"][c].alias(c) for c in fields], (i + 1).alias("region_no"))).alias("regions"))
+
+
+def deduplicated_regions(regions: DataFrame) -> DataFrame:
+    """The regions of :func:`region_lists`, a row for each."""
+    return region_lists(regions).select(*PAGE, F.explode("regions").alias("r")).select(*PAGE, "r.*")
 
 
 def asset_name(page_no: Column, number: Column, label: Column) -> Column:
@@ -134,7 +140,7 @@ def reading_order(items: DataFrame, page_width: Column) -> DataFrame:
     return reading_keys(items, page_width).withColumn("position", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*ORDER)))
 
 
-def page_text(items: DataFrame, page_width: Column) -> DataFrame:
-    """``(doc_id, page_no, text)``: a page's items in reading order, blank lines between."""
+def page_text(items: DataFrame, page_width: Column, *more: Column) -> DataFrame:
+    """``(doc_id, page_no, text, *more)``: a page's items in reading order, blank lines between; ``more`` are aggregates of a page."""
     entries = F.array_sort(F.collect_list(F.struct(*ORDER, "text")))
-    return reading_keys(items, page_width).groupBy(*PAGE).agg(F.array_join(F.transform(entries, lambda e: e["text"]), "\n\n").alias("text"))
+    return reading_keys(items, page_width).groupBy(*PAGE).agg(F.array_join(F.transform(entries, lambda e: e["text"]), "\n\n").alias("text"), *more)

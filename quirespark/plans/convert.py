@@ -1,68 +1,254 @@
-"""Whole documents to Markdown: PDF, Word, HTML and text."""
+"""Whole documents to Markdown: PDF, Word, HTML and text.
+
+Each file is parsed once. What a parser finds is stored in the shared folder, so that documents, assets and
+progress, which all read it, don't parse again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import merged_table_slots, refilled, sanitised, unescaped_math
+from ..functions.geometry import render_box
+from ..functions.text import cleaned_latex, merged_table_slots, refilled, sanitised, unescaped_math
 from ..operators import layout as L
+from ..providers import Providers, ready
+from ..registry import CONVERTERS, Converter, register, routed
+from ..schemas import ASSETS
+from ..scratch import stored
+from ..shipping import ship
 from ..sources import files, pdf
 from . import pages
 
+#: Points around a region that are rendered with it: for a picture, and for a formula that is read.
+PADDING = {"figure": 0.0, "table": 0.0, "isolate_formula": 2.0}
+
+
+@dataclass
+class Conversion:
+    """``documents``: ``(doc_id, markdown, title, error)``; ``assets``: ``(doc_id, rel_path, mime, content)``; ``events``: ``(doc_id, seq, stage, current, total)``."""
+
+    documents: DataFrame
+    assets: DataFrame | None = None
+    events: DataFrame | None = None
+
+
+def none(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
+
+
+# --- PDF -------------------------------------------------------------------
+
+
+def known_blocks(parsed: DataFrame) -> DataFrame:
+    return L.block_stats(files.page_blocks(parsed))
+
 
-def pdf_markdown(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, regions: DataFrame | None = None, assets: str | None = None) -> DataFrame:
-    """``(doc_id, markdown, error)`` of PDF files. Regions come from a detector, if there is one."""
+def region_table(parsed: DataFrame) -> DataFrame:
+    """Detected regions, and found tables that none of them covers."""
+    detected = files.page_regions(parsed, "regions").where(F.col("label").isin(*L.RICH))
+    return detected.unionByName(L.admitted_tables(files.page_regions(parsed, "tables"), detected))
+
+
+def rendered(docs: DataFrame, regions: DataFrame, sizes: DataFrame, providers: Providers) -> DataFrame:
+    """``(doc_id, page_no, region_no, label, png, latex)``: what the render and formula providers make of the regions.
+
+    Only documents with regions are read again. A provider that fails leaves its region without a result.
+    """
+    full = [F.lit(0.0), F.lit(0.0), F.col("page_width"), F.col("page_height")]
+
+    def boxed(r: Column) -> Column:
+        box = [r[c].cast("double") for c in ("x0", "y0", "x1", "y1")]
+        padded = F.when(r["label"] == "isolate_formula", render_box(box, full, PADDING["isolate_formula"])).otherwise(render_box(box, full, 0.0))
+        return F.struct(r["region_no"].cast("int").alias("region_no"), r["label"].alias("label"), padded.alias("box"))
+
+    each = regions.join(sizes.select(*L.PAGE, "page_width", "page_height"), L.PAGE).select(*L.PAGE, F.transform("regions", boxed).alias("regions"))
+    listed = each.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "regions")).alias("pages"))
+    key = docs.schema["doc_id"].dataType
+    render, formula, cache = providers.render, providers.formula, providers.cache
+
+    def made(provider, *arguments):
+        if provider is None:
+            return None
+        try:
+            return provider(*arguments)
+        except Exception:  # one region without a result
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw, read = ready(render, cache), ready(formula, cache)
+        for batch in batches:
+            for doc, content, own in zip(*batch.columns, strict=True):
+                rows, data = [], content.as_py() or b""
+                for page in own.as_py():
+                    for r in page["regions"]:
+                        if r["box"] is not None:
+                            box = tuple(r["box"][c] for c in ("x0", "y0", "x1", "y1"))
+                            is_formula = r["label"] == "isolate_formula"
+                            rows.append((doc.as_py(), page["page_no"], r["region_no"], r["label"], None if is_formula else made(draw, data, page["page_no"], box), made(read, data, page["page_no"], box) if is_formula else None))
+                if rows:
+                    columns = list(zip(*rows, strict=True))
+                    kinds = [doc.type, pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "page_no", "region_no", "label", "png", "latex"])
+
+    both = docs.select("doc_id", F.col("content").cast("binary").alias("content")).join(listed, "doc_id")
+    found = both.mapInArrow(run, f"doc_id {key.simpleString()}, page_no int, region_no int, label string, png binary, latex string")
+    return found.withColumn("latex", cleaned_latex(F.col("latex")))
+
+
+def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None) -> Conversion:
+    """PDF files. Regions come from a table, or from a layout provider; without either there are none."""
     if mode not in ("academic", "fast"):
         raise ValueError(f"unknown mode: {mode}")
-    blocks, errors = files.pdf_blocks(docs, provider)
-    known = L.block_stats(blocks)
+    ship(docs.sparkSession)
+    chosen = providers or Providers()
+    if assets is not None:
+        docs = docs.withColumn("assets", F.lit(assets))
+    parsed = stored(files.parsed_pdf(docs, provider, chosen if mode == "academic" else None))
     width, height = F.col("page_width"), F.col("page_height")
-    quick = pages.fast(known, width, height)
+    failed, whole = parsed.where("page_no is null"), parsed.where("page_no is not null")
+    events = whole.select("doc_id", F.lit("pages").alias("stage"), F.col("page_no").alias("current"), F.col("pages").alias("total"))
+    errors = failed.select("doc_id", F.when(F.lit(mode == "academic"), F.concat(F.lit(pages.FAILED), F.col("error"), F.lit(" -->\n\n"))).alias("markdown"), "error")
     if mode == "fast":
-        return errors.join(quick, "doc_id", "left").select("doc_id", "markdown", "error")
-    spark = docs.sparkSession
-    found = regions if regions is not None else spark.createDataFrame([], "doc_id string, page_no int, seq int, label string, confidence double, x0 int, y0 int, x1 int, y1 int")
-    spans = known.select("doc_id", "page_no", "text", "y0", "y1", "page_height", F.explode(F.flatten(F.transform("lines", lambda line: line["spans"]))).alias("s"))
-    samples = spans.withColumn("size", F.col("s.size"))
-    full = pages.academic(known, samples, found, width, height, F.lit(assets).cast("string"))
-    return pages.with_fallback(errors.join(full, "doc_id", "left"), quick)
+        done = whole.select("doc_id").distinct().join(pages.fast(known_blocks(whole), width, height), "doc_id", "left")
+        return Conversion(done.withColumn("error", none()).unionByName(errors.withColumn("markdown", none())), None, events)
+    lists = made = results = None
+    if regions is not None or chosen.layout is not None or chosen.tables is not None:
+        found = region_table(whole)
+        if regions is not None:
+            found = found.unionByName(regions.where(F.col("label").isin(*L.RICH)).select(*found.columns))
+        lists = L.region_lists(found)
+        if chosen.render is not None or chosen.formula is not None:
+            lists = stored(lists)
+            made = stored(rendered(docs, lists, whole, chosen))
+            read = F.collect_list(F.when(F.col("latex").isNotNull(), F.struct("region_no", "latex")))
+            results = made.groupBy(*L.PAGE).agg(F.map_from_entries(read).alias("latex"), F.collect_list(F.when(F.col("png").isNotNull(), F.col("region_no"))).alias("drawn"))
+    links = F.col("assets") if chosen.render is not None else none()  # without a picture there is no link, and the text stays
+    every = whole.select(*L.PAGE, "page_width", "note", "assets")
+    spans = F.flatten(F.transform("lines", lambda line: line["spans"]))
+    full = pages.academic(known_blocks(whole), F.transform(spans, lambda s: s["size"]), lists, width, height, links, results, every)
+    pictures = None
+    if made is not None:
+        folder = whole.select(*L.PAGE, "assets")
+        name = L.asset_name(F.col("page_no"), F.col("region_no"), F.col("label"))
+        pictures = made.where("png is not null").join(folder, L.PAGE).where("assets is not null").select("doc_id", name.alias("rel_path"), F.lit("image/png").alias("mime"), F.col("png").alias("content"))
+    return Conversion(full.withColumn("error", none()).unionByName(errors), pictures, events)
+
+
+def pdf_markdown(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None) -> DataFrame:
+    """``(doc_id, markdown, error)`` of PDF files."""
+    return pdf_conversion(docs, mode, provider, regions, assets, providers).documents
+
+
+# --- HTML and Word ---------------------------------------------------------
 
 
 def html_markdown(html: DataFrame) -> DataFrame:
-    """``(doc_id, markdown, title)``: tables with merged cells stay HTML, formulas lose their escapes."""
+    """``(doc_id, markdown, title)`` and ``error`` if there is one: tables with merged cells stay HTML, formulas lose their escapes."""
     shown, pairs = merged_table_slots(F.col("html"))
     slots = html.withColumn("slots", pairs).withColumn("shown", shown)
     done = slots.withColumn("m", files.html_to_markdown(F.col("shown")))
-    return done.select("doc_id", unescaped_math(refilled(F.col("m.markdown"), F.col("slots"))).alias("markdown"), F.coalesce(*([F.col("title")] if "title" in html.columns else []), F.col("m.title")).alias("title"))
+    title = F.coalesce(*([F.col("title")] if "title" in html.columns else []), F.col("m.title"))
+    text = unescaped_math(refilled(F.col("m.markdown"), F.col("slots")))
+    if "error" in html.columns:
+        return done.select("doc_id", F.when(F.col("error").isNull(), text).alias("markdown"), title.alias("title"), "error")
+    return done.select("doc_id", text.alias("markdown"), title.alias("title"))
+
 
+def docx_conversion(docs: DataFrame, style_map: str | None = None) -> Conversion:
+    """Word packages. Style names of ``style_map`` come after the headings that a package itself defines."""
+    ship(docs.sparkSession)
+    parsed = stored(files.parsed_docx(docs, style_map))
+    pictures = parsed.select("doc_id", F.explode("images").alias("i")).select("doc_id", F.col("i.name").alias("rel_path"), "i.mime", "i.content")
+    steps = parsed.where("error is null").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("current")).select("doc_id", F.lit("docx").alias("stage"), "current", F.lit(4).alias("total"))
+    shown = F.filter("images", lambda i: i["name"].rlike(r"^image-\d+\.(gif|jpg|png|svg)\z"))
+    images = parsed.select("doc_id", F.size(shown).alias("total")).where("total > 0").select("doc_id", F.lit("images").alias("stage"), F.explode(F.sequence(F.lit(1), F.col("total"))).alias("current"), "total")
+    return Conversion(html_markdown(parsed.drop("images")), pictures, steps.unionByName(images))
 
-def docx_markdown(docs: DataFrame) -> DataFrame:
+
+def docx_markdown(docs: DataFrame, style_map: str | None = None) -> DataFrame:
     """``(doc_id, markdown, title, error)`` of Word packages."""
-    parsed = docs.select("doc_id", files.parsed_docx(F.col("content")).alias("p")).select("doc_id", "p.html", "p.title", "p.error")
-    done = html_markdown(parsed.where("error is null").select("doc_id", "html", "title"))
-    return parsed.select("doc_id", "error").join(done, "doc_id", "left").select("doc_id", "markdown", "title", "error")
+    ship(docs.sparkSession)
+    return html_markdown(files.parsed_docx(docs, style_map).drop("images"))
 
 
 def docx_assets(docs: DataFrame) -> DataFrame:
     """``(doc_id, rel_path, mime, content)`` of the images of Word packages."""
-    parsed = docs.select("doc_id", files.parsed_docx(F.col("content")).alias("p"))
-    return parsed.select("doc_id", F.explode("p.images").alias("i")).select("doc_id", F.col("i.name").alias("rel_path"), "i.mime", "i.content")
+    return docx_conversion(docs).assets
+
+
+# --- any file --------------------------------------------------------------
+
+
+def _pdf(docs: DataFrame, options: dict) -> Conversion:
+    known = {k: options[k] for k in ("mode", "provider", "regions", "assets", "providers") if options.get(k) is not None}
+    return pdf_conversion(docs, **known)
+
+
+def _docx(docs: DataFrame, options: dict) -> Conversion:
+    return docx_conversion(docs, options.get("style_map"))
+
+
+def _html(docs: DataFrame, options: dict) -> Conversion:
+    return Conversion(html_markdown(docs.select("doc_id", F.decode("content", "UTF-8").alias("html"))))
+
+
+def _text(docs: DataFrame, options: dict) -> Conversion:
+    return Conversion(docs.select("doc_id", F.decode("content", "UTF-8").alias("markdown")))
+
+
+def _built_in() -> None:
+    from ..functions.files import accepts_docx, accepts_pdf
+
+    ending = lambda *known: lambda ext, _: F.lower(F.coalesce(ext, F.lit(""))).isin(*known)
+    for converter in (Converter("pdf", accepts_pdf, _pdf, -1.0), Converter("docx", accepts_docx, _docx, -1.0), Converter("html", ending(".html", ".htm"), _html), Converter("text", ending(".md", ".txt"), _text)):
+        if converter.name not in CONVERTERS:
+            register(converter)
+
+
+_built_in()
+
+
+def conversion(docs: DataFrame, **options) -> Conversion:
+    """Files of any kind that a registered converter takes; all options go to each of them.
+
+    ``docs`` may have ``assets``, the folder that a document's links to its assets begin with.
+    """
+    names = {"doc_id": docs.schema["doc_id"].dataType}
+    dealt = routed(docs)
+    columns = ("doc_id", "markdown", "title", "error")
+    documents, assets, events = [], [], []
+    for converter in CONVERTERS.values():
+        made = converter.run(dealt.where(F.col("converter") == converter.name), options)
+        whole = made.documents
+        for c in ("title", "error"):
+            whole = whole if c in whole.columns else whole.withColumn(c, none())
+        documents.append(whole.select(*columns))
+        assets += [made.assets] if made.assets is not None else []
+        events += [made.events] if made.events is not None else []
+        last = whole.select("doc_id", F.lit("markdown").alias("stage"), F.lit(1).alias("current"), F.lit(1).alias("total"))
+        events.append(last)
+
+    def union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    whole = union(documents).withColumn("markdown", sanitised(F.col("markdown")))
+    key = names["doc_id"].simpleString()
+    none_yet = docs.sparkSession.createDataFrame([], ", ".join([f"doc_id {key}", *[f"{f.name} {f.dataType.simpleString()}" for f in ASSETS.fields[1:]]]))
+    rank = F.when(F.col("stage") == "markdown", 3).when(F.col("stage") == "images", 2).otherwise(1)
+    return Conversion(whole, union([none_yet, *assets]), union(events).withColumn("seq", rank * F.lit(1 << 32) + F.col("current")))
 
 
-def convert(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse) -> DataFrame:
+def convert(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, **options) -> DataFrame:
     """``(doc_id, markdown, title, error)`` of files of any kind that a converter takes."""
-    routed = files.routed(docs)
-    none = F.lit(None).cast("string")
-    from_pdf = pdf_markdown(routed.where("converter = 'pdf'"), mode, provider).select("doc_id", "markdown", none.alias("title"), "error")
-    from_docx = docx_markdown(routed.where("converter = 'docx'"))
-    decoded = F.decode("content", "UTF-8")
-    from_html = html_markdown(routed.where("converter = 'html'").select("doc_id", decoded.alias("html"))).withColumn("error", none)
-    from_text = routed.where("converter = 'text'").select("doc_id", decoded.alias("markdown"), none.alias("title"), none.alias("error"))
-    whole = from_pdf.unionByName(from_docx).unionByName(from_html).unionByName(from_text)
-    return whole.withColumn("markdown", sanitised(F.col("markdown")))
+    return conversion(docs, mode=mode, provider=provider, **options).documents
 
 
 def convert_path(spark: SparkSession, path: str, **options) -> DataFrame:

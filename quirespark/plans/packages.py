@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 import zlib
 from xml.sax.saxutils import escape
@@ -37,3 +38,68 @@ def pdf(doc_id: int, body: str) -> bytes:
         out.append(b"%d 0 obj\n<< /Type /Page /MediaBox [0 0 600 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>\nendobj\n" % (n, n + 1))
         out.append(b"%d 0 obj\n<< /Length %d /Filter /FlateDecode >>\nstream\n" % (n + 1, len(packed)) + packed + b"\nendstream\nendobj\n")
     return b"%PDF-1.4\n" + b"".join(out) + b"%%EOF"
+
+
+def html(doc_id: int, body: str) -> bytes:
+    lines = "".join(f"<p>{escape(x)}</p>" for x in (body or "").split("\n"))
+    rest = f"<ol><li>one<ul><li><em>in</em> it</li></ul></li><li><a href='u'>two</a></li></ol><table><tr><th>n</th><th><b>v</b></th></tr><tr><td>{doc_id}</td><td>a|b</td></tr></table>"
+    return f"<!DOCTYPE html><html><head><title>t</title><style>p {{}}</style></head><body><h1>Document {doc_id}</h1>{lines}{rest}<script>no()</script></body></html>".encode()
+
+
+def packed_pdf(doc_id: int, body: str) -> bytes:
+    """The same pages as newer programs write them: objects in a compressed object stream, a cross-reference stream
+    instead of a table, entries that pages inherit or refer to, a two-byte font with a ToUnicode map, text
+    placed by a matrix, and every second line in a form that uses a graphics state of its page.
+    """
+    lines = (body or "").split("\n")
+    shown = [lines[i : i + 12] for i in range(0, len(lines), 12)]
+    code = {c: k for k, c in enumerate(sorted(set(body or "")), 1)}
+    entries = [f"<{k:04x}> <{c.encode('utf-16-be').hex()}>" for c, k in code.items()]
+    groups = [f"{len(entries[i : i + 100])} beginbfchar\n" + "\n".join(entries[i : i + 100]) + "\nendbfchar" for i in range(0, len(entries), 100)]
+    cmap = "/CIDInit /ProcSet findresource begin begincmap 1 begincodespacerange <0000> <ffff> endcodespacerange\n" + "\n".join(groups) + "\nendcmap"
+
+    def text(line: str) -> str:
+        return "<" + "".join(f"{code[c]:04x}" for c in line) + ">"
+
+    packed = {
+        1: "<</Type/Catalog/Pages 2 0 R>>",
+        2: f"<</Type/Pages/Count {len(shown)}/Kids[{' '.join(f'{10 + 4 * k} 0 R' for k in range(len(shown)))}]/MediaBox 6 0 R/Resources 7 0 R>>",
+        3: "<</Type/Font/Subtype/Type0/BaseFont/ABCDEF+Quire/Encoding/Identity-H/DescendantFonts[4 0 R]/ToUnicode 8 0 R>>",
+        4: "<</Type/Font/Subtype/CIDFontType2/BaseFont/ABCDEF+Quire/DW 500>>",
+        5: "<</Type/ExtGState/Font[3 0 R 10]>>",
+        6: "[0 0 600 842]",
+        7: "<</Font<</F1 3 0 R>>/ExtGState<</GS1 5 0 R>>>>",
+    }
+    streams: dict[int, tuple[str, bytes]] = {8: ("", cmap.encode())}
+    for k, page in enumerate(shown):
+        n = 10 + 4 * k
+        forms = "".join(f"/X{i} {n + 2} 0 R" for i in range(1, len(page), 2))
+        packed[n] = f"<</Type/Page/Parent 2 0 R/Contents {n + 3} 0 R" + (f"/Resources<</Font<</F1 3 0 R>>/ExtGState<</GS1 5 0 R>>/XObject {n + 1} 0 R>>" if forms else "") + ">>"
+        packed[n + 1] = "<<" + "".join(f"/X{i} {1_000_000 + 100 * n + i} 0 R" for i in range(1, len(page), 2)) + ">>"
+        placed = []
+        for i, line in enumerate(page):
+            y = 842 - 110 - 50 * i
+            if i % 2:
+                streams[1_000_000 + 100 * n + i] = ("/Type/XObject/Subtype/Form/BBox[0 0 600 842]/Resources<<>>", f"BT /GS1 gs {text(line)} Tj ET".encode())
+                placed.append(f"q 1 0 0 1 40 {y} cm /X{i} Do Q")
+            else:
+                placed.append(f"q 1 0 0 1 40 {y} cm BT /F1 10 Tf [{text(line)}] TJ ET Q")
+        streams[n + 3] = ("", "\n".join(placed).encode())
+    heads, bodies, at = [], [], 0
+    for number, value in packed.items():
+        heads.append(f"{number} {at}")
+        bodies.append(value)
+        at += len(value) + 1
+    first = len(" ".join(heads)) + 1
+    streams[9] = (f"/Type/ObjStm/N {len(packed)}/First {first}", (" ".join(heads) + "\n" + "\n".join(bodies)).encode())
+    out, spots = b"%PDF-1.5\n", {}
+    for number, (head, data) in streams.items():
+        spots[number] = len(out)
+        small = zlib.compress(data)
+        out += f"{number} 0 obj\n<<{head}/Filter/FlateDecode/Length {len(small)}>>\nstream\n".encode() + small + b"\nendstream\nendobj\n"
+    rows = [bytes(5), *(struct.pack(">BI", 1, spot) for spot in spots.values())]
+    ups = b"".join(b"\x02" + bytes((x - y) & 255 for x, y in zip(row, above, strict=True)) for above, row in zip(rows, rows[1:], strict=False))  # differences from the row above
+    small = zlib.compress(ups)
+    index = " ".join(f"{number} 1" for number in spots)
+    end = f"9999999 0 obj\n<</Type/XRef/Root 1 0 R/W[1 4 0]/Index[{index}]/Filter/FlateDecode/DecodeParms<</Predictor 12/Columns 5>>/Length {len(small)}>>\nstream\n".encode()
+    return out + end + small + f"\nendstream\nendobj\nstartxref\n{len(out)}\n%%EOF".encode()

@@ -29,7 +29,7 @@ def write_files(files: DataFrame, root: str) -> int:
         done = 0
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                full = f"{base}/{path}"
+                full = path if path.startswith("/") else f"{base}/{path}"
                 store.create_dir(full.rpartition("/")[0])
                 part = f"{full}.{uuid4().hex}"
                 with store.open_output_stream(part) as out:
@@ -41,6 +41,25 @@ def write_files(files: DataFrame, root: str) -> int:
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def reset_folders(folders: DataFrame, root: str) -> int:
+    """Deletes the folders below ``root`` of a one-column table, with what an earlier run left there; returns how many there were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        gone = 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                full = path if path.startswith("/") else f"{base}/{path}"
+                if store.get_file_info(full).type == fs.FileType.Directory:
+                    store.delete_dir(full)
+                    gone += 1
+        yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], names=["n"])
+
+    return folders.distinct().mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def markdown_files(placed_docs: DataFrame) -> DataFrame:
     return placed_docs.select(F.col("output").alias("path"), F.encode(F.coalesce("markdown", F.lit("")), "UTF-8").alias("content"))
 

@@ -2,30 +2,63 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import LIMITS, chunks, prefix_split, protect, restore
-from ..operators.blocks import joined_blocks, markdown_blocks
+from ..operators.blocks import markdown_blocks
+
+
+ATTEMPTS, PAUSE = 3, 0.5
 
 
 def translate(df: DataFrame, provider: Callable[[str, str, str], str] | None = None, service: str = "google", lang_in: str = "en", lang_out: str = "zh", id_col: str = "doc_id", text_col: str = "markdown") -> DataFrame:
     """``(id, markdown)``. ``provider(text, lang_in, lang_out)`` gets a chunk at a time; without one the text stays as it is."""
+    return translated(df, provider, service, lang_in, lang_out, id_col, text_col).select(id_col, "markdown")
+
+
+def translated(df: DataFrame, provider: Callable[[str, str, str], str] | None = None, service: str = "google", lang_in: str = "en", lang_out: str = "zh", id_col: str = "doc_id", text_col: str = "markdown", pause: float = PAUSE) -> DataFrame:
+    """``(id, markdown, blocks, translation_error)``: :func:`translate` with the number of translated blocks and the first error.
+
+    A chunk that the provider fails on is tried again, ``ATTEMPTS`` times in all with growing pauses; then it stays as it is.
+    """
     if service not in LIMITS:
         raise ValueError(f"unsupported translation service: {service}")
     blocks = markdown_blocks(df, id_col, text_col)
     ends = F.col("text").endswith("\n")
     bare = F.when(ends, F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
     parts = blocks.withColumn("ends", ends).withColumn("split", prefix_split(bare)).withColumn("safe", protect(F.col("split.body"))).withColumn("chunks", chunks(F.col("safe.text"), LIMITS[service]))
+    error = F.lit(None).cast("string")
     if provider is not None:
 
-        def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield batch.map(lambda texts: [provider(t, lang_in, lang_out) for t in texts])
+        def one(text: str) -> tuple[str, str | None]:
+            for attempt in range(ATTEMPTS):
+                try:
+                    return provider(text, lang_in, lang_out), None
+                except Exception as e:  # the next attempt, or the text as it is
+                    failed = f"{type(e).__name__}: {e}"
+                    if attempt + 1 < ATTEMPTS:
+                        time.sleep(pause * 2**attempt)
+            return text, failed
+
+        def call(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in lists:
+                made = [[one(t) for t in texts] for texts in batch.to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([[m[0] for m in x] for x in made], pa.list_(pa.string())), pa.array([next((m[1] for m in x if m[1]), None) for x in made], pa.string())], names=["texts", "error"])
 
-        parts = parts.withColumn("chunks", F.when(F.col("translatable"), F.pandas_udf(call, "array<string>", F.PandasUDFType.SCALAR_ITER)(F.when(F.col("translatable"), F.col("chunks")).otherwise(F.array().cast("array<string>")))).otherwise(F.col("chunks")))
+        # blocks are dealt out anew: those of a long document would else wait for one task
+        spread = parts.repartition(F.col(id_col), F.col("block_no"))
+        mine = F.when(F.col("translatable"), F.col("chunks")).otherwise(F.array().cast("array<string>"))
+        parts = spread.withColumn("answer", F.arrow_udf(call, "texts array<string>, error string")(mine))
+        parts = parts.withColumn("chunks", F.when(F.col("translatable"), F.col("answer.texts")).otherwise(F.col("chunks")))
+        error = F.col("answer.error")
     done = F.concat(F.col("split.prefix"), restore(F.array_join("chunks", " "), F.col("safe.spans")), F.when(F.col("ends"), "\n").otherwise(""))
-    return joined_blocks(parts.select(id_col, "block_no", F.when(F.col("translatable") & (F.trim("split.body") != ""), done).otherwise(F.col("text")).alias("text")), id_col)
+    counts = F.col("translatable") & (F.trim("split.body") != "")
+    whole = parts.select(id_col, "block_no", F.when(counts, done).otherwise(F.col("text")).alias("text"), counts.cast("int").alias("counts"), error.alias("failed"))
+    listed = F.array_sort(F.collect_list(F.struct("block_no", "text")))
+    text = F.array_join(F.transform(listed, lambda b: b["text"]), "")
+    return whole.groupBy(id_col).agg(text.alias("markdown"), F.sum("counts").cast("int").alias("blocks"), F.min_by("failed", F.when(F.col("failed").isNotNull(), F.col("block_no"))).alias("translation_error"))

@@ -58,6 +58,14 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.col("conv_id").alias("doc_id"), F.array_join(part, "").alias("markdown"))
 
 
+def fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown with code fences, formulas over several lines and rules between their lines."""
+    n = F.expr("CAST((doc_id * 5 + line_no) % 13 AS INT)")
+    shown = F.when(n.isin(2, 5), "```").when(n == 7, F.concat(F.lit("$$ "), F.col("text"))).when(n == 9, "x $$").when(n == 10, "$$ a $$").when(n == 11, "---").when(n == 12, "").otherwise(F.col("text"))
+    each = lines(spark, sf_dir).withColumn("text", shown)
+    return each.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("markdown"))
+
+
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.expr("CASE event_type WHEN 'view' THEN 'pages' WHEN 'click' THEN 'docx' WHEN 'signup' THEN 'images' WHEN 'purchase' THEN 'translation' ELSE 'markdown' END")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), stage.alias("stage"), F.expr("CAST(floor(value) AS INT) % 10").alias("current"), F.lit(10).alias("total"))
@@ -95,6 +103,11 @@ REGIONS = """regions AS (
   FROM (SELECT DISTINCT doc_id, page_no FROM blocks) p, unnest(range(0, CAST(doc_id % 4 AS INT) + 1)) AS t(seq))"""
 MARKDOWN = """md AS (
   SELECT conv_id AS doc_id, string_agg('## ' || role || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY conv_id)"""
+FENCED = (
+    LINES
+    + """, fl AS (SELECT doc_id, line_no, CAST((doc_id * 5 + line_no) % 13 AS INT) AS n, text FROM lines),
+md AS (SELECT doc_id, string_agg(CASE WHEN n IN (2, 5) THEN repeat('`', 3) WHEN n = 7 THEN '$$ ' || text WHEN n = 9 THEN 'x $$' WHEN n = 10 THEN '$$ a $$' WHEN n = 11 THEN '---' WHEN n = 12 THEN '' ELSE text END, chr(10) ORDER BY line_no) AS markdown FROM fl GROUP BY doc_id)"""
+)
 PROGRESS = """progress AS (
   SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'pages' WHEN 'click' THEN 'docx' WHEN 'signup' THEN 'images' WHEN 'purchase' THEN 'translation' ELSE 'markdown' END AS stage,
     CAST(floor(value) AS INT) % 10 AS current, 10 AS total FROM events)"""

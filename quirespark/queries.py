@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -290,7 +291,8 @@ SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS markdown
 @query(ACADEMIC)
 def document_markdown_academic(spark, sf_dir):
     b = views.blocks(spark, sf_dir).withColumn("font_size", F.col("size")).withColumn("is_bold", F.col("flags") == 16).withColumn("is_italic", F.col("flags") == 2).withColumn("first_span", F.lit(None).cast("string"))
-    return pages.academic(b, b, views.regions(spark, sf_dir), W(), H(), F.concat(F.col("doc_id").cast("string"), F.lit("_assets")))
+    regions = L.region_lists(views.regions(spark, sf_dir).where(F.col("label").isin(*L.RICH)))
+    return pages.academic(b, F.array("size"), regions, W(), H(), F.concat(F.col("doc_id").cast("string"), F.lit("_assets")))
 
 
 # --- Markdown blocks, protection, chunks, translation ----------------------
@@ -318,6 +320,11 @@ def translatable_counts(spark, sf_dir):
     return markdown_blocks(views.markdown(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if("translatable").alias("translatable"))
 
 
+@query(f"WITH {MD_LINES.replace(views.MARKDOWN, views.FENCED)} SELECT * FROM mb")
+def markdown_blocks_with_fences(spark, sf_dir):
+    return markdown_blocks(views.fenced(spark, sf_dir)).withColumn("block_no", F.col("block_no").cast("long"))
+
+
 @query(f"WITH {MD_LINES} SELECT doc_id, string_agg(text, '' ORDER BY block_no) AS markdown FROM mb GROUP BY doc_id")
 def markdown_round_trip(spark, sf_dir):
     return joined_blocks(markdown_blocks(views.markdown(spark, sf_dir)))
@@ -529,7 +536,11 @@ def last_output_path(spark, sf_dir):
 
 def built(spark, sf_dir, make) -> DataFrame:
     ship(spark)
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.udf(make, "binary")("doc_id", "text").alias("content"))
+
+    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([make(i.as_py(), t.as_py()) for i, t in zip(ids, texts, strict=True)], pa.binary())
+
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.arrow_udf(run, "binary")("doc_id", "text").alias("content"))
 
 
 @query(
@@ -547,3 +558,18 @@ SELECT doc_id, string_agg('<!-- page ' || page_no || ' -->' || {NL} || {NL} || t
 )
 def pdf_convert(spark, sf_dir):
     return convert.pdf_markdown(built(spark, sf_dir, packages.pdf), mode="fast").where("markdown is not null").select("doc_id", "markdown")
+
+
+@query(ORACLES["pdf_convert"])
+def pdf_convert_packed(spark, sf_dir):
+    """Object streams, a cross-reference stream, inherited and indirect entries, a two-byte font, forms."""
+    return convert.pdf_markdown(built(spark, sf_dir, packages.packed_pdf), mode="fast").where("markdown is not null").select("doc_id", "markdown")
+
+
+@query(
+    f"""WITH {views.LINES}, l AS (SELECT doc_id, line_no, {SQUEEZED} AS text FROM lines)
+SELECT doc_id, '# Document ' || doc_id || {NL} || {NL} || coalesce(string_agg(text, {NL} || {NL} ORDER BY line_no) FILTER (WHERE text <> '') || {NL} || {NL}, '') || '1. one' || {NL} || '  * *in* it' || {NL} || '2. [two](u)' || {NL} || {NL} || '| n | **v** |' || {NL} || '| --- | --- |' || {NL} || '| ' || doc_id || ' | a\\|b |' AS markdown FROM l GROUP BY doc_id"""
+)
+def html_convert(spark, sf_dir):
+    pages = built(spark, sf_dir, packages.html).select("doc_id", F.decode("content", "UTF-8").alias("html"))
+    return convert.html_markdown(pages).select("doc_id", "markdown")

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import html
 import io
+import re
 import struct
 import zipfile
 import zlib
 from xml.etree import ElementTree as X
 
+from ..functions.files import OTHERS, SHOWN
+from ..functions.text import SYMBOLS
+from . import tiff
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-MIME = {".gif": "image/gif", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".svg": "image/svg+xml", ".tif": "image/tiff", ".tiff": "image/tiff", ".emf": "image/x-emf", ".wmf": "image/x-wmf"}
-SHOWN = {"image/gif": ".gif", "image/jpeg": ".jpg", "image/png": ".png", "image/svg+xml": ".svg"}
-OTHERS = {"image/tiff": ".tiff", "image/x-emf": ".emf", "image/x-wmf": ".wmf"}
+O = "{urn:schemas-microsoft-com:office:office}"
+V = "{urn:schemas-microsoft-com:vml}"
+C = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+MIME = {ending: mime for mime, ending in (SHOWN | OTHERS).items()} | {".jpeg": "image/jpeg", ".tif": "image/tiff"}
 
 
 def parts(content: bytes) -> dict[str, bytes]:
@@ -54,26 +60,48 @@ def style_rows(found: dict[str, bytes]) -> tuple[list[tuple[str, str]], list[tup
     return names, levels
 
 
-def heading_levels(found: dict[str, bytes]) -> dict[str, int]:
-    """Style id -> heading 1 to 6; body text and contents styles have none."""
+STYLE_RULE = re.compile(r"\s*p\[style-name='((?:\\.|[^'\\])*)'\]\s*=>\s*(?:h([1-6])|p)(?::fresh)?\s*\Z")
+
+
+def styled(style_map: str | None) -> dict[str, int | None]:
+    """Paragraph style names, in lower case, to their heading: the first line that names a style counts. Other lines have no effect."""
+    out: dict[str, int | None] = {}
+    for line in (style_map or "").splitlines():
+        if m := STYLE_RULE.match(line):
+            out.setdefault(re.sub(r"\\(.)", r"\1", m[1]).lower(), int(m[2]) if m[2] else None)
+    return out
+
+
+def heading_levels(found: dict[str, bytes], style_map: str | None = None) -> dict[str, int]:
+    """Style id -> heading 1 to 6; body text and contents styles have none. A package's outline levels come before ``style_map``."""
     names, levels = style_rows(found)
+    chosen = styled(style_map)
     named, least = dict(names), {}
     for key, level, _ in levels:
         if level.isdecimal():
             least[key] = min(least.get(key, 99), int(level))
     own = {k: v for k, v in least.items() if v <= 8 and named.get(k) and not named[k].lower().startswith("toc")}
+    plain = set()
+    for key, name in named.items():
+        if key not in own and name.lower() in chosen:
+            level = chosen[name.lower()]
+            if level is None:
+                plain.add(key)
+            else:
+                own[key] = level - 1
     for key, name in named.items():  # the built-in headings need no outline level
-        if name.lower().startswith("heading ") and name[8:].isdecimal():
+        if name.lower().startswith("heading ") and name[8:].isdecimal() and key not in plain:
             own.setdefault(key, int(name[8:]) - 1)
     return {k: min(v + 1, 6) for k, v in own.items()}
 
 
 # --- mathematics -----------------------------------------------------------
 
-# Operators with limits, and accents.
+# Operators with limits, accents, and signs over or under a group.
 NARY = {"∑": "\\sum", "∏": "\\prod", "∫": "\\int", "∮": "\\oint", "⋃": "\\bigcup", "⋂": "\\bigcap"}
 ACCENTS = {"̂": "\\hat", "̃": "\\tilde", "̅": "\\bar", "̇": "\\dot", "̈": "\\ddot", "⃗": "\\vec"}
-SYMBOLS = [("\\m ", "\\mu "), ("\\n ", "\\nu "), ("\\ta ", "\\tau "), ("×", "\\times "), ("≤", "\\le "), ("≥", "\\ge "), ("≠", "\\ne "), ("±", "\\pm ")]
+LIMITS = ("lim", "max", "min", "sup", "inf")
+GROUPS = {"⏟": "\\underbrace", "⏞": "\\overbrace", "→": "\\overrightarrow", "←": "\\overleftarrow"}
 
 
 def latex(node) -> str:
@@ -114,6 +142,16 @@ def latex(node) -> str:
             return f"\\left{a or '.'}{','.join(inner(x) for x in e.findall(M + 'e'))}\\right{b or '.'}"
         if tag == "acc":
             return f"{ACCENTS.get(value(e, ('accPr', 'chr'), chr(0x302)), chr(92) + 'hat')}{{{part(e, 'e')}}}"
+        if tag == "groupChr":
+            return f"{GROUPS.get(value(e, ('groupChrPr', 'chr'), '⏟'), chr(92) + 'underbrace')}{{{part(e, 'e')}}}"
+        if tag in ("limLow", "limUpp"):
+            base, limit = part(e, "e"), part(e, "lim")
+            sign = "_" if tag == "limLow" else "^"
+            return f"\\{base.strip()}{sign}{{{limit}}}" if base.strip() in LIMITS else f"{chr(92)}{'under' if sign == '_' else 'over'}set{{{limit}}}{{{base}}}"
+        if tag == "eqArr":
+            return "\\begin{array}{c}" + " \\\\ ".join(inner(x) for x in e.findall(M + "e")) + "\\end{array}"
+        if tag == "sPre":
+            return f"{{}}_{{{part(e, 'sub')}}}^{{{part(e, 'sup')}}}{{{part(e, 'e')}}}"
         if tag == "bar":
             return f"\\overline{{{part(e, 'e')}}}"
         if tag == "func":
@@ -128,6 +166,53 @@ def latex(node) -> str:
     return out
 
 
+# --- numbering -------------------------------------------------------------
+
+
+def list_kinds(found: dict[str, bytes]) -> dict[tuple[str, int], str]:
+    """``(number id, level)`` -> ``ul`` or ``ol``."""
+    if "word/numbering.xml" not in found:
+        return {}
+    try:
+        root = X.fromstring(found["word/numbering.xml"])
+    except X.ParseError:
+        return {}
+    kinds: dict[str, dict[int, str]] = {}
+    for a in root.iter(f"{W}abstractNum"):
+        own = kinds.setdefault(a.get(f"{W}abstractNumId") or "", {})
+        for level in a.iter(f"{W}lvl"):
+            shape = level.find(f"{W}numFmt")
+            at = level.get(f"{W}ilvl") or "0"
+            if at.isdecimal():
+                own[int(at)] = "ul" if shape is not None and shape.get(f"{W}val") in ("bullet", "none") else "ol"
+    out = {}
+    for n in root.iter(f"{W}num"):
+        ref = n.find(f"{W}abstractNumId")
+        for at, kind in kinds.get("" if ref is None else ref.get(f"{W}val") or "", {}).items():
+            out[n.get(f"{W}numId") or "", at] = kind
+    return out
+
+
+def nested_lists(items: list[tuple[int, str, str]]) -> str:
+    """``(level, ul or ol, content)`` of paragraphs that follow one another, as lists in lists."""
+    out, open_lists = "", []
+    for level, kind, text in items:
+        while open_lists and len(open_lists) > level + 1:
+            out += f"</li></{open_lists.pop()}>"
+        if len(open_lists) == level + 1:
+            if open_lists[-1] == kind:
+                out += "</li>"
+            else:
+                out += f"</li></{open_lists.pop()}>"
+        while len(open_lists) < level + 1:
+            out += f"<{kind}>" + ("<li>" if len(open_lists) < level else "")
+            open_lists.append(kind)
+        out += f"<li>{text}"
+    while open_lists:
+        out += f"</li></{open_lists.pop()}>"
+    return out
+
+
 def placeholder(width: int = 1000, height: int = 300) -> bytes:
     """A white picture with a grey frame, in place of one that can't be shown."""
 
@@ -142,10 +227,15 @@ def placeholder(width: int = 1000, height: int = 300) -> bytes:
 # --- document --------------------------------------------------------------
 
 
-def to_html(content: bytes) -> tuple[str, list[tuple[str, str, bytes]], str | None]:
-    """A package as HTML, its images ``(name, mime, bytes)`` in order of reference, and its title."""
+def to_html(content: bytes, folder: str | None = None, style_map: str | None = None) -> tuple[str, list[tuple[str, str, bytes]], str | None]:
+    """A package as HTML, its images ``(name, mime, bytes)`` in order of reference, and its title.
+
+    Links to images begin with ``folder``. Footnotes and endnotes stand at the end, and are linked both ways.
+    """
     found = parts(content)
-    headings = heading_levels(found)
+    headings = heading_levels(found, style_map)
+    kinds = list_kinds(found)
+    list_styles = _list_styles(found)
     document = X.fromstring(found["word/document.xml"])
     targets = {}
     if "word/_rels/document.xml.rels" in found:
@@ -158,18 +248,37 @@ def to_html(content: bytes) -> tuple[str, list[tuple[str, str, bytes]], str | No
         t = X.fromstring(found["docProps/core.xml"]).find("{http://purl.org/dc/elements/1.1/}title")
         title = None if t is None else t.text
 
-    def image(blip):
-        path = "word/" + targets.get(blip.get(f"{R}embed"), "").removeprefix("/word/")
+    notes: dict[str, dict[str, X.Element]] = {}
+    for kind in ("footnote", "endnote"):
+        if f"word/{kind}s.xml" in found:
+            notes[kind] = {n.get(f"{W}id") or "": n for n in X.fromstring(found[f"word/{kind}s.xml"]).findall(f"{W}{kind}")}
+    cited: list[tuple[str, str]] = []
+
+    def image(ref, alt=""):
+        target = targets.get(ref, "")
+        path = target[1:] if target.startswith("/") else "word/" + target
         if path not in found:
             return ""
         nonlocal seen
         seen += 1
         mime = MIME.get("." + path.rpartition(".")[2].lower(), "application/octet-stream")
         stem = f"image-{seen:04d}"
-        images.append((stem + {**SHOWN, **OTHERS}.get(mime, ".bin"), mime, found[path]))
-        if mime not in SHOWN:  # browsers can't show it: the bytes stay beside an empty picture
-            images.append((stem + ".png", "image/png", placeholder()))
-        return f'<img src="{stem}{SHOWN.get(mime, ".png")}" alt="">'
+        drawn = tiff.to_png(found[path]) if mime == "image/tiff" else None
+        if drawn is not None:
+            images.append((stem + ".png", "image/png", drawn))
+        else:
+            images.append((stem + {**SHOWN, **OTHERS}.get(mime, ".bin"), mime, found[path]))
+            if mime not in SHOWN:  # browsers can't show it: the bytes stay beside an empty picture
+                images.append((stem + ".png", "image/png", placeholder()))
+        where = f"{folder.rstrip('/')}/" if folder else ""
+        return f'<img src="{html.escape(where)}{stem}{SHOWN.get(mime, ".png")}" alt="{html.escape(alt)}">'
+
+    def note(kind, e):
+        key = e.get(f"{W}id") or ""
+        if key not in notes.get(kind, {}):
+            return ""
+        cited.append((kind, key))
+        return f'<sup><a href="#{kind}-{key}" id="{kind}-ref-{key}">[{len(cited)}]</a></sup>'
 
     def run(r):
         bold, italic = r.find(f"{W}rPr/{W}b") is not None, r.find(f"{W}rPr/{W}i") is not None
@@ -181,8 +290,18 @@ def to_html(content: bytes) -> tuple[str, list[tuple[str, str, bytes]], str | No
                 text += "<br>"
             elif e.tag == f"{W}tab":
                 text += " "
+            elif e.tag == f"{W}noBreakHyphen":
+                text += "\u2011"
             elif e.tag == f"{W}drawing":
-                text += "".join(image(b) for b in e.iter(f"{A}blip"))
+                said = next((d.get("descr") or "" for d in e.iter() if d.tag.endswith("}docPr")), "")
+                text += "".join(image(b.get(f"{R}embed"), said) for b in e.iter(f"{A}blip"))
+            elif e.tag == f"{W}pict":
+                text += "".join(image(d.get(f"{R}id"), d.get(f"{O}title") or "") for d in e.iter(f"{V}imagedata"))
+            elif e.tag in (f"{W}footnoteReference", f"{W}endnoteReference"):
+                text += note(e.tag.removeprefix(W).removesuffix("Reference"), e)
+            elif e.tag == f"{C}AlternateContent":
+                chosen = e.find(f"{C}Choice")
+                text += "" if chosen is None else run(chosen)
         return f"<b>{text}</b>" if bold and text.strip() else f"<i>{text}</i>" if italic and text.strip() else text
 
     def inline(e):
@@ -194,16 +313,28 @@ def to_html(content: bytes) -> tuple[str, list[tuple[str, str, bytes]], str | No
                 out += "".join(f"$${html.escape(latex(m), quote=False)}$$" for m in x.iter(f"{M}oMath"))
             elif x.tag == f"{M}oMath":
                 out += f"${html.escape(latex(x), quote=False)}$"
-            elif x.tag in (f"{W}hyperlink", f"{W}ins", f"{W}smartTag"):
+            elif x.tag == f"{W}sdt":
+                out += "".join(map(inline, x.findall(f"{W}sdtContent")))
+            elif x.tag in (f"{W}hyperlink", f"{W}ins", f"{W}smartTag", f"{W}fldSimple"):
                 inside, target = inline(x), targets.get(x.get(f"{R}id"))
                 out += f'<a href="{html.escape(target)}">{inside}</a>' if target else inside
         return out
 
     def paragraph(p):
+        """``(HTML, None)``, or ``(content, (level, kind))`` of an item of a list."""
         style = p.find(f"{W}pPr/{W}pStyle")
-        level = headings.get(style.get(f"{W}val")) if style is not None else None
+        name = style.get(f"{W}val") if style is not None else None
+        level = headings.get(name)
         text = inline(p)
-        return "" if not text.strip() else f"<h{level}>{text}</h{level}>" if level else f"<p>{text}</p>"
+        if not text.strip():
+            return "", None
+        if level:
+            return f"<h{level}>{text}</h{level}>", None
+        number = _number(p) or list_styles.get(name)
+        if number and number[0] != "0":
+            at = min(number[1], 8)
+            return text, (at, kinds.get(number, "ul"))
+        return f"<p>{text}</p>", None
 
     def table(t):
         grid = []
@@ -227,11 +358,63 @@ def to_html(content: bytes) -> tuple[str, list[tuple[str, str, bytes]], str | No
         attrs = lambda c: (f' colspan="{c[1]}"' if c[1] > 1 else "") + (f' rowspan="{c[4]}"' if c[4] > 1 else "")
         return "<table>" + "".join("<tr>" + "".join(f"<td{attrs(c)}>{c[3]}</td>" for c in cells if not c[2]) + "</tr>" for cells in grid) + "</table>"
 
+    def children(e):
+        for x in e:
+            if x.tag == f"{W}sdt":
+                for inside in x.findall(f"{W}sdtContent"):
+                    yield from children(inside)
+            elif x.tag in (f"{W}ins", f"{W}customXml"):
+                yield from children(x)
+            else:
+                yield x
+
     def body(e):
-        blocks = [paragraph(x) if x.tag == f"{W}p" else table(x) if x.tag == f"{W}tbl" else "" for x in e]
-        if e.tag == f"{W}tc" and sum(map(bool, blocks)) == 1:
-            return "".join(blocks).removeprefix("<p>").removesuffix("</p>")
+        blocks, items = [], []
+        for x in children(e):
+            if x.tag == f"{W}p":
+                text, place = paragraph(x)
+                if place is not None:
+                    items.append((*place, text))
+                    continue
+                if not text:
+                    continue
+            elif x.tag == f"{W}tbl":
+                text = table(x)
+            else:
+                continue
+            if items:
+                blocks.append(nested_lists(items))
+                items = []
+            blocks.append(text)
+        if items:
+            blocks.append(nested_lists(items))
+        if e.tag == f"{W}tc" and len(blocks) == 1:
+            return blocks[0].removeprefix("<p>").removesuffix("</p>")
         return "".join(blocks)
 
     main = document.find(f"{W}body")
-    return ("" if main is None else body(main)), images, title
+    shown = "" if main is None else body(main)
+    ends, at = "", 0
+    while at < len(cited):  # a note may cite another
+        kind, key = cited[at]
+        ends += f'<li id="{kind}-{key}">{body(notes[kind][key])} <a href="#{kind}-ref-{key}">↑</a></li>'
+        at += 1
+    return shown + (f"<ol>{ends}</ol>" if ends else ""), images, title
+
+
+def _number(p) -> tuple[str, int] | None:
+    """``(number id, level)`` of a paragraph or a style."""
+    found = p.find(f"{W}pPr/{W}numPr")
+    if found is None:
+        return None
+    key, level = found.find(f"{W}numId"), found.find(f"{W}ilvl")
+    at = "0" if level is None else level.get(f"{W}val") or "0"
+    return None if key is None else (key.get(f"{W}val") or "0", int(at) if at.isdecimal() else 0)
+
+
+def _list_styles(found: dict[str, bytes]) -> dict[str | None, tuple[str, int]]:
+    try:
+        styles = X.fromstring(found["word/styles.xml"])
+    except (KeyError, X.ParseError):
+        return {}
+    return {s.get(f"{W}styleId"): number for s in styles.iter(f"{W}style") if (number := _number(s))}

@@ -1,26 +1,45 @@
-"""Files in, tables out: reading, dispatch and the providers' tables."""
+"""Files in, tables out: reading, dispatch and the providers' tables.
+
+A provider runs once for each file, in ``mapInArrow``: content crosses over in Arrow batches and goes no
+further than its own stage. A file that can't be parsed is a row with an error, not a failed job.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.files import converter
+from ..providers import Providers, ready
 from . import docx, html, pdf
 
-PDF = T.StructType(
-    [
-        T.StructField("pages", T.ArrayType(T.StructType([T.StructField("page_no", T.IntegerType()), T.StructField("width", T.DoubleType()), T.StructField("height", T.DoubleType())]))),
-        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("page_no", T.IntegerType()), T.StructField("block_no", T.IntegerType()), T.StructField("type", T.IntegerType()), T.StructField("bbox", schemas.BBOX), T.StructField("lines", schemas.LINES)]))),
-        T.StructField("error", T.StringType()),
-    ]
+DETECTED = T.ArrayType(
+    T.StructType(
+        [T.StructField("seq", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("confidence", T.DoubleType()), *[T.StructField(c, T.IntegerType()) for c in ("x0", "y0", "x1", "y1")]]
+    )
 )
-HTML = "struct<html: string, title: string, images: array<struct<name: string, mime: string, content: binary>>, error: string>"
-MARKDOWN = "struct<markdown: string, title: string>"
+PLACED = T.ArrayType(T.StructType([T.StructField("block_no", T.IntegerType()), T.StructField("type", T.IntegerType()), T.StructField("bbox", schemas.BBOX), T.StructField("lines", schemas.LINES)]))
+PDF = [
+    T.StructField("assets", T.StringType()),
+    T.StructField("page_no", T.IntegerType()),
+    T.StructField("pages", T.IntegerType()),
+    T.StructField("page_width", T.DoubleType()),
+    T.StructField("page_height", T.DoubleType()),
+    T.StructField("blocks", PLACED),
+    T.StructField("regions", DETECTED),
+    T.StructField("tables", DETECTED),
+    T.StructField("note", T.StringType()),
+    T.StructField("error", T.StringType()),
+]
+IMAGES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("mime", T.StringType()), T.StructField("content", T.BinaryType())]))
+DOCX = [T.StructField("assets", T.StringType()), T.StructField("html", T.StringType()), T.StructField("title", T.StringType()), T.StructField("images", IMAGES), T.StructField("error", T.StringType())]
+MARKDOWN = "markdown string, title string"
+#: Bytes of content whose rows are handed on together.
+BATCH_BYTES = 4 << 20
 
 
 def read_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -36,45 +55,102 @@ def described(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), "path", ext.alias("ext"), F.lit(None).cast("string").alias("mime"), stem.alias("stem"), "content")
 
 
-def guarded(parse: Callable, failed: Callable) -> Callable:
-    def run(content):
-        try:
-            return parse(bytes(content or b""))
-        except Exception as e:  # a file that can't be parsed is a row with an error, not a failed job
-            return failed(f"{type(e).__name__}: {e}")
-
-    return run
+def failure(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
-def parsed_pdf(content: Column, provider: Callable = pdf.parse) -> Column:
-    def parse(data):
-        pages, blocks = provider(data)
-        return pages, blocks, None
+def each_file(docs: DataFrame, fields: list[T.StructField], parse: Callable[[object, bytes, str | None], Iterable[dict]]) -> DataFrame:
+    """The rows ``(doc_id, *fields)`` that ``parse`` makes of ``(doc_id, content, assets)``, which is called once for each file."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return F.udf(guarded(parse, lambda e: ([], [], e)), PDF)(content)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *fields])
+    shape = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+        for batch in batches:
+            for doc, content, assets in zip(*batch.columns, strict=True):
+                data = content.as_buffer().to_pybytes() if content.is_valid else b""
+                key, folder = doc.as_py(), assets.as_py()
+                kept.extend({"doc_id": key, "assets": folder, **row} for row in parse(key, data, folder))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(kept, schema=shape)
+                    kept, held = [], 0
+        if kept:
+            yield pa.RecordBatch.from_pylist(kept, schema=shape)
 
-def parsed_docx(content: Column) -> Column:
-    def parse(data):
-        text, images, title = docx.to_html(data)
-        return text, title, images, None
+    folder = F.col("assets") if "assets" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", F.col("content").cast("binary").alias("content"), folder.alias("assets")).mapInArrow(run, schema)
 
-    return F.udf(guarded(parse, lambda e: (None, None, [], e)), HTML)(content)
 
+def parsed_pdf(docs: DataFrame, provider: Callable = pdf.parse, providers: Providers | None = None) -> DataFrame:
+    """``(doc_id, assets, page_no, pages, page_width, page_height, blocks, regions, tables, note, error)``: a row for
+    each page, and one without a page for a file that fails or has none. Where the layout of a page can't be
+    detected, ``note`` says why, and the page goes on without regions.
+    """
+    chosen = providers or Providers()
 
-def html_to_markdown(page: Column) -> Column:
-    return F.udf(html.to_markdown, MARKDOWN)(page)
+    def parse(_, data: bytes, __) -> list[dict]:
+        try:
+            pages, blocks = provider(data)
+        except Exception as e:
+            return [{"error": failure(e)}]
+        if not pages:
+            return [{"error": "ValueError: no pages were found"}]
+        by_page: dict[int, list] = {}
+        for number, block_no, kind, bbox, lines in blocks:
+            by_page.setdefault(number, []).append({"block_no": block_no, "type": kind, "bbox": bbox, "lines": lines})
+        layout, tables = ready(chosen.layout, chosen.cache), ready(chosen.tables, chosen.cache)
+        out = []
+        for number, width, height in pages:
+            note, regions, found = None, [], []
+            if layout is not None:
+                try:
+                    regions = [box_row(i, *r) for i, r in enumerate(layout(data, number, width, height))]
+                except Exception as e:
+                    note = failure(e)
+            if tables is not None:
+                try:
+                    found = [box_row(i, "table", 1.0, *t) for i, t in enumerate(tables(data, number, width, height))]
+                except Exception:  # a page without found tables
+                    found = []
+            out.append({"page_no": number, "pages": len(pages), "page_width": float(width), "page_height": float(height), "blocks": by_page.get(number, []), "regions": regions, "tables": found, "note": note})
+        return out
+
+    return each_file(docs, PDF, parse)
+
+
+def box_row(seq: int, label: str, confidence: float, x0: float, y0: float, x1: float, y1: float) -> dict:
+    return {"seq": seq, "label": label, "confidence": float(confidence), "x0": int(x0), "y0": int(y0), "x1": int(x1), "y1": int(y1)}
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """Blocks with their page's size, boxes spread out."""
+    each = pages.select("doc_id", "page_no", "page_width", "page_height", F.explode("blocks").alias("b"))
+    return each.select("doc_id", "page_no", "page_width", "page_height", "b.block_no", F.col("b.block_no").alias("item_no"), "b.type", "b.bbox.*", "b.lines").withColumn("width", F.col("x1") - F.col("x0"))
+
+
+def page_regions(pages: DataFrame, name: str) -> DataFrame:
+    return pages.select("doc_id", "page_no", F.explode(name).alias("r")).select("doc_id", "page_no", "r.*")
+
+
+def parsed_docx(docs: DataFrame, style_map: str | None = None) -> DataFrame:
+    """``(doc_id, assets, html, title, images, error)`` of Word packages; images are named below ``assets`` if that is given."""
+
+    def parse(_, data: bytes, folder: str | None) -> list[dict]:
+        try:
+            text, images, title = docx.to_html(data, folder, style_map)
+        except Exception as e:
+            return [{"images": [], "error": failure(e)}]
+        return [{"html": text, "title": title, "images": [dict(zip(("name", "mime", "content"), i, strict=True)) for i in images]}]
 
+    return each_file(docs, DOCX, parse)
 
-def pdf_blocks(docs: DataFrame, provider: Callable = pdf.parse) -> tuple[DataFrame, DataFrame]:
-    """Blocks with their page's size, boxes spread out; and ``(doc_id, error)``. The content goes no further than the parser."""
-    parsed = docs.select("doc_id", parsed_pdf(F.col("content"), provider).alias("p"))
-    pages = parsed.select("doc_id", F.explode("p.pages").alias("g")).select("doc_id", "g.*")
-    blocks = parsed.select("doc_id", F.explode("p.blocks").alias("b")).select("doc_id", "b.page_no", "b.block_no", F.col("b.block_no").alias("item_no"), "b.type", "b.bbox.*", "b.lines").withColumn("width", F.col("x1") - F.col("x0"))
-    sized = blocks.join(pages.select("doc_id", "page_no", F.col("width").alias("page_width"), F.col("height").alias("page_height")), ["doc_id", "page_no"])
-    return sized, parsed.select("doc_id", F.col("p.error").alias("error"))
 
+def html_to_markdown(page: Column) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        made = [html.to_markdown(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())], names=["markdown", "title"])
 
-def routed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``converter``; files that nothing takes are left out."""
-    return docs.withColumn("converter", converter(F.col("ext"), F.col("mime"))).where("converter is not null")
+    return F.arrow_udf(run, MARKDOWN)(page)
