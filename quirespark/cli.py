@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None, spark=None, provider=None, providers=Non
     from .functions.text import relative_path
     from .plans import sinks
     from .plans.convert import conversion
-    from .plans.translate import translate
+    from .plans.translate import translated
     from .providers import Providers
     from .scratch import stored
     from .sources.files import read_files
@@ -70,10 +70,12 @@ def main(argv: list[str] | None = None, spark=None, provider=None, providers=Non
         done, assets, events = stored(made.documents), made.assets.join(links, "doc_id"), made.events
         suffix = None
         if args.translate:
-            done = stored(translate(done, provider, args.translation_service).join(done.drop("markdown"), "doc_id"))
+            done = stored(translated(done, provider, args.translation_service).join(done.drop("markdown"), "doc_id"))
+            events = events.unionByName(done.select("doc_id", F.lit("translation").alias("stage"), F.col("blocks").alias("current"), F.col("blocks").alias("total"), (F.lit(4) * F.lit(1 << 32)).alias("seq")))
     else:
         text = docs.select("doc_id", F.decode("content", "UTF-8").alias("markdown"))
-        done, suffix = stored(translate(text, provider, args.service, args.lang_in, args.lang_out)), f"_{args.lang_out}"
+        done, suffix = stored(translated(text, provider, args.service, args.lang_in, args.lang_out)), f"_{args.lang_out}"
+        events = done.select("doc_id", F.lit("translation").alias("stage"), F.col("blocks").alias("current"), F.col("blocks").alias("total"), F.lit(0).alias("seq"))
     placed = sinks.placed(done, target=target, suffix=suffix)
     if args.progress and events is not None:
         for row in events.orderBy("doc_id", "seq").toLocalIterator():
@@ -87,6 +89,9 @@ def main(argv: list[str] | None = None, spark=None, provider=None, providers=Non
         sinks.write_files(assets.select(F.concat("folder", F.lit("/"), "rel_path").alias("path"), "content"), root)
     for row in placed.select("output").toLocalIterator():
         print(os.path.join(root, row.output))
+    if "translation_error" in done.columns:
+        for row in done.where("translation_error is not null").select("doc_id", "translation_error").toLocalIterator():
+            print(f"{row.doc_id}: {row.translation_error}", file=sys.stderr)
     tell(args.progress, stage="done")
     return 0
 

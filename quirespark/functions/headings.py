@@ -27,7 +27,7 @@ HAN_STARTERS = "按照|简述|根据|基于|例[：:]|本|按|如|应|为|项目
 # Vocabulary of contact and account tables.
 ENTRY_WORDS = r"地址|账号|权限|密码|管理员|平台|联系|邮箱|OA|http|www|\\\\|\.cn\b"
 
-#: Patterns that only contents or tables have; the flag tells that the pattern is all of the rule.
+# Patterns that only contents or tables have; two more rules need a width or a length besides (see ``rejected``).
 REJECTED = [
     r"\.{4}",
     r"^[a-z]{3,20}\z",
@@ -40,14 +40,27 @@ REJECTED = [
     r"(?U)https?://|\\\\|/|OA\+|\.cn\b",
     r"^(?U)[A-Z]\d?\s+",
 ]
+PAGE_NUMBER_ENDS = r"(?U)\s\d{1,3}\z"
+LISTED_SENTENCE = rf"^(?U)\d+[.、]\s*[{HAN}].*[。；;]?\z"
+# Forms of headings, by rule.
+CHAPTER = r"^(?U)第[一二三四五六七八九十百\d]+[章节篇部分]\S*"
+ATTACHMENT = r"^(?U)附件\d+[：:]\s*\S+"
+ONE_NUMBER = rf"^(?U)\d{{1,2}}\s+[{HAN}A-Za-z]"
+DECIMAL = r"^(?U)(\d{1,2}(?:\.\d{1,2})+)\.?\s+\S+"
+NUMBERED_LATIN = r"^(?U)\d+(?:\.\d+)*\.?\s+[A-Z][A-Za-z].*"
+NUMBER = r"^(?U)\d+(?:\.\d+)*\.?\s+"
+SPAN_NUMBER = r"^(?U)(\d{1,2}(?:\.\d{1,2})*)\.?\s+(.{2,80})\z"
+LINE_NUMBER = r"^(?dU)(\d{1,2}(?:\.\d{1,2})*\.?)\s+(.+)\z"
+COMBINED = r"(?U)(?<!\S)(\d{1,2}(?:\.\d{1,2})*\.?)\s+([A-Z][A-Za-z][^0-9]{2,80}?)(?=\s+\d{1,2}(?:\.\d{1,2})*\.?\s+[A-Z]|\s*\z)"
+HAN_PREFIX = rf"^(?dU)((?:\d{{1,2}}(?:\.\d{{1,2}})+)\s+.{{2,24}}?)(\s+(?:{HAN_STARTERS}).+)\z"
 
 
 def rejected(text: Column, width: Column, page_width: Column) -> Column:
     """Whether a line belongs to a table of contents or a table."""
-    out = (width >= page_width * 0.68) & text.rlike(r"(?U)\s\d{1,3}\z")
+    out = (width >= page_width * 0.68) & text.rlike(PAGE_NUMBER_ENDS)
     for pattern in REJECTED:
         out = out | text.rlike(pattern)
-    return out | (F.length(text) > 90) | (text.rlike(rf"^(?U)\d+[.、]\s*[{HAN}].*[。；;]?\z") & (F.length(text) > 36))
+    return out | (F.length(text) > 90) | (text.rlike(LISTED_SENTENCE) & (F.length(text) > 36))
 
 
 def table_entry(text: Column) -> Column:
@@ -55,7 +68,7 @@ def table_entry(text: Column) -> Column:
 
 
 def academic_title(text: Column) -> Column:
-    bare = F.lower(strip(F.regexp_replace(text, r"^(?U)\d+(?:\.\d+)*\.?\s+", "")))
+    bare = F.lower(strip(F.regexp_replace(text, NUMBER, "")))
     return F.regexp_replace(bare, r"[.:]+\z", "").isin(*TITLES)
 
 
@@ -73,7 +86,7 @@ def heading_level(text: Column, font_size: Column, bold: Column, italic: Column,
     styled = bold | italic
     prominent = (font_size >= body_size + 1.0) | (styled & (font_size >= body_size - 0.2))
     short = short_column_line(text, x0, width, font_size, body_size, page_width)
-    number = F.regexp_extract(text, r"^(?U)(\d{1,2}(?:\.\d{1,2})+)\.?\s+\S+", 1)
+    number = F.regexp_extract(text, DECIMAL, 1)
     none = F.lit(None).cast("int")
 
     def two(ok: Column) -> Column:
@@ -82,11 +95,11 @@ def heading_level(text: Column, font_size: Column, bold: Column, italic: Column,
     return (
         F.when(rejected(text, width, page_width), none)
         .when((font_size < body_size - 0.2) & ~prominent, none)
-        .when(text.rlike(r"^(?U)第[一二三四五六七八九十百\d]+[章节篇部分]\S*"), two(prominent | (F.length(text) <= 32)))
-        .when(text.rlike(r"^(?U)附件\d+[：:]\s*\S+"), two(prominent & (F.length(text) <= 40)))
-        .when(text.rlike(rf"^(?U)\d{{1,2}}\s+[{HAN}A-Za-z]"), two(~table_entry(text) & (prominent | short)))
+        .when(text.rlike(CHAPTER), two(prominent | (F.length(text) <= 32)))
+        .when(text.rlike(ATTACHMENT), two(prominent & (F.length(text) <= 40)))
+        .when(text.rlike(ONE_NUMBER), two(~table_entry(text) & (prominent | short)))
         .when((number != "") & (prominent | short), level_of(number))
-        .when(text.rlike(r"^(?U)\d+(?:\.\d+)*\.?\s+[A-Z][A-Za-z].*"), two(prominent | short))
+        .when(text.rlike(NUMBERED_LATIN), two(prominent | short))
         .when(academic_title(text), two(prominent | short | styled))
         .when(bold & (font_size >= body_size + 2.0) & (F.length(text) <= 40), 2)
         .otherwise(none)
@@ -101,8 +114,7 @@ def leading_span(text: Column, first_span: Column, width: Column, x1: Column) ->
     """A heading that is the block's first span, and the text after it; else null."""
     heading = squeeze(first_span)
     rest = F.when(text.startswith(heading) & (heading != ""), F.nullif(strip(F.substring(text, F.length(heading) + 1, F.length(text))), F.lit("")))
-    pattern = r"^(?U)(\d{1,2}(?:\.\d{1,2})*)\.?\s+(.{2,80})\z"
-    number, title = F.regexp_extract(heading, pattern, 1), strip(F.regexp_extract(heading, pattern, 2))
+    number, title = F.regexp_extract(heading, SPAN_NUMBER, 1), strip(F.regexp_extract(heading, SPAN_NUMBER, 2))
     numbered = (number != "") & ~rejected(heading, F.least(width, F.length(heading) * 8.0), F.greatest(x1, F.lit(1.0))) & title.rlike(f"[A-Za-z{HAN}]")
     abstract = F.lower(F.regexp_replace(heading, r"\.+\z", "")) == "abstract"
     return F.when(rest.isNotNull(), F.when(abstract, joined(F.lit(2), F.lit("Abstract"), rest)).when(numbered, joined(level_of(number), F.concat(number, F.lit(". "), title), rest)))
@@ -110,9 +122,8 @@ def leading_span(text: Column, first_span: Column, width: Column, x1: Column) ->
 
 def numbered_prefix(text: Column) -> Column:
     """``struct<heading, rest, level>`` of a numbered academic title with body text behind it; else null."""
-    pattern = r"^(?dU)(\d{1,2}(?:\.\d{1,2})*\.?)\s+(.+)\z"
-    number = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"\.+\z", "")
-    remainder = strip(F.regexp_extract(text, pattern, 2))
+    number = F.regexp_replace(F.regexp_extract(text, LINE_NUMBER, 1), r"\.+\z", "")
+    remainder = strip(F.regexp_extract(text, LINE_NUMBER, 2))
     titles = F.lit(sorted(TITLES, key=lambda t: (-len(t), t)))
 
     def rest(title: Column) -> Column:
@@ -126,8 +137,7 @@ def numbered_prefix(text: Column) -> Column:
 
 def combined_numbered(text: Column) -> Column:
     """Two or more numbered titles in one line, as headings of their own; else null."""
-    pattern = r"(?U)(?<!\S)(\d{1,2}(?:\.\d{1,2})*\.?)\s+([A-Z][A-Za-z][^0-9]{2,80}?)(?=\s+\d{1,2}(?:\.\d{1,2})*\.?\s+[A-Z]|\s*\z)"
-    whole, numbers, titles = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(3))
+    whole, numbers, titles = (F.regexp_extract_all(text, F.lit(COMBINED), F.lit(i)) for i in range(3))
     bare = F.transform(numbers, lambda n: F.regexp_replace(n, r"\.+\z", ""))
     lines = F.zip_with(bare, titles, lambda n, t: F.concat(F.repeat(F.lit("#"), level_of(n)), F.lit(" "), n, F.lit(". "), strip(t)))
     return F.when((F.size(whole) >= 2) & text.startswith(F.get(whole, 0)), F.array_join(lines, "\n\n"))
@@ -135,8 +145,7 @@ def combined_numbered(text: Column) -> Column:
 
 def han_prefix(text: Column, level: Column) -> Column:
     """A decimal-numbered Chinese title with body text behind it; else null."""
-    pattern = rf"^(?dU)((?:\d{{1,2}}(?:\.\d{{1,2}})+)\s+.{{2,24}}?)(\s+(?:{HAN_STARTERS}).+)\z"
-    heading, rest = strip(F.regexp_extract(text, pattern, 1)), strip(F.regexp_extract(text, pattern, 2))
+    heading, rest = strip(F.regexp_extract(text, HAN_PREFIX, 1)), strip(F.regexp_extract(text, HAN_PREFIX, 2))
     return F.when(rest != "", joined(level, heading, rest))
 
 

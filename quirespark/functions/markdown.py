@@ -19,7 +19,7 @@ PROTECTED = [
     r"(?s)(?<!\\)\$(?!\$).*?(?<!\\)\$",
     r"(?s)<[^>]+>",
 ]
-#: Most characters of a chunk, by service.
+# Most characters of a chunk, by service.
 LIMITS = {"google": 4500, "bing": 900}
 
 
@@ -32,6 +32,7 @@ def translatable(text: Column) -> Column:
     return text.rlike("[A-Za-z]")
 
 
+# Fixed value: the marks that a block may begin with.
 PREFIX = r"(?s)^((?U)\s*(?:#{1,6}\s+|>\s+|[-*+]\s+|\d+[.)]\s+)?)(.*)\z"
 
 

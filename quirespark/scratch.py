@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of an execution go at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: dict[str, str] = {}
 _scopes: list[list[str]] = []
 
@@ -55,7 +57,15 @@ def scratch(spark: SparkSession):
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses nothing."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses nothing.
+
+    The shuffle files that led to it go once it is written, not when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path, was = shared_folder(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)

@@ -318,3 +318,20 @@ def test_reset_folders(spark, tmp_path):
 def test_read_files_of_other_kinds(spark, tmp_path):
     (tmp_path / "x.PDF").write_bytes(packages.packed_pdf(1, "Some text"))
     assert read_files(spark, str(tmp_path)).first().ext == ".pdf"
+
+
+def test_command_line_translates(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "notes.md").write_text("# One\n\nsome text\n\nbad text\n")
+
+    def provider(text, lang_in, lang_out):
+        if "bad" in text:
+            raise TimeoutError("too slow")
+        return f"{lang_in}-{lang_out} {text}"
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(translate, "PAUSE", 0.0)
+    assert cli.main(["translate", f"{tmp_path}/notes.md", "-o", "out", "--lang-out", "de", "--progress"], spark, provider) == 0
+    said = capsys.readouterr()
+    name = next(x for x in said.out.split("\n") if x)
+    assert name.endswith("notes_de.md") and open(name).read() == "# en-de One\n\nen-de some text\n\nbad text\n"
+    assert '"stage": "translation", "current": 3, "total": 3' in said.err and "TimeoutError: too slow" in said.err
