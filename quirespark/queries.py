@@ -573,3 +573,25 @@ SELECT doc_id, '# Document ' || doc_id || {NL} || {NL} || coalesce(string_agg(te
 def html_convert(spark, sf_dir):
     pages = built(spark, sf_dir, packages.html).select("doc_id", F.decode("content", "UTF-8").alias("html"))
     return convert.html_markdown(pages).select("doc_id", "markdown")
+
+
+# --- headings that are split off -------------------------------------------
+
+A_NAME = "upper(left(p_name, 1)) || substr(p_name, 2)"
+
+
+@query(
+    f"""SELECT p_partkey,
+  '## ' || p_size || '. ' || {A_NAME} || {NL} || {NL} || '### ' || p_size || '.' || (p_partkey % 9 + 1) || '. Then ' || p_name AS combined,
+  CASE WHEN p_partkey % 3 = 0 THEN '## Abstract' ELSE '### 2.' || p_size || '. ' || {A_NAME} END || {NL} || {NL} || 'the body of it' AS led,
+  CASE WHEN p_partkey % 4 = 0 THEN '#### 3.' || (p_size % 20) || ' 海洋模型' || {NL} || {NL} || '本文' || p_name END AS han FROM part WHERE p_size < 100"""
+)
+def heading_splits(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part").where("p_size < 100")
+    name = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substr("p_name", F.lit(2)))
+    number = F.col("p_size").cast("string")
+    combined = F.concat(number, F.lit(" "), name, F.lit("  "), number, F.lit("."), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit(". Then "), F.col("p_name"))
+    span = F.when(F.col("p_partkey") % 3 == 0, "ABSTRACT").otherwise(F.concat(F.lit("2."), number, F.lit("  "), name))
+    han = F.concat(F.lit("3."), (F.col("p_size") % 20).cast("string"), F.lit(" 海洋模型 "), F.when(F.col("p_partkey") % 4 == 0, "本文").otherwise("无"), F.col("p_name"))
+    led = headings.leading_span(F.concat(text.squeeze(span), F.lit(" the body of it")), span, F.lit(200.0), F.lit(600.0))
+    return part.select("p_partkey", headings.combined_numbered(combined).alias("combined"), led.alias("led"), headings.han_prefix(han, F.lit(4)).alias("han"))
