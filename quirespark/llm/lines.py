@@ -7,17 +7,20 @@ The threshold is a number (``THRESHOLD``, as in the query's SQL), or classes of
 the shorter line of a pair decides. A line is listed in the segments of its own class, and looks
 for shorter lines in the segments of theirs.
 
-Equal lines meet in partial minima over a line's hash. For the others, a line is split
+Equal lines meet in partial minima over 96 bits of hashes of a line. For the others, a line is split
 into threshold-plus-one segments; an edit at most touches one, so that a near line has
 one of them unchanged, at a place that the two lengths leave open (the multi-match-aware
 places of Li, Deng, Wang and Feng, 2011). Distinct lines alone enter the index, by hashes
-of length, segment number and segment; lists that hold one line are dropped at once.
-What is left is verified, first against one line of each list, then pair by pair unless
-the later line is known to go already.
+of length, segment number and segment; lists that hold one line are dropped at once. A
+list's lines are verified against its earliest one. Where a line stays and others of its list
+come before it, small lists are compared pair by pair, and large ones are split again by the
+segments of what their lines don't share (numbered forms by their numbers), so that no list
+of many lines is ever paired with itself.
 
 The check is a banded bit-parallel automaton: for every number of errors, the diagonals
 that can be reached are the bits of an integer, which shifts and masks move on by one
-character at a time.
+character at a time. It begins behind what both lines begin with and ends before what both end with (in
+blocks), and stops once no diagonal is left.
 
 Near lines have ``SHORTEST`` characters (code points) or more. Shorter lines always stay by the
 query's SQL; where ``short`` is set, as in the pipeline, equal ones go too. Short blank lines, of white
@@ -32,10 +35,10 @@ columns do no harm.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffle_partitions, stored
 
 THRESHOLD, SHORTEST = 1, 20
 #: Least lengths, and the edits from there on: one for 20 characters. Places to look at grow with the cube of the edits (4, 12, 26, 49, 82).
@@ -43,6 +46,10 @@ GROWING = ((20, 1), (40, 2), (60, 3))
 LOWEST = -(1 << 63)
 #: Rows up to which the hashes of lines that need a check are broadcast (16 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
+#: Lines of a list that are compared pair by pair, and how often a larger list is split.
+SMALL, LEVELS = 32, 16
+#: Characters after which a pair's check may end early, and of which its common beginning and end consist.
+BLOCK = 16
 
 
 def places(threshold: int) -> list[tuple[int, int, int]]:
@@ -56,12 +63,6 @@ def places(threshold: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line: the last ones are longer by one where it doesn't divide."""
-    base, extra = F.floor(length / (threshold + 1)).cast("int"), (length % (threshold + 1)).cast("int")
-    return i * base + F.greatest(F.lit(0), i - (threshold + 1 - extra)), base + F.when(F.lit(i) >= threshold + 1 - extra, 1).otherwise(0)
-
-
 def classes(threshold: int | tuple) -> list[tuple[int, int | None, int]]:
     """``(least length, length from which the next class holds, edits)``."""
     found = ((0, threshold),) if isinstance(threshold, int) else threshold
@@ -72,18 +73,68 @@ def inside(length: Column, low: int, high: int | None) -> Column:
     return (length >= low) if high is None else (length >= low) & (length < high)
 
 
-def keys(line: Column, threshold: int | tuple) -> tuple[Column, Column]:
-    """Hashes under which a line is listed, and others under which it looks for lines."""
-    size = F.length(line)
+def place_table(threshold: int | tuple) -> Column:
+    """All places as ``array<struct<edits, longer, i, shift, listed>>``; a line's own segments are listed."""
+    rows = [(edits, longer, i, shift, int(not longer and not shift)) for edits in sorted({e for _, _, e in classes(threshold)}) for longer, i, shift in places(edits)]
+    return F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("edits", "longer", "i", "shift", "listed"), strict=True)]) for r in rows])
+
+
+def looked_at(threshold: int | tuple, size: Column) -> Column:
+    """The places of a line of ``size`` characters."""
+    if isinstance(threshold, int):
+        return place_table(threshold)
+
+    def edits_of(length: Column) -> Column:
+        out = F
+        for low, high, edits in classes(threshold):
+            out = out.when(inside(length, low, high), edits)
+        return out.otherwise(-1)
+
+    return F.filter(place_table(threshold), lambda p: p["edits"] == edits_of(size - p["longer"]))
+
+
+def cut_at(size: Column, table: Column) -> Column:
+    """Where the places of a line lie: the last segments are longer by one where a length doesn't divide.
+
+    Lambdas keep this small: written out for each place, it is too long to be compiled.
+    """
+
+    def parted(p: Column) -> Column:
+        own, n = size - p["longer"], p["edits"] + 1
+        return F.struct(p.alias("p"), own.alias("own"), F.call_function("div", own, n).cast("int").alias("base"), (n - own % n).alias("short"))
 
-    def key(length: Column, i: int, shift: int, low: int, high: int | None, edits: int) -> Column:
-        start, width = segment(length, i, edits)
-        there = (start + shift >= 0) & (start + shift + width <= size)
-        return F.when(there if low == 0 and high is None else inside(length, low, high) & there, F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, width)))
+    def cut(q: Column) -> Column:
+        start = q["p"]["i"] * q["base"] + F.greatest(F.lit(0), q["p"]["i"] - q["short"]) + q["p"]["shift"]
+        return F.struct(q["p"].alias("p"), q["own"].alias("own"), start.alias("start"), (q["base"] + (q["p"]["i"] >= q["short"]).cast("int")).alias("width"))
 
-    listed = [key(size, i, 0, *c) for c in classes(threshold) for i in range(c[2] + 1)]
-    looked = [key(size - longer, i, shift, *c) for c in classes(threshold) for longer, i, shift in places(c[2]) if longer or shift]
-    return F.array(*listed) if isinstance(threshold, int) else F.array_compact(F.array(*listed)), F.array_compact(F.array(*looked))
+    return F.filter(F.transform(F.transform(table, parted), cut), lambda q: (q["start"] >= 0) & (q["start"] + q["width"] <= size))
+
+
+def keys(line: Column, size: Column, threshold: int | tuple) -> Column:
+    """``array<struct<list, listed>>``: hashes under which a line is listed, and others under which it looks for lines."""
+    return F.transform(cut_at(size, looked_at(threshold, size)), lambda q: F.struct(F.xxhash64(q["own"], q["p"]["i"], F.substring(line, q["start"] + 1, q["width"])).alias("list"), q["p"]["listed"].alias("listed")))
+
+
+def entries(text: Column, size: Column, table: Column, into: Column | None = None, listed: Column | None = None) -> Column:
+    """What :func:`keys` lists and looks for, with the characters on either side of the segment that a list is about.
+
+    ``into`` is the list that is split further, if it is one: two lines of a list that are near have rests that
+    are, and share a segment of those. A line's difference in length and number of edits stay.
+    """
+
+    def entry(q: Column) -> Column:
+        parts = [q["own"], q["p"]["i"], F.substring(text, q["start"] + 1, q["width"])]
+        rest = F.concat(F.substring(text, F.lit(1), q["start"]), F.substring(text, q["start"] + q["width"] + 1, size))
+        own = q["p"]["listed"] if listed is None else q["p"]["listed"] * listed
+        return F.struct(F.xxhash64(*parts if into is None else [into, *parts]).alias("list"), own.alias("listed"), q["p"]["longer"].alias("longer"), q["p"]["edits"].alias("edits"), rest.alias("rest"))
+
+    return F.transform(cut_at(size, table), entry)
+
+
+def finer_entries(threshold: int | tuple) -> Column:
+    """The entries of an entry's rest."""
+    own = F.filter(place_table(threshold), lambda p: (p["edits"] == F.col("edits")) & (p["longer"] == F.col("longer")))
+    return entries(F.col("rest"), F.length("rest"), own, F.col("list"), F.col("listed"))
 
 
 def near(a: Column, b: Column, threshold: int | tuple) -> Column:
@@ -109,9 +160,24 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
     first = levels([F.lit(sum(1 << (threshold + d) for d in range(e + 1))) for e in range(threshold + 1)])
 
-    def check(pair: Column) -> Column:
-        na, nb = F.size(pair["l"]), F.size(pair["r"])
+    def alike(x: Column, at: Column, to: Column) -> Column:
+        return F.slice(x["l"], at, BLOCK) == F.slice(x["r"], to, BLOCK)
 
+    def blocks(count: Column, same) -> Column:
+        """How many of ``count`` blocks are the same, from the first on."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
+        return F.when(count < 1, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), start, lambda acc, k: F.when(acc["open"] & same(k), F.struct((acc["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["n"].alias("n"), F.lit(False).alias("open"))))["n"])
+
+    def with_head(x: Column) -> Column:
+        count = F.call_function("div", F.least(F.size(x["l"]), F.size(x["r"])), F.lit(BLOCK)).cast("int")
+        return F.struct(x["l"].alias("l"), x["r"].alias("r"), count.alias("count"), blocks(count, lambda k: alike(x, k * BLOCK + 1, k * BLOCK + 1)).alias("head"))
+
+    def with_tail(x: Column) -> Column:
+        na, nb = F.size(x["l"]), F.size(x["r"])
+        same = blocks(x["count"] - x["head"], lambda k: alike(x, na - (k + 1) * BLOCK + 1, nb - (k + 1) * BLOCK + 1))
+        return F.struct(x["l"].alias("l"), x["r"].alias("r"), (x["head"] * BLOCK).alias("from"), (na - same * BLOCK).alias("to"), (nb - na).alias("end"))
+
+    def check(pair: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
             c = F.get(pair["l"], i)
             same = F.lit(0)
@@ -123,54 +189,118 @@ def within(a: Column, b: Column, threshold: int) -> Column:
                 out.append(was.bitwiseAND(same).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)))
             return levels(closed(out))
 
-        last = F.aggregate(F.sequence(F.lit(0), na - 1), first, step)[f"r{threshold}"]
-        return F.call_function("shiftright", last, nb - na + threshold).bitwiseAND(F.lit(1)) == 1
+        def stretch(state: Column, k: Column) -> Column:
+            low = pair["from"] + k * BLOCK
+            rows = F.sequence(low, F.least(low + BLOCK, pair["to"]) - 1)
+            return F.when(state[f"r{threshold}"] == 0, state).otherwise(F.aggregate(rows, state, step))  # no diagonal is left: far apart
+
+        left = F.call_function("div", pair["to"] - pair["from"] + (BLOCK - 1), F.lit(BLOCK)).cast("int")
+        last = F.when(left < 1, first).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(left, F.lit(1)) - 1), first, stretch))
+        return F.call_function("shiftright", last[f"r{threshold}"], pair["end"] + threshold).bitwiseAND(F.lit(1)) == 1
 
     na, nb = F.length(a), F.length(b)
-    # the characters are cut apart once: a lambda's variable holds them
+    # the characters are cut apart once, and what both lines begin and end with is left out: lambdas' variables hold them
     pair = F.array(F.struct(F.split(a, "").alias("l"), F.split(b, "").alias("r")))
     close = F.abs(na - nb) <= threshold
-    return F.when(~close, False).when((na == 0) | (nb == 0), True).otherwise(F.exists(pair, check))
+    return F.when(~close, False).when((na == 0) | (nb == 0), True).otherwise(F.exists(F.transform(F.transform(pair, with_head), with_tail), check))
 
 
 def numbered(df: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
-    """``(doc, text_hash, at, line, id)`` of the lines that count; ``id`` is a 64-bit hash of the line."""
+    """``(doc, text_hash, at, line, id, other)`` of the lines that count; ``id`` and ``other`` are hashes of 64 and 32 bits."""
     docs = df.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.split(F.col(text_col), "\n").alias("lines"))
     each = docs.select("doc", "text_hash", F.posexplode("lines").alias("at", "line"))  # apart: else every line would hash the whole text
     counts = F.length("line") >= SHORTEST
-    return each.where(counts | F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else counts).withColumn("id", F.xxhash64("line"))
+    return each.where(counts | F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else counts).withColumn("id", F.xxhash64("line")).withColumn("other", F.hash("line"))
 
 
-def repeated_lines(df: DataFrame, threshold: int | tuple = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """``(doc, text_hash, at)`` of every line that an equal or near line stands before."""
-    lines = numbered(df, id_col, text_col, short)
-    place = F.struct("doc", "text_hash", "at")
-    first = stored(lines.groupBy("id").agg(F.min(place).alias("first")))
-    listed, looked = keys(F.col("line"), threshold)
-    distinct = lines.where(F.length("line") >= SHORTEST).select("id", F.struct("doc", "text_hash", "at", listed.alias("listed"), looked.alias("looked")).alias("entry")).groupBy("id").agg(F.min("entry").alias("entry"))
-    entries = distinct.select("id", F.explode(F.concat(F.transform("entry.listed", lambda k: F.struct(k.alias("key"), F.lit(1).alias("listed"))), F.transform("entry.looked", lambda k: F.struct(k.alias("key"), F.lit(0).alias("listed"))))).alias("e"))
-    group = Window.partitionBy("key")
-    shared = entries.select("id", "e.key", "e.listed").withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).withColumn("centre", F.min(F.when(F.col("listed") == 1, F.col("id"))).over(group))
-    lists = stored(shared.where("low < high and centre is not null").select("key", "id", "listed", "centre").distinct())
-    stars = stored(lists.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+def distinct_lines(lines: DataFrame, threshold: int | tuple) -> DataFrame:
+    """``(id, other, n, first, line, keys)`` of each line's text: how often it stands, where first, and its keys. Lines that are too short to be near have none."""
+    long = F.length("line") >= SHORTEST
+    found = lines.select("id", "other", F.struct("doc", "text_hash", "at", F.when(long, F.col("line")).alias("line")).alias("e")).groupBy("id", "other").agg(F.count("*").alias("n"), F.min("e").alias("e"))
+    known = found.select("id", "other", "n", F.struct("e.doc", "e.text_hash", "e.at").alias("first"), "e.line", F.length("e.line").alias("size"))
+    return stored(known.select("id", "other", "n", "first", "line", F.when(F.col("line").isNotNull(), keys(F.col("line"), F.col("size"), threshold)).alias("keys")))
+
+
+def shared_lists(distinct: DataFrame) -> DataFrame:
+    """``(list, id, listed)`` of lists with a listed line and another one: keys are counted in parts, not gathered."""
+    every = distinct.select("id", F.explode("keys").alias("e")).select("id", "e.*")
+    shared = stored(every.groupBy("list").agg(F.count("*").alias("n"), F.max("listed").alias("listed")).where("n > 1 and listed = 1").select("list"))
+    return stored(every.join(bounded(shared), "list").distinct())
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """A stored table of 64-bit names, broadcast if it has few enough rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def near_lines(distinct: DataFrame, threshold: int | tuple) -> DataFrame:
+    """``(id, other)`` of the lines that a near line stands before.
+
+    In each round a list's lines are verified against its earliest listed one, so that the pairs are no more
+    than the lists' entries. What can still matter then is a line that stays and an earlier one beside it. Lists
+    with such lines are compared pair by pair if they have ``SMALL`` lines at most; larger ones are split by
+    the segments of what their lines don't share, so that numbered forms, say, part by their numbers.
+    """
+    lists = shared_lists(distinct)
     wanted = stored(lists.select("id").distinct())
-    small = wanted.count() <= BROADCAST_ROWS
-    own = stored(lines.select("id", "line").join(F.broadcast(wanted) if small else wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")).join(first, "id"))
+    texts = distinct.where("line is not null").select("id", F.struct("other", "first", "line").alias("t")).join(bounded(wanted), "id", "left_semi")
+    own = stored(texts.groupBy("id").agg(F.min("t").alias("t")).select("id", "t.*"))
 
     def later(pairs: DataFrame) -> DataFrame:
         """The later lines of the pairs that are near."""
         a, b = own.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), own.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
         return pairs.join(a, "a").join(b, "b").where(near(F.col("la"), F.col("lb"), threshold)).select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
-    gone = stored(later(stars))
-    seen = lists.where("id != centre").join(own.select("id", "first"), "id").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    seen = stored(seen)
-    x, y = seen.alias("x"), seen.where("listed = 1").alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & ((F.col("x.listed") == 0) | (F.col("x.id") < F.col("y.id"))) & F.when(F.col("x.first") > F.col("y.first"), ~F.col("x.gone")).otherwise(~F.col("y.gone")))
-    pairs = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    late = gone.union(later(pairs)).distinct()
-    known = first.join(late.withColumn("near", F.lit(True)), "id", "left")
-    return lines.select("doc", "text_hash", "at", "id").join(known, "id").where((place != F.col("first")) | F.col("near")).select("doc", "text_hash", "at")
+    members = stored(lists.join(own.select("id", "first"), "id"))
+    gone, small = None, []
+    for level in range(LEVELS + 1):
+        heads = members.groupBy("list").agg(F.min(F.when(F.col("listed") == 1, F.struct("first", "id"))).alias("head"), F.count("*").alias("n")).select("list", F.col("head.id").alias("head"), "n")
+        beside = stored(members.join(heads, "list").where("id != head"))
+        late = later(beside.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+        gone = stored(late if gone is None else gone.union(late).distinct())
+        marked = beside.where("n > 2").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+        open_lists = marked.groupBy("list").agg(F.min("first").alias("least"), F.max(F.when(~F.col("gone"), F.col("first"))).alias("last"), F.max("listed").alias("any")).where("least < last and any = 1").select("list")
+        left = stored(marked.join(open_lists, "list", "left_semi"))
+        last = F.lit(level == LEVELS)
+        if level:
+            last = last | (F.length("rest") - F.col("longer") <= F.col("edits"))
+        paired = left.where((F.col("n") <= SMALL) | last)
+        x, y = paired.alias("x"), paired.where("listed = 1").alias("y")
+        stays = F.when(F.col("x.first") > F.col("y.first"), ~F.col("x.gone")).otherwise(~F.col("y.gone"))
+        each_once = (F.col("x.listed") == 0) | (F.col("x.id") < F.col("y.id"))
+        met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.id") != F.col("y.id")) & each_once & stays)
+        small.append(stored(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()))
+        large = left.where((F.col("n") > SMALL) & ~last)
+        if level == LEVELS or not large.take(1):
+            break
+        if not level:
+            split = stored(large.select("list").distinct())
+            held = own.join(large.select("id").distinct(), "id", "left_semi")
+            large = held.select("id", "first", F.explode(entries(F.col("line"), F.length("line"), looked_at(threshold, F.length("line")))).alias("e")).select("id", "first", "e.*").join(bounded(split), "list", "left_semi")
+        finer = stored(large.select("id", "first", F.explode(finer_entries(threshold)).alias("e")).select("id", "first", "e.*").distinct())
+        marked = finer.join(gone.withColumn("gone", F.lit(True)), "id", "left")
+        shared = marked.groupBy("list").agg(F.min("first").alias("least"), F.max(F.when(F.col("gone").isNull(), F.col("first"))).alias("last"), F.max("listed").alias("any")).where("least < last and any = 1").select("list")
+        members = stored(finer.join(shared, "list", "left_semi"))
+    pairs = small[0]
+    for more in small[1:]:
+        pairs = pairs.union(more)
+    return gone.union(later(pairs.distinct())).distinct().join(own.select("id", "other"), "id")
+
+
+def repeated_lines(df: DataFrame, threshold: int | tuple = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """``(doc, text_hash, at)`` of every line that an equal or near line stands before."""
+    lines = numbered(df, id_col, text_col, short)
+    distinct = distinct_lines(lines, threshold)
+    late = near_lines(distinct, threshold)
+    known = stored(distinct.select("id", "other", "n", "first").join(late.withColumn("near", F.lit(True)), ["id", "other"], "left").where("n > 1 or near"))
+    # a line that stands very often is dealt to several tasks; there are 4 such lines for each partition at most
+    whole = known.agg(F.sum("n")).first()[0] or 0
+    often = max(1, -(-whole // (4 * shuffle_partitions(df.sparkSession))))
+    shares = F.ceil(F.col("n") / often).cast("int")
+    dealt = F.broadcast(known.where(F.col("n") > often).select("id", "other", shares.alias("shares")))
+    salted = lines.select("doc", "text_hash", "at", "id", "other").join(dealt, ["id", "other"], "left").withColumn("share", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "text_hash", "at"), "shares").cast("int")))
+    to = known.select("id", "other", "first", "near", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > often, shares - 1).otherwise(0))).alias("share"))
+    return salted.join(to, ["id", "other", "share"]).where((F.struct("doc", "text_hash", "at") != F.col("first")) | F.col("near")).select("doc", "text_hash", "at")
 
 
 def without_repeats(df: DataFrame, threshold: int | tuple = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
@@ -179,7 +309,9 @@ def without_repeats(df: DataFrame, threshold: int | tuple = THRESHOLD, id_col: s
     named = df.withColumn("__quire_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))).withColumn("__quire_hash", F.xxhash64(F.col(text_col)))
     both = named.join(gone, ["__quire_doc", "__quire_hash"], "left")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("__quire_at", i))
+    # the lines are cut apart once: a lambda's variable holds them; and array_except hashes, where a look-up would search
+    held = F.array(F.struct(lines.alias("l"), F.col("__quire_at").alias("at")))
+    kept = F.get(F.transform(held, lambda h: F.transform(F.array_except(F.sequence(F.lit(0), F.size(h["l"]) - 1), h["at"]), lambda i: F.get(h["l"], i))), F.lit(0))
     text = F.when(F.col("__quire_at").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     others = [text.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in df.columns]
     return both.select(*others, F.coalesce(F.size(lines), F.lit(0)).alias("__quire_lines"), F.coalesce(F.size("__quire_at"), F.lit(0)).alias("__quire_gone"))

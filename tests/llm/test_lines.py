@@ -64,6 +64,21 @@ def test_automaton_is_the_edit_distance(spark, threshold):
     assert all(r.near == (distance(r.a, r.b) <= threshold) for r in df.collect())
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_automaton_on_longer_lines(spark, threshold):
+    """Common beginnings and ends, edits at the borders of blocks, and pairs that are far apart."""
+    rng = random.Random(10 + threshold)
+    pairs = []
+    for n in (15, 16, 17, 31, 32, 33, 48, 64, 100):
+        for _ in range(25):
+            a = "".join(rng.choices("ab", k=n))
+            pairs.append((a, edited(rng, a, rng.randrange(0, 6))))
+        a = "".join(rng.choices("ab", k=n))
+        pairs += [(a, a), (a, a[:16] + "xyzw" + a[16:]), (a, a[::-1]), (a + "x", a), (a, "x" + a), (a + a, a + "yé" + a)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", L.within(F.col("a"), F.col("b"), threshold).alias("near"))
+    assert [(r.a, r.b) for r in df.collect() if r.near != (distance(r.a, r.b) <= threshold)] == []
+
+
 @pytest.mark.parametrize("threshold", [1, 2])
 def test_near_lines_equal_brute_force(spark, threshold):
     rng = random.Random(21)
@@ -126,3 +141,49 @@ def test_pipeline_allows_more_edits_in_longer_lines(spark):
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == want
     one = {r.doc_id: r.text for r in L.deduplicated(docs, short=True).collect()}
     assert sum(map(len, one.values())) > sum(map(len, want.values()))
+
+
+
+def test_many_lines_that_share_a_segment(spark):
+    """Ten thousand numbered lines: near are those that an earlier one differs from in one digit."""
+    from collections import Counter
+
+    rng = random.Random(5)
+    numbers = rng.sample(range(100_000), 10_000)
+    lines = [f"Entry number {i:05d} of the register of births and deaths" for i in numbers]
+    docs = [(k, "\n".join(lines[100 * k : 100 * k + 100])) for k in range(100)]
+    seen, want = set(), Counter()
+    for at, number in enumerate(numbers):
+        digits = f"{number:05d}"
+        near = any(digits[:i] + d + digits[i + 1 :] in seen for i in range(5) for d in "0123456789")
+        want[at // 100] += near
+        seen.add(digits)
+    got = {r.doc_id: r.n_removed for r in L.line_digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: want[k] for k in range(100)} and sum(got.values()) > 1000
+
+
+@pytest.mark.parametrize("threshold", [1, 3])
+def test_large_lists_are_split_without_loss(spark, threshold):
+    rng = random.Random(threshold)
+    frame = "abcdefgh" * 3
+    lines = []
+    for _ in range(150):
+        at = rng.randrange(len(frame) - 6)
+        lines.append(frame[:at] + "".join(rng.choices("xyz", k=rng.randrange(3, 6))) + frame[at + 4 :])
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(50)]
+    was, L.SMALL = L.SMALL, 4
+    try:
+        got = found(L.line_digests(spark.createDataFrame(rows, "doc_id long, text string"), threshold))
+    finally:
+        L.SMALL = was
+    assert got == brute(rows, threshold)
+
+
+def test_very_long_documents_and_ties(spark):
+    line = "a line of twenty or more characters"
+    rows = [(5, "\n".join([line] * 100_000)), (None, f"{line}\nshort"), (7, f"{line} one\nkept line that is long enough"), (7, f"{line} one\nanother kept line that is long"), (7, f"{line} one\nkept line that is long enough"), (8, "z" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_lines, r.n_removed) for r in L.line_digests(docs).collect()))
+    ties = [g for g in got if g[0] == 7]
+    assert [g for g in got if g[0] != 7] == [(0, 2, 0), (5, 100_000, 100_000), (8, 1, 0)]
+    assert len(ties) == 3 and sorted(t[2] for t in ties) in ([0, 0, 1], [0, 1, 1])  # equal rows keep the same lines; the other text of that id comes before or after
