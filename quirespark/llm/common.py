@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import deleted, scratch, shared_folder, stored  # noqa: F401
 from ..shipping import ship as python_path  # noqa: F401
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
@@ -19,23 +19,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; that setting is made only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{tempfile.gettempdir()}/quirespark-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()  # workers don't know the default store
-    return f"{whole.rstrip('/')}/quirespark-{uuid.uuid4().hex}"
+#: What a worker drops at the end of a task: memos and tables that its modules keep.
+RELEASED: list[Callable] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses nothing."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def tidy(run: Callable, keep: Callable | None = None) -> Callable:
+    """``run`` for ``mapInArrow``, after which the worker gives its memory back: it is used again for tasks of other operators.
+
+    ``keep`` is the one of ``RELEASED`` that stays, for the next task of the same operator; the first task of another one drops it.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back(keep)
+
+    return wrapped
+
+
+def give_back(keep: Callable | None = None) -> None:
+    for release in RELEASED:
+        if release is not keep:
+            release()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing is given back then
+        pass
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

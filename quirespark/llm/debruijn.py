@@ -1,25 +1,32 @@
-"""Removal of long passages that occurred before, on a sparse De Bruijn graph of words.
+"""Removal of long passages that occurred before, by compaction of a sparse De Bruijn graph of words.
 
 Nodes are word k-mers. Of the k-mers in a window of ``WINDOW`` words, the one with the
 least hash (the leftmost, on a tie) is the window's anchor, so that equal windows
 have equal anchors at equal places, and one k-mer in seven or so is a node. The edge
 of an anchor is the run of words that all windows with that anchor cover: it reaches
-from words before the node to words behind it.
+from words before the node to words behind it. Edges of neighbouring anchors overlap by a window less a word,
+and are linked.
 
 1. Anchors are counted over all documents, by hash alone, with partial counts before
    the shuffle. Those that occur twice go into a bit map of fixed size.
-2. Edges whose anchor is in the bit map are the candidates. Equal edges are compacted
-   to their first source coordinate (partial minima again, so that thousands of copies
-   cost one row for each task). Every window of a later copy occurred before. An
-   anchor with a single edge does not branch: nothing else can share its windows.
-3. Where edges branch, the windows of each distinct edge are compared by their own
-   hashes, and those whose first source coordinate lies elsewhere occurred before.
-4. The covered runs of a document are compacted into maximal spans and taken out.
+2. Edges whose anchor is in the bit map are the candidates. Equal edges meet in one row (partial
+   aggregates, so that thousands of copies cost one row for each task): their number, their first source
+   coordinate, and the least and greatest of the edges that stand before and after them. These give the
+   in-degree and the out-degree as far as it matters, one or more.
+3. Two repeated edges lie on a nonbranching path if the one has no other edge after it, and the other none
+   before it, in any document. Paths are compacted by pointer doubling: each join doubles the
+   stretch that an edge looks back, so that a path of n edges takes log n joins. No path is a cycle:
+   a document's first edge of it would have no edge of it before.
+4. A path is found in a document by its two ends, whose source coordinates have to lie apart by the path's
+   length; all but the first such place are copies of the whole path, whatever its length.
+5. Where edges branch at a node, the windows of each distinct edge are compared by themselves, and those whose
+   first source coordinate lies elsewhere occurred before.
+6. The covered runs of a document are compacted into maximal spans and taken out.
 
 Candidates are hashed anew from the text in each step rather than kept: that costs some
-seconds and saves the disk that 64 bits for every window would take. The bit maps only
-spare work: as they fill up, more candidates come through, and the result stays the
-same. Nodes, edges and windows are told apart by 64-bit hashes.
+seconds and saves the disk that the hashes of every window would take. The bit maps only
+spare work: as they fill up (from some 10^8 repeated anchors on), more candidates come through, and the result stays the
+same. Edges and windows are told apart by 128 bits, from two polynomials; nodes by 64, since a node only gathers candidates.
 
 Edge cases. A null text has no words. Documents of less than ``WINDOW`` words are kept
 whole. A repeated row (equal id and text) is the same document; rows with equal ids and
@@ -38,13 +45,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, emit, records, stored
+from .common import WORD, emit, records, stored, tidy
 from .wordhash import buffers, run, runs, signed, slabs, words
 
 WINDOW, NODE = 20, 8
 #: The bit map has 2**BITS bits.
 BITS = 27
 _base = 0xA0761D6478BD642F | 1
+_other = 0xE7037ED1A0B428DB | 1
+#: Rows of a checked size up to which a table is broadcast (50 bytes each); beyond, it is shuffled.
+BROADCAST_ROWS = 500_000
+#: Doublings: paths are shorter than 2**DOUBLINGS edges.
+DOUBLINGS = 48
 LOWEST = -(1 << 63)
 
 
@@ -120,7 +132,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found, number = np.unique(edges(h, before, window, node)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(np.minimum(number, 2).astype(np.int64))], names=["anchor", "n"])
 
-    counted = docs.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = docs.select("text").mapInArrow(tidy(anchors), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     shared = share_map(spark, counted, "anchor")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,18 +141,25 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for slab in slabs(batch, 2):
                 h, before = words(*buffers(slab.column(2)))
                 document, low, high, anchor, edge, _ = edges(h, before, window, node)
-                kept = in_map(bits, anchor)
-                document, low, high, anchor, edge = document[kept], low[kept], high[kept], anchor[kept], edge[kept]
+                number = np.flatnonzero(in_map(bits, anchor))
+                document, low, high, anchor, edge = document[number], low[number], high[number], anchor[number], edge[number]
+                prior, after = np.zeros(len(edge), np.uint64), np.zeros(len(edge), np.uint64)
+                beside = np.flatnonzero((np.diff(number) == 1) & (np.diff(document) == 0))
+                after[beside], prior[beside + 1] = edge[beside + 1], edge[beside]
+                other = run(runs(h, _other), _other, low, high + window, 24)
                 at, own = pa.array(document), before[document]
-                columns = [slab.column(0).take(at), slab.column(1).take(at), pa.array((low - own).astype(np.int32)), pa.array((high - own).astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(edge))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "low", "high", "anchor", "edge"])
-
-    found = docs.select("doc", "text_hash", "text").mapInArrow(candidates, "doc long, text_hash long, low int, high int, anchor long, edge long")
-    place = F.struct("doc", "text_hash", "low")
-    distinct = stored(found.groupBy("edge").agg(F.min(F.struct("doc", "text_hash", "low", "anchor")).alias("first")).select("edge", "first.*"))
-    at = distinct.select("edge", F.struct("doc", "text_hash", "low").alias("at"))
-    later = found.select("edge", "doc", "text_hash", "low", "high").join(at, "edge").where(place != F.col("at"))
-    copies = later.select("doc", "text_hash", F.col("low").alias("start"), (F.col("high") + window).alias("end"))
+                columns = [slab.column(0).take(at), slab.column(1).take(at), pa.array((low - own).astype(np.int32)), pa.array((high - own).astype(np.int32)), *(pa.array(signed(x)) for x in (anchor, edge, other, prior, after))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "low", "high", "anchor", "edge", "other", "prior", "after"])
+
+    found = docs.select("doc", "text_hash", "text").mapInArrow(tidy(candidates), "doc long, text_hash long, low int, high int, anchor long, edge long, other long, prior long, after long")
+    degrees = [f("prior").alias(n) for f, n in ((F.min, "prior"), (F.max, "priors"))] + [f("after").alias(n) for f, n in ((F.min, "after"), (F.max, "afters"))]
+    distinct = stored(found.groupBy("edge", "other").agg(F.min(F.struct("doc", "text_hash", "low", "high", "anchor")).alias("first"), F.count("*").alias("n"), *degrees).select("edge", "other", "first.*", "n", "prior", "priors", "after", "afters"))
+    ends = paths(distinct.where("n > 1"), window)
+    if ends.count() <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)
+    placed = found.select("edge", "other", "doc", "text_hash", "low").join(ends, ["edge", "other"]).withColumn("low", F.col("low") - F.col("shift"))
+    whole = placed.groupBy("doc", "text_hash", "low", "path", "words", "first").agg(F.bit_or("end").alias("end")).where("end = 3")
+    copies = whole.where(F.struct("doc", "text_hash", "low") != F.col("first")).select("doc", "text_hash", F.col("low").alias("start"), (F.col("low") + F.col("words")).alias("end"))
     branching = distinct.groupBy("anchor").agg(F.count("*").alias("edges")).where("edges > 1").select("anchor")
     branches = share_map(spark, distinct.join(branching, "anchor", "left_semi").select(place_column().alias("place")), "place")
 
@@ -156,17 +175,45 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size = high - low + 1
                 start = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
                 document = np.repeat(document, size)
-                columns = [pa.array(doc[document]), pa.array(text_hash[document]), pa.array((start - before[document]).astype(np.int32)), pa.array(signed(run(sums, _base, start, start + window, 23)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "start", "window"])
+                names = [pa.array(signed(run(x, base, start, start + window, seed))) for x, base, seed in ((sums, _base, 23), (runs(h, _other), _other, 25))]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[document]), pa.array(text_hash[document]), pa.array((start - before[document]).astype(np.int32)), *names], names=["doc", "text_hash", "start", "window", "other"])
 
-    each = docs.select("doc", "text_hash", "text").mapInArrow(windows, "doc long, text_hash long, start int, window long")
+    each = docs.select("doc", "text_hash", "text").mapInArrow(tidy(windows), "doc long, text_hash long, start int, window long, other long")
     here = F.struct("doc", "text_hash", "start")
-    # copies of an edge are out by now: a window's group has a row for each distinct edge around it
-    earliest = each.withColumn("at", F.min(here).over(Window.partitionBy("window")))
-    shown = earliest.where(here != F.col("at")).select("doc", "text_hash", "start", (F.col("start") + window).alias("end"))
+    # copies of an edge are out by now: a window's group has a row for each distinct edge around it, counted in parts
+    earliest = stored(each.groupBy("window", "other").agg(F.min(here).alias("at"), F.count("*").alias("n")).where("n > 1").select("window", "other", "at"))
+    if earliest.count() <= BROADCAST_ROWS:
+        earliest = F.broadcast(earliest)
+    shown = each.join(earliest, ["window", "other"]).where(here != F.col("at")).select("doc", "text_hash", "start", (F.col("start") + window).alias("end"))
     return spans(copies.unionByName(shown))
 
 
+def paths(repeated: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The two ends of each nonbranching path: ``(edge, other, path, shift, words, end, first)``.
+
+    ``shift`` is how many words after the path's beginning the end's own first word stands, ``words`` the path's
+    length, ``first`` its first source coordinate; ``end`` is 1 for the edge that begins it, 2 for the last one, 3 for both in one.
+    """
+    size = (F.col("high") - F.col("low") + 1).alias("size")
+    nodes = stored(repeated.select("edge", "other", "doc", "text_hash", "low", size, "prior", "priors", "after", "afters"))
+    left = nodes.where("after = afters and after != 0").select(F.col("edge").alias("l_edge"), F.col("after").alias("l_after"), F.col("size").alias("l_size"))
+    linked = nodes.where("prior = priors and prior != 0").join(left, (F.col("prior") == F.col("l_edge")) & (F.col("edge") == F.col("l_after"))).select("edge", F.col("l_edge").alias("to"), F.col("l_size").alias("shift"))
+    back = stored(nodes.select("edge", "size").join(linked, "edge", "left").select("edge", "size", F.coalesce("to", "edge").alias("to"), F.coalesce("shift", F.lit(0)).cast("long").alias("shift")))
+    for _ in range(DOUBLINGS):
+        further = back.select(F.col("edge").alias("to"), F.col("to").alias("next"), F.col("shift").alias("more"))
+        moved = stored(back.join(further, "to").select("edge", "size", F.col("next").alias("to"), (F.col("shift") + F.col("more")).alias("shift"), (F.col("more") > 0).alias("moved")))
+        back = moved.drop("moved")
+        if not moved.where("moved").take(1):
+            break
+    lengths = back.groupBy("to").agg(F.max(F.struct("shift", "size", "edge")).alias("last")).select(F.col("to").alias("path"), "last.*")
+    known = nodes.select("edge", "other", F.struct("doc", "text_hash", "low").alias("first"))
+    whole = lengths.select("path", F.col("edge").alias("last"), "shift", (F.col("shift") + F.col("size") - 1 + window).cast("int").alias("words"))
+    begun = whole.join(known.withColumnRenamed("edge", "path"), "path")
+    first = begun.select(F.col("path").alias("edge"), "other", "path", F.lit(0).alias("shift"), "words", F.when(F.col("last") == F.col("path"), 3).otherwise(1).alias("end"), "first")
+    final = begun.where("last != path").select("path", "last", F.col("shift").cast("int").alias("shift"), "words", "first").join(known.select(F.col("edge").alias("last"), "other"), "last")
+    return stored(first.unionByName(final.select(F.col("last").alias("edge"), "other", "path", "shift", "words", F.lit(2).alias("end"), "first")))
+
+
 def spans(covered: DataFrame) -> DataFrame:
     """Overlapping and adjoining runs of a document as maximal spans; a document's runs are bounded by its words."""
     own = Window.partitionBy("doc", "text_hash").orderBy("start", "end")
@@ -199,7 +246,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         yield from emit(rows(), schema, lambda row: len(row[3]) + 64)
 
     joined = docs.join(found, ["doc", "text_hash"], "left").select("doc", "text", "spans")
-    return joined.mapInArrow(remove, "doc long, n_words long, n_removed long, kept string").withColumnRenamed("doc", id_col)
+    return joined.mapInArrow(tidy(remove), "doc long, n_words long, n_removed long, kept string").withColumnRenamed("doc", id_col)
 
 
 def removal_digests(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:

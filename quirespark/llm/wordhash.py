@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import RELEASED
 from .fingerprints import mixed
 
 U = np.uint64
@@ -23,6 +24,7 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _bytes = mixed(np.arange(256), 11)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+RELEASED.append(_powers.clear)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
