@@ -17,13 +17,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, records
+from .common import emit, records, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Least guess cost in bits, and least length, of a value that is reported.
@@ -65,12 +65,19 @@ WORDS = (
 # The rows that keyboard walks follow, forwards or backwards.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "0123456789", "abcdefghijklmnopqrstuvwxyz")
 
-RANK = {word: rank for rank, word in enumerate(dict.fromkeys(WORDS), 2)}
-LONGEST = max(map(len, WORDS))
+
+
+def ranked(words: Iterable[str]) -> dict[str, int]:
+    """Words in lower case, most common first, to the number of guesses that each takes."""
+    return {word: rank for rank, word in enumerate(dict.fromkeys(w.lower() for w in words if len(w) > 2), 2)}
+
+
+RANK = ranked(WORDS)
 STEPS = {pair for row in ROWS for way in (row, row[::-1]) for pair in zip(way, way[1:], strict=False)}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 #: Bits for the first key of a walk and its direction, and for each further character of a walk or a repeat.
 WALK_BITS, STEP_BITS = math.log2(47) + 1, 0.5
+_lengths: dict[int, int] = {}
 YEAR_BITS, MONTH_BITS, DAY_BITS = math.log2(200), math.log2(12), math.log2(31)
 
 
@@ -86,9 +93,17 @@ def _grown(run: list[float]) -> tuple[float, float]:
     return run[0] + STEP_BITS, min(run[1], run[2]) + STEP_BITS
 
 
-def guess_bits(value: str) -> float:
+def _longest(rank: dict[str, int]) -> int:
+    key = id(rank)
+    if key not in _lengths:
+        _lengths.clear()  # one dictionary at a time is in use
+        _lengths[key] = max(map(len, rank), default=0)
+    return _lengths[key]
+
+
+def guess_bits(value: str, rank: dict[str, int] = RANK) -> float:
     """The least sum of bits over the segmentations of ``value``; O(length) for bounded words and dates."""
-    n, low = len(value), value.lower()
+    n, low, longest = len(value), value.lower(), _longest(rank)
     if len(low) != n:
         low = value
     best = [0.0] + [math.inf] * n
@@ -106,12 +121,12 @@ def guess_bits(value: str) -> float:
         same = [here + char_bits(value[i]), *(_grown(same) if repeats else (math.inf, math.inf))]
         walk = [here + WALK_BITS, *(_grown(walk) if steps else (math.inf, math.inf))]
         offer(i + 1, min(same[2], walk[2]))
-        for size in range(3, min(LONGEST, n - i) + 1):
-            rank = RANK.get(low[i : i + size])
-            if rank:
+        for size in range(3, min(longest, n - i) + 1):
+            guesses = rank.get(low[i : i + size])
+            if guesses:
                 part = value[i : i + size]
                 case = 0.0 if part == low[i : i + size] else 1.0 if part.istitle() or part.isupper() else float(size)
-                offer(i + size, here + math.log2(rank) + case)
+                offer(i + size, here + math.log2(guesses) + case)
         if value[i].isdigit():
             for stop in (4, 6, 7, 8, 10):
                 if i + stop <= n and DATE.fullmatch(value, i, i + stop):
@@ -127,7 +142,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, base: list[tuple[int, int, int]], rank: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
     assigned = [(a, b) for a, kind, b in base if kind == 0]
     found = []
     for m in CONTEXT.finditer(text):
@@ -135,7 +150,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         end = start + len(value)
         if len(value) < MIN_LENGTH or any(a <= start and end <= b for a, b in assigned):
             continue
-        if guess_bits(value) >= MIN_BITS:
+        if guess_bits(value, rank) >= MIN_BITS:
             found.append((start, 3, end))
     return found
 
@@ -144,22 +159,28 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, spans array<struct<kind, start, end>>)`` of every row, in order of start, then kind."""
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Iterable[str] | None = None) -> DataFrame:
+    """``(id, spans array<struct<kind, start, end>>)`` of every row, in order of start, then kind.
+
+    ``words`` is another dictionary, most common words first (of another language, or counted in the corpus); it goes to every task.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(RANK if words is None else ranked(words))
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("key", pa.int64()), ("spans", pa.list_(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = shared.value
+
         def rows():
             for key, text in records(batches):
                 base = base_spans(text or "")
-                found = sorted(base + guess_spans(text or "", base))
+                found = sorted(base + guess_spans(text or "", base, rank))
                 yield key, [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found]
 
         yield from emit(rows(), schema, lambda row: 64 + 48 * len(row[1]))
 
     was = df.schema[id_col].dataType
-    mapped = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "key long, spans array<struct<kind: string, start: long, end: long>>")
+    mapped = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "key long, spans array<struct<kind: string, start: long, end: long>>")
     return mapped.select(F.col("key").cast(was).alias(id_col), "spans")
 
 

@@ -93,3 +93,11 @@ def test_every_value_is_rated():
     assert values("pwd=x9K!p2Qz. pwd=ab,Cd9!<x;Q7 end") == ["x9K!p2Qz", "ab,Cd9!<x;Q7"]
     assert values("""{"pwd": "a'Kx9!z,Qp", 'pwd': 'b"Kx9!z;Qp'}""") == ["a'Kx9!z,Qp", 'b"Kx9!z;Qp']
     assert values("token: everything, credentials: information; pwd=-------- secret: (something) pwd: 'short', more") == []
+
+
+def test_another_dictionary(spark):
+    rows = [(1, "pwd: Krankenversicherung"), (2, "pwd: unbelievablethings"), (3, "pwd: xKqZvTbNwLmRpYsG")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = lambda words: {r.doc_id: [s["kind"] for s in r.spans] for r in G.scan(docs, words=words).collect()}
+    assert kinds(None) == {1: ["guess"], 2: [], 3: ["guess"]}
+    assert kinds(["kranken", "versicherung"]) == {1: [], 2: ["guess"], 3: ["guess"]}
