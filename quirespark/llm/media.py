@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import emit, records, shared_folder
+from .common import emit, records, shared_folder, tidy
 
 WIDTH = 64
 #: Bytes after which a task begins another archive, and of a planned range.
@@ -124,7 +124,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     files, at = _files(folder)
     files.create_dir(at)
-    manifest = df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "name string, bytes long, members long")
+    manifest = df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), "name string, bytes long, members long")
     found = sorted((r.name, r.bytes) for r in manifest.collect())  # a row for each archive
     with files.open_output_stream(f"{at}/manifest.json") as f:
         f.write(json.dumps(found).encode())
@@ -191,23 +191,26 @@ class ArchiveReader(DataSourceReader):
 def read_member(files, path: str, file, member: zipfile.ZipInfo) -> bytes:
     """One member's bytes by its offset; again by itself, on a new file, if that fails."""
     for attempt in range(ATTEMPTS):
+        own = None
         try:
             if attempt:
-                file = files.open_input_file(path)
+                file = own = files.open_input_file(path)
             file.seek(member.header_offset)
             head = file.read(30)
+            if len(head) != 30 or head[:4] != b"PK\x03\x04":
+                raise OSError(f"{path}: the member at {member.header_offset} has no header")
             names, extra = struct.unpack("<HH", head[26:30])
             file.seek(member.header_offset + 30 + names + extra)
             data = file.read(member.compress_size)
-            if head[:4] != b"PK\x03\x04" or len(data) != member.compress_size or zlib.crc32(data) != member.CRC:
+            if len(data) != member.compress_size or zlib.crc32(data) != member.CRC:
                 raise OSError(f"{path}: the member at {member.header_offset} is damaged")
             return data
         except OSError:
             if attempt + 1 == ATTEMPTS:
                 raise
         finally:
-            if attempt:
-                file.close()
+            if own is not None:
+                own.close()
     raise AssertionError
 
 
@@ -231,7 +234,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
         yield from emit(rows(), schema, lambda row: 400)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_table(df: DataFrame) -> DataFrame:
