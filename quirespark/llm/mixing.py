@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a flow whose documents stand in a shuffled order, by a hash of id
+Every source is a flow whose documents stand in a shuffled order, by a hash of id, text
 and pass; a document's virtual finish time is the number of its source's words up
 to and with it, divided by the source's target. All flows are served in proportion
 to their targets, so that the whole budget is spent at virtual time 1: the mix is
@@ -75,8 +75,8 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     targets = source_targets(sizes, weights, share, most)
     rows = sizes.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.n_docs", "b.target")
     passes = F.ceil(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).cast("int")
-    again = rows.where("size > 0").select("row", "doc_id", "source", "size", "source_size", "n_docs", "target", F.explode(F.filter(F.sequence(F.lit(0), F.lit(int(most))), lambda k: k < passes)).alias("pass"))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("pass"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 64 - BITS)
+    again = rows.where("size > 0").select("row", "doc_id", "text_hash", "source", "size", "source_size", "n_docs", "target", F.explode(F.filter(F.sequence(F.lit(0), F.lit(int(most))), lambda k: k < passes)).alias("pass"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("pass"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_hash")), 64 - BITS)  # the text tells rows without an id apart
     buckets = F.ceil(F.col("n_docs") / BUCKET_ROWS)
     flow = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     queued = again.withColumn("place", place).withColumn("bucket", F.floor(F.col("place") * buckets / F.lit(float(1 << BITS)))).withColumn("flow", flow)
