@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .debruijn import LOWEST, bit_map, in_map, keyed
 from .fingerprints import mixed
 from .wordhash import buffers, run, runs, signed, slabs, words
@@ -166,7 +166,7 @@ def set_table(docs: DataFrame, contract: Contract = DIGEST) -> DataFrame:
         for slab, own in each_set(batches, 2, contract):
             yield pa.RecordBatch.from_arrays([slab.column(0), slab.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([class_of(s) for s in own], pa.int64())], names=["doc", "text_hash", "n", "class"])
 
-    return docs.select("doc", "text_hash", "text").mapInArrow(measure, "doc long, text_hash long, n long, class long")
+    return docs.select("doc", "text_hash", "text").mapInArrow(tidy(measure), "doc long, text_hash long, n long, class long")
 
 
 def list_entries(docs: DataFrame, boundary: int, contract: Contract = DIGEST) -> DataFrame:
@@ -179,7 +179,7 @@ def list_entries(docs: DataFrame, boundary: int, contract: Contract = DIGEST) ->
             key, number = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(number)], names=["token", "n"])
 
-    counted = stored(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("df")).where("df > 1"))
+    counted = stored(docs.select("text").mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("df")).where("df > 1"))
     shared = spark.sparkContext.broadcast(bit_map(counted, "token"))
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +196,26 @@ def list_entries(docs: DataFrame, boundary: int, contract: Contract = DIGEST) ->
                 kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["token", "class", "n", "size_range", "p", "segment"])
 
-    entries = docs.select("text").mapInArrow(often, "token long, class long, n long, size_range int, p int, segment int").join(counted, "token")
+    entries = docs.select("text").mapInArrow(tidy(often), "token long, class long, n long, size_range int, p int, segment int").join(counted, "token")
     ranked = entries.groupBy("class", "n", "size_range", "p").agg(F.sort_array(F.collect_set(F.struct("df", "token", "segment"))).alias("shared"))  # at most p for each set
     alone = F.when(F.col("p") == 0, 0).otherwise(F.col("p") - F.size("shared"))
     room = contract.differ(F.col("n")) + 1 - alone
     prefix = F.when(F.col("p") == 0, F.col("shared")).when(room > 0, F.slice("shared", 1, F.greatest(room, F.lit(1))))
-    # segments that other sets have too, as the bits of an array of longs
-    taken = F.aggregate(
-        "shared",
-        F.array_repeat(F.lit(0).cast("long"), F.floor((F.col("p") + 63) / 64).cast("int")),
-        lambda acc, s: F.transform(acc, lambda bits, i: F.when(F.floor(s["segment"] / 64) == i, bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s["segment"] % 64))).otherwise(bits)),
-    )
+    # segments that other sets have too, as the bits of an array of longs: from the least on, a long at a time
+    long = F.lit(0).cast("long")
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(long, F.greatest(n, F.lit(0)))
+
+    def bit(acc: Column, segment: Column) -> Column:
+        at, one = F.call_function("div", segment, F.lit(64)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), segment % 64)
+        same = F.struct(acc["at"].alias("at"), acc["bits"].bitwiseOR(one).alias("bits"), acc["out"].alias("out"))
+        following = F.struct(at.alias("at"), one.alias("bits"), F.concat(acc["out"], F.array(acc["bits"]), zeros(at - acc["at"] - 1)).alias("out"))
+        return F.when(at == acc["at"], same).otherwise(following)
+
+    size = F.floor((F.col("p") + 63) / 64).cast("int")
+    begun = F.struct(F.lit(0).alias("at"), long.alias("bits"), F.array().cast("array<bigint>").alias("out"))
+    taken = F.when(size < 1, F.array().cast("array<bigint>")).otherwise(F.aggregate(F.array_sort(F.transform("shared", lambda s: s["segment"])), begun, bit, lambda acc: F.concat(acc["out"], F.array(acc["bits"]), zeros(size - acc["at"] - 1))))
     named = ranked.select("class", "n", "size_range", "p", alone.alias("alone"), taken.alias("taken"), prefix.alias("prefix"))
     held = named.select("class", "n", "size_range", "p", "alone", "taken", F.explode("prefix").alias("entry"))  # apart: else every entry would make the bits anew
     return held.select(F.col("entry.token").alias("token"), "class", "n", "size_range", "p", "alone", "taken")
@@ -240,7 +249,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, contract: Contract = DIGES
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * words_each), pa.array(np.concatenate(odd)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(named), pa.int64()), lists, parity], names=["class", "shingles", "parity"])
 
-    found = docs.select("text").mapInArrow(pick, "class long, shingles array<long>, parity array<long>").join(wanted, "class", "left_semi")
+    found = docs.select("text").mapInArrow(tidy(pick), "class long, shingles array<long>, parity array<long>").join(wanted, "class", "left_semi")
     return stored(found.groupBy("class").agg(F.min(F.struct("shingles", "parity")).alias("s")).select("class", "s.*"))
 
 
@@ -301,10 +310,11 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", contr
     table = stored(set_table(docs, contract))
     named = components(links(docs, cheaper_boundary(table, contract), contract))
     rows = table.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = rows.where("n > 0").groupBy("component").agg(F.min(F.when(F.col("doc") != LOWEST, F.col("doc"))).alias("smallest"), F.min(F.struct("doc", "text_hash")).alias("kept"))
+    place = F.struct((F.col("doc") == LOWEST).alias("unnamed"), "doc", "text_hash")  # a row without an id comes last
+    smallest = rows.where("n > 0").groupBy("component").agg(F.min(F.when(F.col("doc") != LOWEST, F.col("doc"))).alias("smallest"), F.min(place).alias("kept"))
     own = F.when(F.col("doc") != LOWEST, F.col("doc"))
     return rows.join(smallest, "component", "left").select(
-        "doc", "text_hash", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("smallest")).otherwise(own).alias("component_id"), F.when(F.col("n") > 0, F.struct("doc", "text_hash") == F.col("kept")).otherwise(True).alias("stays")
+        "doc", "text_hash", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("smallest")).otherwise(own).alias("component_id"), F.when(F.col("n") > 0, place == F.col("kept")).otherwise(True).alias("stays")
     )
 
 
@@ -314,7 +324,7 @@ def document_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", contract: Contract = DIGEST) -> DataFrame:
-    """The rows of ``df``, one of each group: the one with the smallest id. Rows without words all stay."""
+    """The rows of ``df``, one of each group: the one with the smallest id, that of ``component_id``. Rows without words all stay."""
     stay = grouped(df, id_col, text_col, contract).where("stays").select(F.col("doc").alias("__quire_doc"), F.col("text_hash").alias("__quire_hash")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = df.withColumn("__quire_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))).withColumn("__quire_hash", F.xxhash64(text))
