@@ -11,7 +11,7 @@ is kept out of the fit and gives the temperature that calibrates the scores.
 
 Edge cases. A null text, or one without a letter, is ``und`` with score 0; so is
 every text if nothing can be learnt. Rows with a null language are predicted but
-not learnt from; a null id counts as the empty text. Repeated rows have equal results.
+not learnt from; a null id counts as the empty text. More than ``LANGUAGES`` languages are refused. Repeated rows have equal results.
 Language, source and id are no inputs of a prediction. Other columns are not read.
 """
 
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, records
+from .common import emit, give_back, records, tidy
 
 #: Buckets of hashed n-grams; rows of each language in the sample (in expectation, at most); passes over it.
 BUCKETS, PER_LANGUAGE, EPOCHS = 1 << 14, 1000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
+#: Languages that a model may have: its weights are dense, 128 kB for each.
+LANGUAGES = 1000
 UNKNOWN = "und"
 #: Characters of a text that are counted at a time; the counts are those of the whole text.
 SLICE = 1 << 20
@@ -138,9 +140,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.nulls(len(rows), pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["lang", "bucket", "n"])
 
-    found = learnt.select("lang", "text").mapInArrow(document_frequencies, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    found = learnt.select("lang", "text").mapInArrow(tidy(document_frequencies), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     by_language = {r.lang: r.n for r in found if r.lang is not None}
     languages, whole = sorted(by_language), sum(by_language.values())
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"{len(languages)} values of {lang_col}; a model has {LANGUAGES} languages at most")
     df_counts = np.zeros(BUCKETS)
     for r in found:
         if r.bucket is not None:
@@ -160,18 +164,21 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
         yield from emit(rows(), schema, lambda row: 8 * len(row[2]))
 
-    sample = learnt.where(place < F.element_at(share, F.col("lang"))).select("lang", "key", "text").mapInArrow(vectors, "lang string, key string, at array<int>, number array<int>").toArrow()
+    sample = learnt.where(place < F.element_at(share, F.col("lang"))).select("lang", "key", "text").mapInArrow(tidy(vectors), "lang string, key string, at array<int>, number array<int>").toArrow()
     rows = []
     order = sorted(zip(sample["key"].to_pylist(), sample["lang"].to_pylist(), range(sample.num_rows), strict=True), key=lambda r: (r[0] or "", r[1]))
     for _, lang, i in order:
         at = sample["at"][i].values.to_numpy().astype(np.int64)
         value = (1 + np.log(sample["number"][i].values.to_numpy())) * idf[at]
         norm = float(np.sqrt((value * value).sum()))
-        rows.append((languages.index(lang), at, value / norm if norm else value))
+        rows.append((languages.index(lang), at.astype(np.int32), value / norm if norm else value))
     kept, calibration = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
     weights, bias = fit(kept or rows, len(languages))
     logits = np.array([weights[:, at] @ value + bias for _, at, value in calibration]).reshape(-1, len(languages))
-    return Model(languages, idf, weights, bias, temperature(logits, np.array([r[0] for r in calibration], int)))
+    labels = np.array([r[0] for r in calibration], int)
+    del sample, order, rows, kept, calibration
+    give_back()  # the driver's too: the sample is the largest that it holds
+    return Model(languages, idf, weights, bias, temperature(logits, labels))
 
 
 def prediction(model: Model, text_col: Column, spark) -> Column:
@@ -180,9 +187,12 @@ def prediction(model: Model, text_col: Column, spark) -> Column:
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        for batch in texts:
-            found = [own.predict(t.as_py()) for t in batch]
-            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+        try:
+            for batch in texts:
+                found = [own.predict(t.as_py()) for t in batch]
+                yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+        finally:
+            give_back()
 
     return F.arrow_udf(run, "lang_pred string, score double")(text_col)
 
