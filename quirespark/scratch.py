@@ -35,8 +35,8 @@ def session_folder(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder, which all executors see."""
     path = f"{session_folder(spark)}/{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    for scope in _scopes:
+        scope.append(path)
     return path
 
 
@@ -47,13 +47,24 @@ def deleted(spark: SparkSession, paths: Iterable[str]) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession):
-    """Folders that are made inside go at the end, but for those that are taken off the list."""
+def recorded():
+    """The folders that are made inside, as a list."""
     _scopes.append([])
+    own = _scopes[-1]
     try:
-        yield _scopes[-1]
+        yield own
     finally:
-        deleted(spark, _scopes.pop())
+        _scopes[:] = [scope for scope in _scopes if scope is not own]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders that are made inside go at the end, but for those that are taken off the list."""
+    with recorded() as own:
+        try:
+            yield own
+        finally:
+            deleted(spark, own)
 
 
 def stored(df: DataFrame) -> DataFrame:
