@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, int_lists, records
+from .common import BATCH_BYTES, RELEASED, int_lists, records, tidy
 
 #: No pair: larger than any rank.
 NONE = (1 << 31) - 1
-#: Pieces whose ids a worker remembers; at that many it starts anew. This bounds memory only.
-MEMO = 1 << 19
+#: Bytes, about, of the pieces and ids that a worker remembers while tasks of this operator follow one another; at that many it starts anew. This bounds memory only.
+MEMO = 48 << 20
 #: Pairs of the widest tree that is merged beside others, and characters of texts that are encoded together.
 WIDEST, TOGETHER = 32, 1 << 20
 
@@ -54,6 +54,7 @@ class Codec:
             self.tokens[rank] = token
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         self.size = len(self.tokens)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -182,15 +183,19 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         pieces = [self.find(text) for text in texts]
-        seen = set().union(*pieces)
-        new = seen - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = seen
+        if self.held > MEMO:
+            self.forget()
+        new = set().union(*pieces) - self.memo.keys()
         self.learn(new)
-        ids = self.memo.__getitem__
+        memo = self.memo
+        self.held += sum(240 + len(piece) + len(memo[piece]) for piece in new)  # two objects and their place in the table
+        ids = memo.__getitem__
         return [b"".join(map(ids, found)) for found in pieces]
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.held = 0
+
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_all([text])[0]).tolist()
 
@@ -198,6 +203,14 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def forget() -> None:
+    for own in _codecs.values():
+        own.forget()
+
+
+RELEASED.append(forget)
+
+
 def codec(ranks: bytes, pattern: str) -> Codec:
     """One codec for each worker process and vocabulary."""
     key = hash((ranks, pattern))
@@ -232,7 +245,7 @@ def encode_decode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_
             yield batch(kept)
 
     kind = df.schema[id_col].dataType
-    mapped = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "key long, ids array<int>, decoded binary")
+    mapped = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(tidy(run, forget), "key long, ids array<int>, decoded binary")
     return mapped.select(F.col("key").cast(kind).alias(id_col), "ids", "decoded")
 
 

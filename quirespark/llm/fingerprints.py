@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_points, emit, range_of, records, shuffle_partitions
+from .common import cut_points, emit, range_of, records, shuffle_partitions, tidy
 
 PERIOD, CLASSES, SAMPLES = 1024, 256, 512
 
@@ -123,7 +123,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(((key, fingerprint(text or "")) for key, text in records(batches)), schema, lambda row: 256)
 
-    mapped = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "key long, fingerprint string")
+    mapped = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "key long, fingerprint string")
     return mapped.select(F.col("key").alias(id_col), "fingerprint")
 
 
@@ -175,7 +175,7 @@ def near_copies(prints: DataFrame, id_col: str = "doc_id", at_least: float = 0.8
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key, np.int64)), pa.array(found)], names=["own", "band"])
 
     named = stored(prints.select(F.col(id_col).cast("long").alias("own"), "fingerprint").where("own is not null"))
-    left = stored(named.mapInArrow(name, "own long, band long"))
+    left = stored(named.mapInArrow(tidy(name), "own long, band long"))
     alike = F.pandas_udf(lambda a, b: a.combine(b, likeness), "double")
     seen = links = None
     while True:
@@ -244,4 +244,4 @@ def edited_and_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         yield from emit(rows(), schema, lambda row: 512)
 
-    return ordered.select("doc_id", "text", "peek").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.select("doc_id", "text", "peek").mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -48,6 +48,8 @@ LOWEST = -(1 << 63)
 BROADCAST_ROWS = 500_000
 #: Lines of a list that are compared pair by pair, and how often a larger list is split.
 SMALL, LEVELS = 32, 16
+#: Pairs in all, for each entry of a list, up to which lists that are left aren't split any more.
+LEFT = 2
 #: Characters after which a pair's check may end early, and of which its common beginning and end consist.
 BLOCK = 16
 
@@ -139,14 +141,16 @@ def finer_entries(threshold: int | tuple) -> Column:
 
 def near(a: Column, b: Column, threshold: int | tuple) -> Column:
     """Whether two strings are within the edits that the shorter one's class allows."""
-    shorter, out = F.least(F.length(a), F.length(b)), F
+    if isinstance(threshold, int):
+        return within(a, b, threshold)
+    shorter, allowed = F.least(F.length(a), F.length(b)), F
     for low, high, edits in classes(threshold):
-        out = out.when(inside(shorter, low, high), within(a, b, edits))
-    return out.otherwise(False)
+        allowed = allowed.when(inside(shorter, low, high), edits)
+    return within(a, b, max(e for _, _, e in classes(threshold)), allowed.otherwise(-1))
 
 
-def within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two strings are within ``threshold`` edits: bit d + threshold of level e says that diagonal d takes e errors at most."""
+def within(a: Column, b: Column, threshold: int, allowed: Column | None = None) -> Column:
+    """Whether two strings are within ``threshold`` edits, or within ``allowed``, if that is fewer: bit d + threshold of level e says that diagonal d takes e errors at most."""
     width, full = 2 * threshold + 1, (1 << (2 * threshold + 1)) - 1
 
     def closed(levels: list[Column]) -> list[Column]:
@@ -170,12 +174,12 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
     def with_head(x: Column) -> Column:
         count = F.call_function("div", F.least(F.size(x["l"]), F.size(x["r"])), F.lit(BLOCK)).cast("int")
-        return F.struct(x["l"].alias("l"), x["r"].alias("r"), count.alias("count"), blocks(count, lambda k: alike(x, k * BLOCK + 1, k * BLOCK + 1)).alias("head"))
+        return F.struct(x["l"].alias("l"), x["r"].alias("r"), count.alias("count"), blocks(count, lambda k: alike(x, k * BLOCK + 1, k * BLOCK + 1)).alias("head"), x["allowed"].alias("allowed"))
 
     def with_tail(x: Column) -> Column:
         na, nb = F.size(x["l"]), F.size(x["r"])
         same = blocks(x["count"] - x["head"], lambda k: alike(x, na - (k + 1) * BLOCK + 1, nb - (k + 1) * BLOCK + 1))
-        return F.struct(x["l"].alias("l"), x["r"].alias("r"), (x["head"] * BLOCK).alias("from"), (na - same * BLOCK).alias("to"), (nb - na).alias("end"))
+        return F.struct(x["l"].alias("l"), x["r"].alias("r"), (x["head"] * BLOCK).alias("from"), (na - same * BLOCK).alias("to"), (nb - na).alias("end"), x["allowed"].alias("allowed"))
 
     def check(pair: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
@@ -196,12 +200,14 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
         left = F.call_function("div", pair["to"] - pair["from"] + (BLOCK - 1), F.lit(BLOCK)).cast("int")
         last = F.when(left < 1, first).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(left, F.lit(1)) - 1), first, stretch))
-        return F.call_function("shiftright", last[f"r{threshold}"], pair["end"] + threshold).bitwiseAND(F.lit(1)) == 1
+        level = last[f"r{threshold}"] if allowed is None else F.element_at(F.transform(F.array(last), lambda x: F.array(*[x[f"r{e}"] for e in range(threshold + 1)]))[0], pair["allowed"] + 1)
+        return F.call_function("shiftright", level, pair["end"] + threshold).bitwiseAND(F.lit(1)) == 1
 
     na, nb = F.length(a), F.length(b)
     # the characters are cut apart once, and what both lines begin and end with is left out: lambdas' variables hold them
-    pair = F.array(F.struct(F.split(a, "").alias("l"), F.split(b, "").alias("r")))
-    close = F.abs(na - nb) <= threshold
+    most = F.lit(threshold) if allowed is None else allowed
+    pair = F.array(F.struct(F.split(a, "").alias("l"), F.split(b, "").alias("r"), most.alias("allowed")))
+    close = F.abs(na - nb) <= most
     return F.when(~close, False).when((na == 0) | (nb == 0), True).otherwise(F.exists(F.transform(F.transform(pair, with_head), with_tail), check))
 
 
@@ -252,6 +258,7 @@ def near_lines(distinct: DataFrame, threshold: int | tuple) -> DataFrame:
         return pairs.join(a, "a").join(b, "b").where(near(F.col("la"), F.col("lb"), threshold)).select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
     members = stored(lists.join(own.select("id", "first"), "id"))
+    entered = members.count()
     gone, small = None, []
     for level in range(LEVELS + 1):
         heads = members.groupBy("list").agg(F.min(F.when(F.col("listed") == 1, F.struct("first", "id"))).alias("head"), F.count("*").alias("n")).select("list", F.col("head.id").alias("head"), "n")
@@ -261,17 +268,19 @@ def near_lines(distinct: DataFrame, threshold: int | tuple) -> DataFrame:
         marked = beside.where("n > 2").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
         open_lists = marked.groupBy("list").agg(F.min("first").alias("least"), F.max(F.when(~F.col("gone"), F.col("first"))).alias("last"), F.max("listed").alias("any")).where("least < last and any = 1").select("list")
         left = stored(marked.join(open_lists, "list", "left_semi"))
-        last = F.lit(level == LEVELS)
+        final = F.lit(level == LEVELS)
         if level:
-            last = last | (F.length("rest") - F.col("longer") <= F.col("edits"))
-        paired = left.where((F.col("n") <= SMALL) | last)
+            final = final | (F.length("rest") - F.col("longer") <= F.col("edits"))
+        large = left.where((F.col("n") > SMALL) & ~final)
+        work = large.agg(F.sum("n")).first()[0] or 0
+        done = work <= LEFT * entered  # few enough for all lists that are left: no more in all than a constant for each entry
+        paired = left if done else left.where((F.col("n") <= SMALL) | final)
         x, y = paired.alias("x"), paired.where("listed = 1").alias("y")
         stays = F.when(F.col("x.first") > F.col("y.first"), ~F.col("x.gone")).otherwise(~F.col("y.gone"))
         each_once = (F.col("x.listed") == 0) | (F.col("x.id") < F.col("y.id"))
         met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.id") != F.col("y.id")) & each_once & stays)
         small.append(stored(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()))
-        large = left.where((F.col("n") > SMALL) & ~last)
-        if level == LEVELS or not large.take(1):
+        if done:
             break
         if not level:
             split = stored(large.select("list").distinct())
