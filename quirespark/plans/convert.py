@@ -1,6 +1,6 @@
 """Whole documents to Markdown: PDF, Word, HTML and text.
 
-Each file is parsed once. What a parser finds is stored in the shared folder, so that documents, assets and
+A listing of files is routed by names; the task that parses a file opens it. Each file is parsed once. What a parser finds is stored in the shared folder, so that documents, assets and
 progress, which all read it, don't parse again.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import render_box
 from ..functions.text import cleaned_latex, merged_table_slots, refilled, sanitised, unescaped_math
 from ..operators import layout as L
-from ..providers import Providers, ready
+from ..providers import Providers, ready, scaled
 from ..registry import CONVERTERS, Converter, register, routed
 from ..schemas import ASSETS
 from ..scratch import stored
@@ -24,8 +24,8 @@ from ..shipping import ship
 from ..sources import files, pdf
 from . import pages
 
-#: Points around a region that are rendered with it: for a picture, and for a formula that is read.
-PADDING = {"figure": 0.0, "table": 0.0, "isolate_formula": 2.0}
+# Points around a region that are rendered with it, and pixels for a point, for pictures and for formulas that are read.
+RENDERED = {"figure": (2.0, 2.0), "table": (3.0, 3.0), "isolate_formula": (4.0, 4.0)}
 
 
 @dataclass
@@ -54,53 +54,62 @@ def region_table(parsed: DataFrame) -> DataFrame:
     return detected.unionByName(L.admitted_tables(files.page_regions(parsed, "tables"), detected))
 
 
-def rendered(docs: DataFrame, regions: DataFrame, sizes: DataFrame, providers: Providers) -> DataFrame:
+def rendered(docs: DataFrame, regions: DataFrame, sizes: DataFrame, providers: Providers, opener: Callable[[str], bytes] = files.read_path) -> DataFrame:
     """``(doc_id, page_no, region_no, label, png, latex)``: what the render and formula providers make of the regions.
 
-    Only documents with regions are read again. A provider that fails leaves its region without a result.
+    Only documents with regions are read again: their paths meet the regions, and the task that renders opens the file. Documents
+    that come as content are joined as they are. A provider that fails leaves its region without a result.
     """
     full = [F.lit(0.0), F.lit(0.0), F.col("page_width"), F.col("page_height")]
 
     def boxed(r: Column) -> Column:
         box = [r[c].cast("double") for c in ("x0", "y0", "x1", "y1")]
-        padded = F.when(r["label"] == "isolate_formula", render_box(box, full, PADDING["isolate_formula"])).otherwise(render_box(box, full, 0.0))
+        padded = F.coalesce(*[F.when(r["label"] == label, render_box(box, full, padding)) for label, (padding, _) in RENDERED.items()])
         return F.struct(r["region_no"].cast("int").alias("region_no"), r["label"].alias("label"), padded.alias("box"))
 
     each = regions.join(sizes.select(*L.PAGE, "page_width", "page_height"), L.PAGE).select(*L.PAGE, F.transform("regions", boxed).alias("regions"))
     listed = each.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "regions")).alias("pages"))
-    key = docs.schema["doc_id"].dataType
+    key, listing = docs.schema["doc_id"].dataType, files.is_listing(docs)
     render, formula, cache = providers.render, providers.formula, providers.cache
 
     def made(provider, *arguments):
         if provider is None:
             return None
         try:
-            return provider(*arguments)
+            return provider(*arguments[:-1], **scaled(provider, arguments[-1]))
         except Exception:  # one region without a result
             return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw, read = ready(render, cache), ready(formula, cache)
         for batch in batches:
-            for doc, content, own in zip(*batch.columns, strict=True):
-                rows, data = [], content.as_py() or b""
+            for doc, given, own in zip(*batch.columns, strict=True):
+                rows = []
+                try:
+                    data = opener(given.as_py()) if listing else given.as_py() or b""
+                except OSError:  # gone since it was parsed
+                    continue
                 for page in own.as_py():
                     for r in page["regions"]:
                         if r["box"] is not None:
                             box = tuple(r["box"][c] for c in ("x0", "y0", "x1", "y1"))
                             is_formula = r["label"] == "isolate_formula"
-                            rows.append((doc.as_py(), page["page_no"], r["region_no"], r["label"], None if is_formula else made(draw, data, page["page_no"], box), made(read, data, page["page_no"], box) if is_formula else None))
+                            scale = RENDERED[r["label"]][1]
+                            rows.append((doc.as_py(), page["page_no"], r["region_no"], r["label"], None if is_formula else made(draw, data, page["page_no"], box, scale), made(read, data, page["page_no"], box, scale) if is_formula else None))
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     kinds = [doc.type, pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "page_no", "region_no", "label", "png", "latex"])
 
-    both = docs.select("doc_id", F.col("content").cast("binary").alias("content")).join(listed, "doc_id")
+    if listing:
+        both = files.balanced(docs.select("doc_id", "path", "length").join(listed, "doc_id")).select("doc_id", "path", "pages")
+    else:
+        both = docs.select("doc_id", F.col("content").cast("binary").alias("content")).join(listed, "doc_id")
     found = both.mapInArrow(run, f"doc_id {key.simpleString()}, page_no int, region_no int, label string, png binary, latex string")
     return found.withColumn("latex", cleaned_latex(F.col("latex")))
 
 
-def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None) -> Conversion:
+def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None, opener: Callable[[str], bytes] = files.read_path) -> Conversion:
     """PDF files. Regions come from a table, or from a layout provider; without either there are none."""
     if mode not in ("academic", "fast"):
         raise ValueError(f"unknown mode: {mode}")
@@ -108,7 +117,7 @@ def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable =
     chosen = providers or Providers()
     if assets is not None:
         docs = docs.withColumn("assets", F.lit(assets))
-    parsed = stored(files.parsed_pdf(docs, provider, chosen if mode == "academic" else None))
+    parsed = stored(files.parsed_pdf(docs, provider, chosen if mode == "academic" else None, opener))
     width, height = F.col("page_width"), F.col("page_height")
     failed, whole = parsed.where("page_no is null"), parsed.where("page_no is not null")
     events = whole.select("doc_id", F.lit("pages").alias("stage"), F.col("page_no").alias("current"), F.col("pages").alias("total"))
@@ -124,7 +133,7 @@ def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable =
         lists = L.region_lists(found)
         if chosen.render is not None or chosen.formula is not None:
             lists = stored(lists)
-            made = stored(rendered(docs, lists, whole, chosen))
+            made = stored(rendered(docs, lists, whole, chosen, opener))
             read = F.collect_list(F.when(F.col("latex").isNotNull(), F.struct("region_no", "latex")))
             results = made.groupBy(*L.PAGE).agg(F.map_from_entries(read).alias("latex"), F.collect_list(F.when(F.col("png").isNotNull(), F.col("region_no"))).alias("drawn"))
     links = F.col("assets") if chosen.render is not None else none()  # without a picture there is no link, and the text stays
@@ -159,10 +168,10 @@ def html_markdown(html: DataFrame) -> DataFrame:
     return done.select("doc_id", text.alias("markdown"), title.alias("title"))
 
 
-def docx_conversion(docs: DataFrame, style_map: str | None = None) -> Conversion:
+def docx_conversion(docs: DataFrame, style_map: str | None = None, opener: Callable[[str], bytes] = files.read_path) -> Conversion:
     """Word packages. Style names of ``style_map`` come after the headings that a package itself defines."""
     ship(docs.sparkSession)
-    parsed = stored(files.parsed_docx(docs, style_map))
+    parsed = stored(files.parsed_docx(docs, style_map, opener))
     pictures = parsed.select("doc_id", F.explode("images").alias("i")).select("doc_id", F.col("i.name").alias("rel_path"), "i.mime", "i.content")
     steps = parsed.where("error is null").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("current")).select("doc_id", F.lit("docx").alias("stage"), "current", F.lit(4).alias("total"))
     shown = F.filter("images", lambda i: i["name"].rlike(r"^image-\d+\.(gif|jpg|png|svg)\z"))
@@ -184,30 +193,35 @@ def docx_assets(docs: DataFrame) -> DataFrame:
 # --- any file --------------------------------------------------------------
 
 
+def _opener(options: dict) -> Callable[[str], bytes]:
+    return options.get("opener") or files.read_path
+
+
 def _pdf(docs: DataFrame, options: dict) -> Conversion:
     known = {k: options[k] for k in ("mode", "provider", "regions", "assets", "providers") if options.get(k) is not None}
-    return pdf_conversion(docs, **known)
+    return pdf_conversion(docs, **known, opener=_opener(options))
 
 
 def _docx(docs: DataFrame, options: dict) -> Conversion:
-    return docx_conversion(docs, options.get("style_map"))
+    return docx_conversion(docs, options.get("style_map"), _opener(options))
 
 
 def _html(docs: DataFrame, options: dict) -> Conversion:
-    return Conversion(html_markdown(docs.select("doc_id", F.decode("content", "UTF-8").alias("html"))))
+    return Conversion(html_markdown(stored(files.parsed_text(docs, _opener(options))).select("doc_id", F.col("text").alias("html"), "error")))
 
 
 def _text(docs: DataFrame, options: dict) -> Conversion:
-    return Conversion(docs.select("doc_id", F.decode("content", "UTF-8").alias("markdown")))
+    return Conversion(stored(files.parsed_text(docs, _opener(options))).select("doc_id", F.col("text").alias("markdown"), "error"))
 
 
 def _built_in() -> None:
     from ..functions.files import accepts_docx, accepts_pdf
 
-    ending = lambda *known: lambda ext, _: F.lower(F.coalesce(ext, F.lit(""))).isin(*known)
-    for converter in (Converter("pdf", accepts_pdf, _pdf, -1.0), Converter("docx", accepts_docx, _docx, -1.0), Converter("html", ending(".html", ".htm"), _html), Converter("text", ending(".md", ".txt"), _text)):
-        if converter.name not in CONVERTERS:
-            register(converter)
+    ending = lambda known: lambda ext, _: F.lower(F.coalesce(ext, F.lit(""))).isin(*known)
+    kinds = (("pdf", accepts_pdf, _pdf, -1.0, (".pdf",)), ("docx", accepts_docx, _docx, -1.0, (".docx",)), ("html", None, _html, 0.0, (".html", ".htm")), ("text", None, _text, 0.0, (".md", ".txt")))
+    for name, accepts, run, priority, endings in kinds:
+        if name not in CONVERTERS:
+            register(Converter(name, accepts or ending(endings), run, priority, True, endings))
 
 
 _built_in()
@@ -216,14 +230,20 @@ _built_in()
 def conversion(docs: DataFrame, **options) -> Conversion:
     """Files of any kind that a registered converter takes; all options go to each of them.
 
-    ``docs`` may have ``assets``, the folder that a document's links to its assets begin with.
+    ``docs`` is a listing of files, or has their ``content``. It may have ``assets``, the folder that a document's links to its assets begin
+    with. Options of its own: ``opener`` (path to bytes, for a listing), and ``scan`` (endings to files with content, where
+    workers can't open them).
     """
+    ship(docs.sparkSession)
     names = {"doc_id": docs.schema["doc_id"].dataType}
-    dealt = routed(docs)
+    scan, listing = options.pop("scan", None), files.is_listing(docs)
+    dealt = stored(routed(docs)) if listing and scan is None else routed(docs)  # a store is listed once
     columns = ("doc_id", "markdown", "title", "error")
     documents, assets, events = [], [], []
     for converter in CONVERTERS.values():
-        made = converter.run(dealt.where(F.col("converter") == converter.name), options)
+        own = dealt if scan is None else routed(scan(converter.endings))
+        own = own.where(F.col("converter") == converter.name)
+        made = converter.run(own if converter.opens else files.with_content(own, _opener(options)), options)
         whole = made.documents
         for c in ("title", "error"):
             whole = whole if c in whole.columns else whole.withColumn(c, none())
@@ -251,5 +271,17 @@ def convert(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.pa
     return conversion(docs, mode=mode, provider=provider, **options).documents
 
 
+def path_conversion(spark: SparkSession, path: str, prepared: Callable[[DataFrame], DataFrame] = lambda docs: docs, **options) -> Conversion:
+    """The files of a path or glob. ``prepared`` may add columns to a listing (``assets``).
+
+    Where workers can't open the store by themselves, Spark reads each converter's files, by their endings.
+    """
+    listing = prepared(files.list_files(spark, path))
+    if options.get("opener") or files.reachable(path):
+        return conversion(listing, **options)
+    return conversion(listing, scan=lambda endings: prepared(files.read_files(spark, path, endings=endings)), **options)
+
+
 def convert_path(spark: SparkSession, path: str, **options) -> DataFrame:
-    return convert(files.read_files(spark, path), **options)
+    """``(doc_id, markdown, title, error)`` of the files of a path or glob."""
+    return path_conversion(spark, path, **options).documents

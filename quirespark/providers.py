@@ -4,12 +4,13 @@ A provider is a function. One whose model takes long to load is an object with `
 the function that ``load`` returns is made once for each worker process and kept.
 
 * layout and tables: ``(content, page_no, width, height)`` to ``(label, confidence, x0, y0, x1, y1)`` or ``(x0, y0, x1, y1)`` rows
-* render: ``(content, page_no, (x0, y0, x1, y1))`` to the bytes of a PNG, or None
+* render: ``(content, page_no, (x0, y0, x1, y1))`` to the bytes of a PNG, or None; with a parameter ``scale`` it is told the pixels for a point
 * formula: the same to LaTeX, or None
 """
 
 from __future__ import annotations
 
+import inspect
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -46,3 +47,11 @@ def ready(provider: Any, cache: str | None = None) -> Callable | None:
                 os.environ[name] = path
         _made[provider.key] = provider.load()
     return _made[provider.key]
+
+
+def scaled(provider: Callable, scale: float) -> dict[str, float]:
+    """The scale as an argument, for providers that have a parameter of that name."""
+    try:
+        return {"scale": scale} if "scale" in inspect.signature(provider).parameters else {}
+    except (TypeError, ValueError):
+        return {}

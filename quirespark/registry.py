@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Converter:
-    """``accepts(ext, mime)`` is a column; ``run(docs, options)`` returns a ``Conversion``, whose documents need ``doc_id`` and ``markdown`` only."""
+    """``accepts(ext, mime)`` is a column; ``run(docs, options)`` returns a ``Conversion``, whose documents need ``doc_id`` and ``markdown`` only.
+
+    ``docs`` has ``content``, unless ``opens`` says that ``run`` opens the files of a listing itself, by ``options["opener"]``.
+    """
 
     name: str
     accepts: Callable[[Column, Column], Column]
     run: Callable
     #: Lower comes first; of equals the one that was registered last.
     priority: float = 0.0
+    opens: bool = False
+    #: The endings of names that are read where only Spark can open files; none: all files are.
+    endings: tuple[str, ...] = ()
 
 
 CONVERTERS: dict[str, Converter] = {}
