@@ -109,7 +109,7 @@ def rendered(docs: DataFrame, regions: DataFrame, sizes: DataFrame, providers: P
     return found.withColumn("latex", cleaned_latex(F.col("latex")))
 
 
-def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None, opener: Callable[[str], bytes] = files.read_path) -> Conversion:
+def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.read, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None, opener: Callable[[str], bytes] = files.read_path) -> Conversion:
     """PDF files. Regions come from a table, or from a layout provider; without either there are none."""
     if mode not in ("academic", "fast"):
         raise ValueError(f"unknown mode: {mode}")
@@ -148,7 +148,7 @@ def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable =
     return Conversion(full.withColumn("error", none()).unionByName(errors), pictures, events)
 
 
-def pdf_markdown(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None) -> DataFrame:
+def pdf_markdown(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.read, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None) -> DataFrame:
     """``(doc_id, markdown, error)`` of PDF files."""
     return pdf_conversion(docs, mode, provider, regions, assets, providers).documents
 
@@ -266,7 +266,7 @@ def conversion(docs: DataFrame, **options) -> Conversion:
     return Conversion(whole, union([none_yet, *assets]), union(events).withColumn("seq", rank * F.lit(1 << 32) + F.col("current")))
 
 
-def convert(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.parse, **options) -> DataFrame:
+def convert(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.read, **options) -> DataFrame:
     """``(doc_id, markdown, title, error)`` of files of any kind that a converter takes."""
     return conversion(docs, mode=mode, provider=provider, **options).documents
 

@@ -97,9 +97,10 @@ def packed_pdf(doc_id: int, body: str) -> bytes:
         spots[number] = len(out)
         small = zlib.compress(data)
         out += f"{number} 0 obj\n<<{head}/Filter/FlateDecode/Length {len(small)}>>\nstream\n".encode() + small + b"\nendstream\nendobj\n"
-    rows = [bytes(5), *(struct.pack(">BI", 1, spot) for spot in spots.values())]
+    places = {number: (1, spot, 0) for number, spot in spots.items()} | {number: (2, 9, i) for i, number in enumerate(packed)} | {9_999_999: (1, len(out), 0)}
+    rows = [bytes(7), *(struct.pack(">BIH", *places[number]) for number in sorted(places))]
     ups = b"".join(b"\x02" + bytes((x - y) & 255 for x, y in zip(row, above, strict=True)) for above, row in zip(rows, rows[1:], strict=False))  # differences from the row above
     small = zlib.compress(ups)
-    index = " ".join(f"{number} 1" for number in spots)
-    end = f"9999999 0 obj\n<</Type/XRef/Root 1 0 R/W[1 4 0]/Index[{index}]/Filter/FlateDecode/DecodeParms<</Predictor 12/Columns 5>>/Length {len(small)}>>\nstream\n".encode()
+    index = " ".join(f"{number} 1" for number in sorted(places))
+    end = f"9999999 0 obj\n<</Type/XRef/Root 1 0 R/W[1 4 2]/Index[{index}]/Filter/FlateDecode/DecodeParms<</Predictor 12/Columns 7>>/Length {len(small)}>>\nstream\n".encode()
     return out + end + small + f"\nendstream\nendobj\nstartxref\n{len(out)}\n%%EOF".encode()

@@ -171,15 +171,16 @@ def parsed_text(docs: DataFrame, opener: Callable[[str], bytes] = read_path) ->
     return each_file(docs, TEXT, lambda data, _: [{"text": data.decode("utf-8", "replace")}], opener=opener)
 
 
-def parsed_pdf(docs: DataFrame, provider: Callable = pdf.parse, providers: Providers | None = None, opener: Callable[[str], bytes] = read_path) -> DataFrame:
+def parsed_pdf(docs: DataFrame, provider: Callable = pdf.read, providers: Providers | None = None, opener: Callable[[str], bytes] = read_path) -> DataFrame:
     """``(doc_id, assets, page_no, pages, page_width, page_height, blocks, regions, tables, note, error)``: a row for
     each page, and one without a page for a file that fails or has none. Where the layout of a page can't be
-    detected, ``note`` says why, and the page goes on without regions.
+    detected, or a page read, ``note`` says why, and the page goes on without regions (or text).
     """
     chosen = providers or Providers()
 
     def parse(data: bytes, _) -> list[dict]:
-        pages, blocks = provider(data)
+        pages, blocks, *rest = provider(data)
+        failed = rest[0] if rest else {}
         if not pages:
             return [{"error": "ValueError: no pages were found"}]
         by_page: dict[int, list] = {}
@@ -188,8 +189,8 @@ def parsed_pdf(docs: DataFrame, provider: Callable = pdf.parse, providers: Provi
         layout, tables = ready(chosen.layout, chosen.cache), ready(chosen.tables, chosen.cache)
         out = []
         for number, width, height in pages:
-            note, regions, found = None, [], []
-            if layout is not None:
+            note, regions, found = failed.get(number), [], []
+            if layout is not None and note is None:
                 try:
                     regions = [box_row(i, *r) for i, r in enumerate(layout(data, number, width, height))]
                 except Exception as e:
