@@ -104,3 +104,118 @@ def packed_pdf(doc_id: int, body: str) -> bytes:
     index = " ".join(f"{number} 1" for number in sorted(places))
     end = f"9999999 0 obj\n<</Type/XRef/Root 1 0 R/W[1 4 2]/Index[{index}]/Filter/FlateDecode/DecodeParms<</Predictor 12/Columns 7>>/Length {len(small)}>>\nstream\n".encode()
     return out + end + small + f"\nendstream\nendobj\nstartxref\n{len(out)}\n%%EOF".encode()
+
+
+# --- fonts without ToUnicode -------------------------------------------------
+
+
+def _index(items: list[bytes]) -> bytes:
+    if not items:
+        return b"\0\0"
+    ends = [1]
+    for x in items:
+        ends.append(ends[-1] + len(x))
+    return struct.pack(">HB", len(items), 4) + b"".join(struct.pack(">I", e) for e in ends) + b"".join(items)
+
+
+def cff(names: list[str]) -> bytes:
+    """A font program whose glyph ``i + 1`` has the name ``names[i]`` and the code ``i + 1``; its outlines are empty."""
+    header, own, strings = bytes([1, 0, 4, 4]), _index([b"Quire"]), _index([n.encode() for n in names])
+    ahead = len(header) + len(own) + len(_index([bytes(18)])) + len(strings) + 2
+    encoding = bytes([0, len(names), *range(1, len(names) + 1)])
+    charset = b"\0" + b"".join(struct.pack(">H", 391 + i) for i in range(len(names)))
+    places = [(15, ahead + len(encoding)), (16, ahead), (17, ahead + len(encoding) + len(charset))]
+    top = b"".join(b"\x1d" + struct.pack(">i", place) + bytes([key]) for key, place in places)
+    return header + own + _index([top]) + strings + b"\0\0" + encoding + charset + _index([b"\x0e"] * (len(names) + 1))
+
+
+def type1(names: list[str]) -> bytes:
+    rows = "".join(f"dup {i} /{n} put\n" for i, n in enumerate(names, 1))
+    return f"%!PS-AdobeFont-1.0: Quire\n/FontName /Quire def\n/Encoding 256 array\n0 1 255 {{1 index exch /.notdef put}} for\n{rows}readonly def\ncurrentdict end\ncurrentfile eexec\n".encode() + bytes(32)
+
+
+def truetype(characters: dict[int, str]) -> bytes:
+    """A font program whose ``cmap`` takes each character to its glyph; all glyphs are 500 wide."""
+    groups = sorted((ord(c), g) for g, c in characters.items())
+    sub = struct.pack(">HHIII", 12, 0, 16 + 12 * len(groups), 0, len(groups)) + b"".join(struct.pack(">III", c, c, g) for c, g in groups)
+    count = max(characters, default=0) + 1
+    tables = {
+        b"cmap": struct.pack(">HHHHI", 0, 1, 3, 10, 12) + sub,
+        b"head": bytes(18) + struct.pack(">H", 1000) + bytes(34),
+        b"hhea": bytes(34) + struct.pack(">H", 1),
+        b"hmtx": struct.pack(">HH", 500, 0) + bytes(2 * (count - 1)),
+        b"maxp": struct.pack(">IH", 0x5000, count),
+    }
+    at, heads, bodies = 12 + 16 * len(tables), b"", b""
+    for name, data in tables.items():
+        data += bytes(-len(data) % 4)
+        heads += name + struct.pack(">III", 0, at + len(bodies), len(data))
+        bodies += data
+    return struct.pack(">IHHHH", 0x10000, len(tables), 0, 0, 0) + heads + bodies
+
+
+def glyph_name(c: str) -> str:
+    return f"uni{ord(c):04X}" if ord(c) < 0x10000 else f"u{ord(c):X}"
+
+
+def font_pdf(doc_id: int, body: str) -> bytes:
+    """The pages of :func:`pdf` in fonts that have no ToUnicode map, by turns: a TrueType program with glyphs of its own
+    order, two predefined character maps (UTF-16 and a national encoding), and simple fonts with a CFF and a Type 1 program.
+    """
+    lines = (body or "").split("\n")
+    shown = [lines[i : i + 12] for i in range(0, len(lines), 12)]
+    kinds, simple = [], {3: [], 4: []}
+    for i, line in enumerate(lines):
+        kind = (doc_id + i) % 5 + 1
+        if kind in simple:
+            more = sorted(set(line) - set(simple[kind]))
+            if len(simple[kind]) + len(more) > 250:
+                kind = 2
+            else:
+                simple[kind] += more
+        kinds.append(kind)
+    glyphs = {c: 3 + 2 * k for k, c in enumerate(sorted({c for line, kind in zip(lines, kinds, strict=True) if kind == 1 for c in line}, reverse=True))}
+    cids = {c: k for k, c in enumerate(sorted(glyphs), 1)}
+    to_glyph = b"\0\0" + b"".join(struct.pack(">H", glyphs[c]) for c in sorted(cids))
+    codes = {kind: {c: i for i, c in enumerate(own, 1)} for kind, own in simple.items()}
+
+    def text(line: str, kind: int) -> bytes:
+        if kind == 1:
+            data = b"".join(struct.pack(">H", cids[c]) for c in line)
+        elif kind == 2:
+            data = line.encode("utf-16-be", "replace")
+        elif kind == 5:
+            data = line.encode("gb18030", "replace")
+        else:
+            data = bytes(codes[kind][c] for c in line)
+        return b"<" + data.hex().encode() + b">"
+
+    def packed(head: bytes, data: bytes) -> bytes:
+        small = zlib.compress(data)
+        return b"<<%s/Filter/FlateDecode/Length %d>>\nstream\n" % (head, len(small)) + small + b"\nendstream"
+
+    wide = b"<</Type/Font/Subtype/Type0/BaseFont/Quire/Encoding/%s/DescendantFonts[<</Type/Font/Subtype/%s/BaseFont/Quire/DW 500%s>>]>>"
+    names = [[glyph_name(c) for c in simple[kind]] for kind in (3, 4)]
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>",
+        2: b"<</Type/Pages/Count %d/Kids[%s]/MediaBox[0 0 600 842]/Resources<</Font<</F1 3 0 R/F2 4 0 R/F3 5 0 R/F4 6 0 R/F5 7 0 R>>>>>>" % (len(shown), b" ".join(b"%d 0 R" % (20 + 2 * k) for k in range(len(shown)))),
+        3: wide % (b"Identity-H", b"CIDFontType2", b"/FontDescriptor<</Type/FontDescriptor/FontFile2 10 0 R>>/CIDToGIDMap 11 0 R"),
+        4: wide % (b"UniJIS-UTF16-H", b"CIDFontType0", b""),
+        5: b"<</Type/Font/Subtype/Type1/BaseFont/Quire/FontDescriptor<</Type/FontDescriptor/Flags 4/FontFile3 12 0 R>>>>",
+        6: b"<</Type/Font/Subtype/Type1/BaseFont/Quire/FontDescriptor<</Type/FontDescriptor/Flags 4/FontFile 13 0 R>>>>",
+        7: wide % (b"GBK2K-H", b"CIDFontType0", b""),
+        10: packed(b"", truetype({g: c for c, g in glyphs.items()})),
+        11: packed(b"", to_glyph),
+        12: packed(b"/Subtype/Type1C", cff(names[0])),
+        13: packed(b"", type1(names[1])),
+    }
+    for k, page in enumerate(shown):
+        own = kinds[12 * k : 12 * k + 12]
+        content = b"BT\n" + b"".join(b"/F%d 10 Tf 1 0 0 1 40 %d Tm %s Tj\n" % (kind, 842 - 110 - 50 * i, text(x, kind)) for i, (x, kind) in enumerate(zip(page, own, strict=True))) + b"ET"
+        objects[20 + 2 * k] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (21 + 2 * k)
+        objects[21 + 2 * k] = packed(b"", content)
+    out, rows = b"%PDF-1.6\n", []
+    for number, value in objects.items():
+        rows.append(b"%d 1\n%010d 00000 n \n" % (number, len(out)))
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, value)
+    return out + b"xref\n" + b"".join(rows) + b"trailer\n<</Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % len(out)

@@ -566,6 +566,12 @@ def pdf_convert_packed(spark, sf_dir):
     return convert.pdf_markdown(built(spark, sf_dir, packages.packed_pdf), mode="fast").where("markdown is not null").select("doc_id", "markdown")
 
 
+@query(ORACLES["pdf_convert"])
+def pdf_convert_fonts(spark, sf_dir):
+    """Embedded TrueType, CFF and Type 1 programs and predefined character maps, none with a ToUnicode map."""
+    return convert.pdf_markdown(built(spark, sf_dir, packages.font_pdf), mode="fast").where("markdown is not null").select("doc_id", "markdown")
+
+
 @query(
     f"""WITH {views.LINES}, l AS (SELECT doc_id, line_no, {SQUEEZED} AS text FROM lines)
 SELECT doc_id, '# Document ' || doc_id || {NL} || {NL} || coalesce(string_agg(text, {NL} || {NL} ORDER BY line_no) FILTER (WHERE text <> '') || {NL} || {NL}, '') || '1. one' || {NL} || '  * *in* it' || {NL} || '2. [two](u)' || {NL} || {NL} || '| n | **v** |' || {NL} || '| --- | --- |' || {NL} || '| ' || doc_id || ' | a\\|b |' AS markdown FROM l GROUP BY doc_id"""

@@ -22,6 +22,8 @@ import zlib
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+from . import fonts
+
 OBJECT = re.compile(rb"(?<![\d.])(\d+)\s+(\d+)\s+obj\b")
 SPACE = b"\x00\t\n\x0c\r "
 PART = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
@@ -573,7 +575,9 @@ class Font:
         self.widths: dict[int, float] = {}
         self.usual = 500.0
         self.codes: dict[bytes, str] = {}
+        self.program: dict[int, str] = {}
         self.lengths: list[int] = []
+        self.plain: list[tuple] = []
         describes = entry
         if self.wide:
             below = file.get(entry.get("DescendantFonts")) or []
@@ -591,6 +595,9 @@ class Font:
         if isinstance(entry.get("ToUnicode"), Ref):
             self.read_map(file.stream(entry["ToUnicode"])[1])
         encoding = file.get(entry.get("Encoding"))
+        self.codec = fonts.predefined(str(encoding)) if self.wide and isinstance(encoding, Name) else None
+        if not self.codes and self.codec is None:
+            self.read_program(file, describes, descriptor, encoding)
         base = encoding if not isinstance(encoding, dict) else file.get(encoding.get("BaseEncoding"))
         self.page = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
         self.named: dict[int, str] = {}
@@ -603,6 +610,26 @@ class Font:
             elif isinstance(x, int):
                 at = x
 
+    def read_program(self, file: File, describes: dict, descriptor: dict, encoding: Any) -> None:
+        """What the embedded program knows, where the file has no ToUnicode map. An encoding that the file states comes first."""
+        kind = next((k for k in ("FontFile2", "FontFile3", "FontFile") if isinstance(descriptor.get(k), Ref)), None)
+        if kind is None:
+            return
+        glyphs = None
+        if self.wide and isinstance(describes.get("CIDToGIDMap"), Ref):
+            data = file.stream(describes["CIDToGIDMap"])[1]
+            glyphs = {i: g for i in range(len(data) // 2) if (g := int.from_bytes(data[2 * i : 2 * i + 2], "big"))}
+        program = fonts.Embedded(kind, file.stream(descriptor[kind])[1], self.wide, glyphs)
+        self.widths = program.widths | self.widths
+        based = isinstance(encoding, Name) or isinstance(encoding, dict) and encoding.get("BaseEncoding") is not None
+        if self.wide or not based or self.flags_symbolic(file, descriptor):
+            self.program = program.texts
+
+    @staticmethod
+    def flags_symbolic(file: File, descriptor: dict) -> bool:
+        bits = file.get(descriptor.get("Flags"))
+        return isinstance(bits, int) and bool(bits & 4) and not bits & 32
+
     @staticmethod
     def number(value: Any, default: float) -> float:
         return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else default
@@ -652,19 +679,28 @@ class Font:
 
     def shown(self, data: bytes) -> list[tuple[str, float, bool]]:
         """``(characters, width in 1000ths, whether it is a blank of one byte)`` of each code."""
+        if not self.wide and not any(len(code) > 1 for code in self.codes):
+            if not self.plain:  # one-byte fonts: all codes at once
+                self.plain = [self.one(bytes([c])) for c in range(256)]
+            return [self.plain[c] for c in data]
+        if self.codec is not None and not self.codes:
+            return [(text, self.widths.get(int.from_bytes(code, "big"), self.usual), code == b" ") for code, text in fonts.split_codes(data, self.codec)]
         out, at = [], 0
         lengths = (self.lengths or [2]) if self.wide else [1]
         while at < len(data):
             size = next((n for n in lengths if data[at : at + n] in self.codes), lengths[0])
-            code = data[at : at + size]
-            value = int.from_bytes(code, "big")
-            text = self.codes.get(code)
-            if text is None:
-                text = "�" if self.wide else self.named.get(value) or code.decode(self.page, "replace")
-            out.append((text, self.widths.get(value, self.usual), code == b" "))
+            out.append(self.one(data[at : at + size]))
             at += size
         return out
 
+    def one(self, code: bytes) -> tuple[str, float, bool]:
+        value = int.from_bytes(code, "big")
+        text = self.codes.get(code)
+        if text is None:
+            known = self.named.get(value) if not self.wide else None
+            text = known or self.program.get(value) or ("�" if self.wide else code.decode(self.page, "replace"))
+        return text, self.widths.get(value, self.usual), code == b" "
+
 
 # --- content ---------------------------------------------------------------
 
@@ -716,7 +752,7 @@ class Content:
         return known[key][0]
 
     def run(self, data: bytes, resources: dict, state: State, page_states: dict, depth: int = 0) -> None:
-        fonts, objects, states = (self.file.table(resources.get(k)) for k in ("Font", "XObject", "ExtGState"))
+        named, objects, states = (self.file.table(resources.get(k)) for k in ("Font", "XObject", "ExtGState"))
         states = page_states | states
         reader, stack, kept = Reader(data, references=False), [], []
         text: Matrix = UNIT
@@ -769,7 +805,7 @@ class Content:
             elif op == b"Tf" and numbers:
                 state.size = numbers[-1]
                 if names:
-                    state.font = self.font(fonts[names[-1]]) if names[-1] in fonts else Font(self.file, {"BaseFont": names[-1]})
+                    state.font = self.font(named[names[-1]]) if names[-1] in named else Font(self.file, {"BaseFont": names[-1]})
             elif op in (b"Td", b"TD") and len(numbers) >= 2:
                 if op == b"TD":
                     state.lead = -numbers[-1]
