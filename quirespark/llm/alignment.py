@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' ids over whole texts, by segments that are tokenised once.
 
 A text (behind the blank that one vocabulary adds) is split before runs of white space, where neither vocabulary can
-merge across: a run may be split off at a byte ``c`` only if no token of either vocabulary holds ``c`` behind
-a byte that is no blank (:func:`split_bytes`). A text's ids are then those of its segments, one after the other, and
+merge across: a run that begins with ``c`` may be split off only if no token of either vocabulary holds ``c`` behind
+anything but white space (:func:`split_bytes`). A text's ids are then those of its segments, one after the other, and
 since both tokenizers' tokens end there, groups and links stay within segments as well.
 
 1. Segments are counted, in each task before the shuffle. Every distinct one is tokenised by both libraries and
@@ -25,6 +25,7 @@ An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -39,9 +40,11 @@ from .tokenfiles import byte_alphabet
 from .wordhash import buffers
 
 #: Segments that are broadcast, and bytes of one at most; id pairs that are broadcast.
-FREQUENT, SHORT, PAIRS = 1 << 19, 32, 1 << 22
+FREQUENT, SHORT, PAIRS = 1 << 18, 32, 1 << 21
 #: Bytes of text that segments are counted over in a worker, and that documents are composed over.
 COUNTED, COMPOSED = 16 << 20, 1 << 20
+#: Records that are unpacked at a time.
+PART = 1 << 14
 #: Steps of a doubling by which counts are binned to find the least one that is broadcast.
 STEPS = 8
 BLANKS = b" \t\n\v\f\r"
@@ -93,55 +96,72 @@ class Pair:
                 out[i] = [self.blank_id]
         return out
 
-    def records(self, segments: list[str]) -> list[bytes | None]:
+    def records(self, segments: list[str]) -> pa.Array:
         """Each segment's record (:class:`Records`), or nothing where a vocabulary doesn't give its bytes back."""
         ids_a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
         ids_b = self.encode_b(segments)
-        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        whole = []
-        for s, a, b in zip(segments, ids_a, ids_b, strict=True):
-            data = s.encode()
-            whole.append(b"".join(map(a_bytes, a)) == data == b"".join(map(b_bytes, b)))
-        n_a, n_b, flat_a, flat_b = flat(ids_a), flat(ids_b), np.array([x for a in ids_a for x in a], np.int64), np.array([x for b in ids_b for x in b], np.int64)
-        for i in np.flatnonzero(~np.array(whole, bool)).tolist():  # others' offsets don't depend on these
-            del ids_a[i][:], ids_b[i][:]
-        if not all(whole):
-            n_a, n_b, flat_a, flat_b = flat(ids_a), flat(ids_b), np.array([x for a in ids_a for x in a], np.int64), np.array([x for b in ids_b for x in b], np.int64)
+        data = [s.encode() for s in segments]
+        ok = np.ones(len(segments), bool)
+        size = np.array(list(map(len, data)), np.int64)
+        if not (self.covers(ids_a, self.a_bytes, self.a_size, data, size) and self.covers(ids_b, self.b_bytes, self.b_size, data, size)):
+            for i, (text, a, b) in enumerate(zip(data, ids_a, ids_b, strict=True)):
+                if not b"".join(map(self.a_bytes.__getitem__, a)) == text == b"".join(map(self.b_bytes.__getitem__, b)):
+                    ok[i] = False
+                    ids_a[i], ids_b[i] = [], []
+        at_a, at_b, flat_a, flat_b = flat(ids_a), flat(ids_b), chained(ids_a), chained(ids_b)
         end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
         cut_a = np.flatnonzero(np.isin(end_a, end_b, assume_unique=True))  # tokens that end where one of the others ends
         cut_b = np.flatnonzero(np.isin(end_b, end_a, assume_unique=True))
-        of = np.searchsorted(n_a[1:], cut_a, "right")
-        g_a, g_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
-        n_g = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(segments)))])
-        out = []
-        for i, ok in enumerate(whole):
-            if not ok:
-                out.append(None)
-                continue
-            a, b, g = slice(n_a[i], n_a[i + 1]), slice(n_b[i], n_b[i + 1]), slice(n_g[i], n_g[i + 1])
-            out.append(packed(flat_a[a], flat_b[b], g_a[g], g_b[g]))
-        return out
+        n_g = np.bincount(np.searchsorted(at_a[1:], cut_a, "right"), minlength=len(segments))
+        return packed(ok, np.diff(at_a), np.diff(at_b), n_g, flat_a, flat_b, np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1))
+
+    @staticmethod
+    def covers(ids: list[list[int]], tokens: list[bytes], sizes: np.ndarray, data: list[bytes], size: np.ndarray) -> bool:
+        """Whether every segment's tokens are its bytes."""
+        every = chained(ids)
+        ends = np.concatenate([[0], np.cumsum(sizes[every])])[flat(ids)]
+        return bool((np.diff(ends) == size).all()) and b"".join(map(tokens.__getitem__, every.tolist())) == b"".join(data)
 
 
 def flat(lists: list[list]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int64)
 
 
-def packed(a: np.ndarray, b: np.ndarray, g_a: np.ndarray, g_b: np.ndarray) -> bytes:
-    """Three lengths, both id lists, and the tokens of each group, as 16-bit numbers (32-bit ones behind an odd byte if one is larger)."""
-    numbers = np.concatenate([[len(a), len(b), len(g_a)], a, b, g_a, g_b])
-    return numbers.astype("<u2").tobytes() if numbers.max() < 1 << 16 else b"\0" + numbers.astype("<u4").tobytes()
+def chained(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64)
+
+
+def packed(ok: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, n_g: np.ndarray, a: np.ndarray, b: np.ndarray, g_a: np.ndarray, g_b: np.ndarray) -> pa.Array:
+    """Records: three lengths, both id lists, and the tokens of each group, as 16-bit numbers (32-bit ones behind an odd byte where one is larger)."""
+    size = 3 + n_a + n_b + 2 * n_g
+    at = np.cumsum(size) - size
+    numbers = np.empty(int(size.sum()), np.int64)
+    numbers[at], numbers[at + 1], numbers[at + 2] = n_a, n_b, n_g
+    below = at + 3
+    for values, count in ((a, n_a), (b, n_b), (g_a, n_g), (g_b, n_g)):
+        numbers[spread(below, count)] = values
+        below = below + count
+    if len(numbers) and numbers.max() < 1 << 16:
+        borders = (2 * np.append(at, len(numbers))).astype(np.int32)
+        made = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(borders), pa.py_buffer(numbers.astype("<u2"))])
+        return made if ok.all() else pc.if_else(pa.array(ok), made, pa.scalar(None, pa.binary()))
+    each = [numbers[x : x + n] for x, n in zip(at.tolist(), size.tolist(), strict=True)]
+    return pa.array([None if not fine else x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\0" + x.astype("<u4").tobytes() for x, fine in zip(each, ok.tolist(), strict=True)], pa.binary())
 
 
 def split_bytes(a: list[bytes], b: list[bytes]) -> bytes:
-    """The ASCII blanks that no token of either vocabulary holds behind a byte that is no blank: neither can merge across such a place.
+    """The ASCII blanks that no token of either vocabulary holds behind anything but white space: neither can merge across such a place.
 
     But for the space itself, the second one holds none of them behind a space either, so that the blank it adds can be taken off again.
     """
     inner = set()
     for tokens, added in ((a, ()), (b, (32,))):
         for token in tokens:
-            inner |= {c for x, c in zip(token, token[1:], strict=False) if c in BLANKS and (x not in BLANKS or x in added and c != 32)}
+            for i in range(1, len(token)):
+                if (c := token[i]) in BLANKS and c not in inner:
+                    x, blank = token[i - 1], token[i - 1] in BLANKS or token[:i].endswith(tuple(WIDE_BLANKS))
+                    if not blank or x in added and c != 32:
+                        inner.add(c)
     return bytes(c for c in BLANKS if c not in inner)
 
 
@@ -200,42 +220,45 @@ def own_places(document: np.ndarray, places: np.ndarray, size: int) -> tuple[np.
 
 
 class Records:
-    """Records of segments as flat arrays: ids, groups, links and the groups' text."""
+    """Records of segments as flat arrays: numbers of ids and groups, links, and the groups' text."""
 
     def __init__(self, packed_records: pa.Array, model: Pair):
-        records = packed_records.to_pylist()
-        self.ok = np.array([r is not None for r in records], bool)
-        wide = [r is not None and len(r) % 2 == 1 for r in records]
-        if any(wide):
-            numbers = [np.zeros(3, np.int64) if r is None else np.frombuffer(r[1:], "<u4").astype(np.int64) if w else np.frombuffer(r, "<u2").astype(np.int64) for r, w in zip(records, wide, strict=True)]
-            size, data = np.array([len(x) for x in numbers], np.int64), np.concatenate(numbers)
+        parts = [self.part(packed_records.slice(at, PART).to_pylist(), model) for at in range(0, len(packed_records), PART)] or [self.part([], model)]
+        self.ok, self.n_a, self.n_b, self.n_g, self.n_l, self.pairs = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        self.names = pa.concat_arrays([p[6] for p in parts])
+        self.at_l = np.cumsum(self.n_l) - self.n_l
+
+    @staticmethod
+    def part(records: list[bytes | None], model: Pair) -> tuple:
+        ok = np.array([r is not None for r in records], bool)
+        numbers = [np.zeros(3, np.int64) if r is None else np.frombuffer(r[1:], "<u4") if len(r) % 2 else None for r in records]
+        if any(x is not None for x in numbers):
+            numbers = [np.frombuffer(r, "<u2") if x is None else x for x, r in zip(numbers, records, strict=True)]
+            size, data = np.array([len(x) for x in numbers], np.int64), np.concatenate(numbers).astype(np.int64)
         else:
-            joined = b"".join([r or bytes(6) for r in records])
-            size = np.array([len(r or bytes(6)) // 2 for r in records], np.int64)
-            data = np.frombuffer(joined, "<u2").astype(np.int64)
+            size, data = np.array([len(r) // 2 for r in records], np.int64), np.frombuffer(b"".join(records), "<u2").astype(np.int64)
         at = np.cumsum(size) - size
-        self.n_a, self.n_b, self.n_g = (data[at + k] if len(at) else np.zeros(0, np.int64) for k in range(3))
-        ids_a, ids_b = taken(data, at + 3, self.n_a), taken(data, at + 3 + self.n_a, self.n_b)
-        groups = at + 3 + self.n_a + self.n_b
-        self.pairs, self.n_l = linked(ids_a, ids_b, self.n_a, self.n_b, self.n_g, model)
-        self.at_l = np.cumsum(self.n_l) - self.n_l
-        self.names = named(ids_a, ids_b, taken(data, groups, self.n_g), taken(data, groups + self.n_g, self.n_g), self.n_g)
+        n_a, n_b, n_g = (data[at + k] for k in range(3))
+        a, b = data[spread(at + 3, n_a)], data[spread(at + 3 + n_a, n_b)]
+        groups = at + 3 + n_a + n_b
+        names = named(a, b, data[spread(groups, n_g)], data[spread(groups + n_g, n_g)], n_g)
+        return ok, n_a, n_b, n_g, n_a + n_b - n_g, linked(a, b, model), pa.array(names, pa.string())
 
 
-def taken(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``data[at : at + size]`` for all pairs of ``at`` and ``size``, one after the other."""
-    return data[np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``at`` to ``at + size`` for all pairs of ``at`` and ``size``, one after the other."""
+    return np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-def linked(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, n_g: np.ndarray, model: Pair) -> tuple[np.ndarray, np.ndarray]:
-    """Id pairs of tokens whose byte ranges overlap, and their number by segment.
+def linked(a: np.ndarray, b: np.ndarray, model: Pair) -> np.ndarray:
+    """Id pairs of tokens whose byte ranges overlap.
 
-    Both sides cover the same bytes, so that each stretch between neighbouring borders of either side lies in one token of each.
+    Both sides cover the same bytes, so that each stretch between neighbouring borders of either side lies in one token of each:
+    a segment has as many links as tokens on both sides, less its groups.
     """
     end_a, end_b = np.cumsum(model.a_size[a]), np.cumsum(model.b_size[b])
     ends = np.union1d(end_a, end_b)
-    key = a[np.searchsorted(end_a, ends)] * len(model.b_size) + b[np.searchsorted(end_b, ends)]
-    return key, n_a + n_b - n_g
+    return a[np.searchsorted(end_a, ends)] * len(model.b_size) + b[np.searchsorted(end_b, ends)]
 
 
 def named(a: np.ndarray, b: np.ndarray, g_a: np.ndarray, g_b: np.ndarray, n_g: np.ndarray) -> list[str]:
@@ -284,7 +307,7 @@ def aligned(df: DataFrame, a: str, b: bytes, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.records(part.column(0).to_pylist()), pa.binary())], names=["segment", "n", "record"])
+                yield pa.RecordBatch.from_arrays([*part.columns, model.records(part.column(0).to_pylist())], names=["segment", "n", "record"])
 
     distinct = docs.select("body").mapInArrow(tidy(count, forget), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     segments = stored(distinct.mapInArrow(tidy(align, forget), "segment string, n long, record binary"))
@@ -429,10 +452,10 @@ def composed(ids: pa.Array, keys: np.ndarray, body: pa.Array, own_keys: np.ndarr
         sorted_order = np.argsort(order)
         wanted = document[some] * len(known) + places[some]
         record[some] = len(common.ok) + at[sorted_order][np.searchsorted(order[sorted_order], wanted)]
-        names = common.names, rows.names
+        names = pa.concat_arrays([common.names, rows.names]) if len(rows.names) else common.names
         both = {name: np.concatenate([getattr(common, name), getattr(rows, name)]) for name in ("ok", "n_a", "n_b", "n_g", "n_l")}
     else:
-        rows, names = None, (common.names, [])
+        rows, names = None, common.names
         both = {name: getattr(common, name) for name in ("ok", "n_a", "n_b", "n_g", "n_l")}
     n = len(keys)
     ok = np.bincount(document[~both["ok"][record]], minlength=n) == 0
@@ -444,7 +467,7 @@ def composed(ids: pa.Array, keys: np.ndarray, body: pa.Array, own_keys: np.ndarr
     for source, mask, shift in ((common, ~own, 0), (rows, own, len(common.ok))):
         if source is not None:
             at = record[mask] - shift
-            links.append(taken(source.pairs, source.at_l[at], source.n_l[at]))
+            links.append(source.pairs[spread(source.at_l[at], source.n_l[at])])
             link_doc.append(np.repeat(document[mask], source.n_l[at]))
     pair_of, doc_of = np.concatenate(links), np.concatenate(link_doc)
     order = np.lexsort((pair_of, doc_of))
@@ -454,11 +477,9 @@ def composed(ids: pa.Array, keys: np.ndarray, body: pa.Array, own_keys: np.ndarr
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(pair_of))).astype(np.int32)
     ends = pa.array(np.searchsorted(doc_of[first], np.arange(n + 1)).astype(np.int32))
-    limit, shared_names, own_names = len(common.ok), *names
-    texts = [shared_names[r] if r < limit else own_names[r - limit] for r in record.tolist()]
-    borders = np.searchsorted(document, np.arange(n + 1)).tolist()
-    groups = [";".join(texts[p:q]) for p, q in zip(borders, borders[1:], strict=False)]
-    columns = [pa.array(keys), ids, *(pa.array(sums[name]) for name in ("n_a", "n_b", "n_g", "n_l")), pa.array(groups, pa.string()), pa.ListArray.from_arrays(ends, pa.array(pair_of[first])), pa.ListArray.from_arrays(ends, pa.array(times))]
+    borders = pa.array(np.searchsorted(document, np.arange(n + 1)).astype(np.int32))
+    groups = pc.binary_join(pa.ListArray.from_arrays(borders, names.take(pa.array(record))), ";")
+    columns = [pa.array(keys), ids, *(pa.array(sums[name]) for name in ("n_a", "n_b", "n_g", "n_l")), groups, pa.ListArray.from_arrays(ends, pa.array(pair_of[first])), pa.ListArray.from_arrays(ends, pa.array(times))]
     return pa.RecordBatch.from_arrays(columns, names=["key", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
 

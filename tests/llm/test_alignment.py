@@ -117,8 +117,6 @@ def test_rare_pairs_are_joined(spark, monkeypatch):
 def test_small_slabs(spark, monkeypatch):
     """Documents and their rows come in many batches."""
     rows = [(i, f"{t or ''} tail {i}") for i, t in enumerate(TEXTS * 3) if len(t or "") < 5000]
-    model = alignment.Pair(open(A, encoding="utf-8").read(), open(B, "rb").read())
-    assert model.starts[:1] == b"\t" or b" " in model.starts
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     monkeypatch.setattr(alignment, "COMPOSED", 50)
@@ -129,6 +127,14 @@ def test_small_slabs(spark, monkeypatch):
 
 
 def test_splits_are_verified():
+    with open(A, encoding="utf-8") as f, open(B, "rb") as g:
+        model = alignment.Pair(f.read(), g.read())
+    assert model.starts == b" \t\n\x0b\x0c"  # pieces with a carriage return behind other characters
+    import pyarrow as pa
+
+    found = alignment.Segments(pa.array([" a bc\n\nd\xa0 e\r f  g ", "", " a bc"]), model.start)
+    assert found.distinct.to_pylist() == [" a", " bc", "\n\nd\xa0 e\r f", "  g", " "] and found.before.tolist() == [0, 5, 5, 7] and found.places.tolist() == [0, 1, 2, 3, 4, 0, 1]
+    assert b" " in alignment.split_bytes([" \xa0 \xa0".encode()], [])
     assert alignment.split_bytes([b"ab", b" c", b"  "], [b" d", b"\n"]) == b" \t\n\x0b\x0c\r"
     assert b" " not in alignment.split_bytes([b"a b"], [])
     assert b"\r" not in alignment.split_bytes([], [b";\r"]) and b"\r" in alignment.split_bytes([b" \r"], []) and b"\r" not in alignment.split_bytes([], [b" \r"])
