@@ -7,21 +7,21 @@ progress, which all read it, don't parse again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import render_box
-from ..functions.text import cleaned_latex, merged_table_slots, refilled, sanitised, unescaped_math
+from ..functions.text import cleaned_latex, merged_table_slots, pipe_table, refilled, sanitised, unescaped_math
 from ..operators import layout as L
 from ..providers import Providers, ready, scaled
 from ..registry import CONVERTERS, Converter, register, routed
 from ..schemas import ASSETS
 from ..scratch import stored
 from ..shipping import ship
-from ..sources import files, pdf
+from ..sources import files, pdf, pictures
 from . import pages
 
 # Points around a region that are rendered with it, and pixels for a point, for pictures and for formulas that are read.
@@ -48,10 +48,14 @@ def known_blocks(parsed: DataFrame) -> DataFrame:
     return L.block_stats(files.page_blocks(parsed))
 
 
-def region_table(parsed: DataFrame) -> DataFrame:
-    """Detected regions, and found tables that none of them covers."""
+def region_table(parsed: DataFrame, table_text: bool = False) -> DataFrame:
+    """Detected regions, and found tables that none of them covers; with ``table_text``, their text as a Markdown table."""
     detected = files.page_regions(parsed, "regions").where(F.col("label").isin(*L.RICH))
-    return detected.unionByName(L.admitted_tables(files.page_regions(parsed, "tables"), detected))
+    tables = files.page_regions(parsed, "tables")
+    if not table_text:
+        return detected.unionByName(L.admitted_tables(tables.drop("rows"), detected))
+    named = tables.withColumn("table_text", F.nullif(pipe_table(F.col("rows")), F.lit(""))).drop("rows")
+    return detected.withColumn("table_text", none()).unionByName(L.admitted_tables(named, detected))
 
 
 def rendered(docs: DataFrame, regions: DataFrame, sizes: DataFrame, providers: Providers, opener: Callable[[str], bytes] = files.read_path) -> DataFrame:
@@ -109,12 +113,19 @@ def rendered(docs: DataFrame, regions: DataFrame, sizes: DataFrame, providers: P
     return found.withColumn("latex", cleaned_latex(F.col("latex")))
 
 
-def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.read, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None, opener: Callable[[str], bytes] = files.read_path) -> Conversion:
-    """PDF files. Regions come from a table, or from a layout provider; without either there are none."""
+def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.read, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None, opener: Callable[[str], bytes] = files.read_path, table_text: bool = False) -> Conversion:
+    """PDF files. Regions come from a table, from a layout provider, and from ruling lines (tables).
+
+    Without a renderer a region gets the pixels of the image below it, if there is one. With ``table_text``, a ruled table without
+    a picture becomes a Markdown table; else its text stays as it is.
+    """
     if mode not in ("academic", "fast"):
         raise ValueError(f"unknown mode: {mode}")
     ship(docs.sparkSession)
     chosen = providers or Providers()
+    drawing = chosen.render is not None  # else there are pictures of images only: none of ruled tables alone
+    if not drawing:
+        chosen = replace(chosen, render=pictures.render)
     if assets is not None:
         docs = docs.withColumn("assets", F.lit(assets))
     parsed = stored(files.parsed_pdf(docs, provider, chosen if mode == "academic" else None, opener))
@@ -126,31 +137,34 @@ def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable =
         done = whole.select("doc_id").distinct().join(pages.fast(known_blocks(whole), width, height), "doc_id", "left")
         return Conversion(done.withColumn("error", none()).unionByName(errors.withColumn("markdown", none())), None, events)
     lists = made = results = None
-    if regions is not None or chosen.layout is not None or chosen.tables is not None:
-        found = region_table(whole)
+    linked = "assets" in docs.columns  # a picture needs a folder
+    sought = chosen.layout is not None or chosen.tables is not None or drawing or table_text
+    if regions is not None or sought and whole.where("size(regions) > 0 OR size(tables) > 0").take(1):
+        found = region_table(whole, table_text)
         if regions is not None:
-            found = found.unionByName(regions.where(F.col("label").isin(*L.RICH)).select(*found.columns))
+            own = regions if "table_text" in regions.columns else regions.withColumn("table_text", none())
+            found = found.unionByName(own.where(F.col("label").isin(*L.RICH)).select(*found.columns))
         lists = L.region_lists(found)
-        if chosen.render is not None or chosen.formula is not None:
+        if linked or chosen.formula is not None:
             lists = stored(lists)
             made = stored(rendered(docs, lists, whole, chosen, opener))
             read = F.collect_list(F.when(F.col("latex").isNotNull(), F.struct("region_no", "latex")))
             results = made.groupBy(*L.PAGE).agg(F.map_from_entries(read).alias("latex"), F.collect_list(F.when(F.col("png").isNotNull(), F.col("region_no"))).alias("drawn"))
-    links = F.col("assets") if chosen.render is not None else none()  # without a picture there is no link, and the text stays
+    links = F.col("assets")  # without a picture there is no link, and the text stays
     every = whole.select(*L.PAGE, "page_width", "note", "assets")
     spans = F.flatten(F.transform("lines", lambda line: line["spans"]))
     full = pages.academic(known_blocks(whole), F.transform(spans, lambda s: s["size"]), lists, width, height, links, results, every)
-    pictures = None
+    drawn = None
     if made is not None:
         folder = whole.select(*L.PAGE, "assets")
         name = L.asset_name(F.col("page_no"), F.col("region_no"), F.col("label"))
-        pictures = made.where("png is not null").join(folder, L.PAGE).where("assets is not null").select("doc_id", name.alias("rel_path"), F.lit("image/png").alias("mime"), F.col("png").alias("content"))
-    return Conversion(full.withColumn("error", none()).unionByName(errors), pictures, events)
+        drawn = made.where("png is not null").join(folder, L.PAGE).where("assets is not null").select("doc_id", name.alias("rel_path"), F.when(F.hex(F.substring("png", 1, 2)) == "FFD8", "image/jpeg").otherwise("image/png").alias("mime"), F.col("png").alias("content"))
+    return Conversion(full.withColumn("error", none()).unionByName(errors), drawn, events)
 
 
-def pdf_markdown(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.read, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None) -> DataFrame:
+def pdf_markdown(docs: DataFrame, mode: str = "academic", provider: Callable = pdf.read, regions: DataFrame | None = None, assets: str | None = None, providers: Providers | None = None, **options) -> DataFrame:
     """``(doc_id, markdown, error)`` of PDF files."""
-    return pdf_conversion(docs, mode, provider, regions, assets, providers).documents
+    return pdf_conversion(docs, mode, provider, regions, assets, providers, **options).documents
 
 
 # --- HTML and Word ---------------------------------------------------------
@@ -198,7 +212,7 @@ def _opener(options: dict) -> Callable[[str], bytes]:
 
 
 def _pdf(docs: DataFrame, options: dict) -> Conversion:
-    known = {k: options[k] for k in ("mode", "provider", "regions", "assets", "providers") if options.get(k) is not None}
+    known = {k: options[k] for k in ("mode", "provider", "regions", "assets", "providers", "table_text") if options.get(k) is not None}
     return pdf_conversion(docs, **known, opener=_opener(options))
 
 

@@ -219,3 +219,40 @@ def font_pdf(doc_id: int, body: str) -> bytes:
         rows.append(b"%d 1\n%010d 00000 n \n" % (number, len(out)))
         out += b"%d 0 obj\n%s\nendobj\n" % (number, value)
     return out + b"xref\n" + b"".join(rows) + b"trailer\n<</Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % len(out)
+
+
+def table_pdf(doc_id: int, body: str | None) -> bytes:
+    """Lines as the rows of ruled tables, ten on a page, under a heading row; every third page has a title over all columns.
+
+    Rules are drawn by turns as stroked lines, as rectangles around cells, and as thin filled areas.
+    """
+    if body is None:
+        return b""
+    lines = body.split("\n")
+    shown = [lines[i : i + 10] for i in range(0, len(lines), 10)]
+    objects = ["<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Count {len(shown)}/Kids[{' '.join(f'{4 + 2 * k} 0 R' for k in range(len(shown)))}]/MediaBox[0 0 600 842]/Resources<</Font<</F1 3 0 R>>>>>>", "<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"]
+    out = [f"{i} 0 obj\n{o}\nendobj\n".encode() for i, o in enumerate(objects, 1)]
+    xs = [50, 100, 500, 550]
+    for k, page in enumerate(shown):
+        n = 4 + 2 * k
+        rows = [[b"no", b"line", b"n"]] + [[b"%d" % (10 * k + i), x.encode("cp1252", "replace"), b"%d" % len(x)] for i, x in enumerate(page)]
+        top, ys = 740, [740 - 40 * i for i in range(len(rows) + 1)]
+        cells = [(xs[j], ys[i], xs[j + 1], ys[i + 1], text) for i, row in enumerate(rows) for j, text in enumerate(row)]
+        if k % 3 == 2:
+            cells.append((50, 780, 550, 740, b"title of page %d" % (k + 1)))
+            top = 780
+        drawn = []
+        for x0, y0, x1, y1, text in cells:
+            size = min(10, (x1 - x0 - 8) / max(1, len(text)) * 2)
+            shown_text = text.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+            drawn.append(b"BT /F1 %.4f Tf 1 0 0 1 %d %d Tm (%s) Tj ET" % (size, x0 + 4, y1 + 15, shown_text))
+            if k % 3 == 1:
+                drawn.append(b"%d %d %d %d re S" % (x0, y1, x1 - x0, y0 - y1))
+        if k % 3 == 0:
+            drawn += [b"%d %d m %d %d l S" % (50, y, 550, y) for y in ys] + [b"%d %d m %d %d l S" % (x, ys[-1], x, ys[0]) for x in xs]
+        elif k % 3 == 2:
+            drawn += [b"50 %.1f 500 1 re f" % (y - 0.5) for y in (top, *ys)] + [b"%.1f %d 1 %d re f" % (x - 0.5, ys[-1], (top if x in (50, 550) else ys[0]) - ys[-1]) for x in xs]
+        packed = zlib.compress(b"\n".join(drawn))
+        out.append(b"%d 0 obj\n<</Type/Page/Parent 2 0 R/Contents %d 0 R>>\nendobj\n" % (n, n + 1))
+        out.append(b"%d 0 obj\n<</Length %d/Filter/FlateDecode>>\nstream\n" % (n + 1, len(packed)) + packed + b"\nendstream\nendobj\n")
+    return b"%PDF-1.4\n" + b"".join(out) + b"trailer\n<</Root 1 0 R>>\n%%EOF"

@@ -59,6 +59,7 @@ def academic(blocks: DataFrame, sizes: Column, regions: DataFrame | None, width:
         pages = pages.withColumn("note", F.lit(None).cast("string"))
     plain = F.col("items")
     if regions is not None:
+        region_fields = regions.schema["regions"].dataType.elementType.names
         pages = pages.join(regions, L.PAGE, "left")
         if results is not None:
             pages = pages.join(results, L.PAGE, "left")
@@ -68,6 +69,8 @@ def academic(blocks: DataFrame, sizes: Column, regions: DataFrame | None, width:
             text = L.region_markdown(r["label"], F.col("page_no"), r["region_no"], assets, latex)
             if results is not None:
                 text = F.when((r["label"] == "isolate_formula") | F.array_contains("drawn", r["region_no"]), text)
+            if "table_text" in region_fields:  # of a table without a picture
+                text = F.coalesce(text, r["table_text"])
             box = [r[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
             none = F.lit(None)
             return F.struct(

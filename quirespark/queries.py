@@ -572,6 +572,18 @@ def pdf_convert_fonts(spark, sf_dir):
     return convert.pdf_markdown(built(spark, sf_dir, packages.font_pdf), mode="fast").where("markdown is not null").select("doc_id", "markdown")
 
 
+@query(
+    f"""WITH {views.LINES}, l AS (SELECT doc_id, line_no, line_no // 10 + 1 AS page_no, replace({SQUEEZED}, '|', '\\|') AS cell, length(text) AS n FROM lines),
+p AS (SELECT doc_id, page_no, string_agg('| ' || line_no || ' | ' || cell || ' | ' || n || ' |', {NL} ORDER BY line_no) AS body FROM l GROUP BY ALL),
+t AS (SELECT *, '| no | line | n |' AS heads, '| --- | --- | --- |' AS bar FROM p)
+SELECT doc_id, string_agg('<!-- page ' || page_no || ' -->' || {NL} || {NL} || CASE WHEN page_no % 3 = 0 THEN '| title of page ' || page_no || ' |  |  |' || {NL} || bar || {NL} || heads ELSE heads || {NL} || bar END || {NL} || body, {NL} || {NL} ORDER BY page_no) AS markdown FROM t GROUP BY doc_id"""
+)
+def pdf_ruled_tables(spark, sf_dir):
+    """Academic mode, without a provider: tables that ruling lines enclose, as Markdown."""
+    made = convert.pdf_markdown(built(spark, sf_dir, packages.table_pdf), table_text=True)
+    return made.where("error is null").select("doc_id", "markdown")
+
+
 @query(
     f"""WITH {views.LINES}, l AS (SELECT doc_id, line_no, {SQUEEZED} AS text FROM lines)
 SELECT doc_id, '# Document ' || doc_id || {NL} || {NL} || coalesce(string_agg(text, {NL} || {NL} ORDER BY line_no) FILTER (WHERE text <> '') || {NL} || {NL}, '') || '1. one' || {NL} || '  * *in* it' || {NL} || '2. [two](u)' || {NL} || {NL} || '| n | **v** |' || {NL} || '| --- | --- |' || {NL} || '| ' || doc_id || ' | a\\|b |' AS markdown FROM l GROUP BY doc_id"""

@@ -26,6 +26,7 @@ DETECTED = T.ArrayType(
         [T.StructField("seq", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("confidence", T.DoubleType()), *[T.StructField(c, T.IntegerType()) for c in ("x0", "y0", "x1", "y1")]]
     )
 )
+FOUND = T.ArrayType(T.StructType([*DETECTED.elementType.fields, T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))]))
 PLACED = T.ArrayType(T.StructType([T.StructField("block_no", T.IntegerType()), T.StructField("type", T.IntegerType()), T.StructField("bbox", schemas.BBOX), T.StructField("lines", schemas.LINES)]))
 PDF = [
     T.StructField("assets", T.StringType()),
@@ -35,7 +36,7 @@ PDF = [
     T.StructField("page_height", T.DoubleType()),
     T.StructField("blocks", PLACED),
     T.StructField("regions", DETECTED),
-    T.StructField("tables", DETECTED),
+    T.StructField("tables", FOUND),
     T.StructField("note", T.StringType()),
     T.StructField("error", T.StringType()),
 ]
@@ -174,13 +175,14 @@ def parsed_text(docs: DataFrame, opener: Callable[[str], bytes] = read_path) ->
 def parsed_pdf(docs: DataFrame, provider: Callable = pdf.read, providers: Providers | None = None, opener: Callable[[str], bytes] = read_path) -> DataFrame:
     """``(doc_id, assets, page_no, pages, page_width, page_height, blocks, regions, tables, note, error)``: a row for
     each page, and one without a page for a file that fails or has none. Where the layout of a page can't be
-    detected, or a page read, ``note`` says why, and the page goes on without regions (or text).
+    detected, or a page read, ``note`` says why, and the page goes on without regions (or text). Found tables are the
+    provider's, or else those that the page's ruling lines enclose, which have ``rows`` of text.
     """
     chosen = providers or Providers()
 
     def parse(data: bytes, _) -> list[dict]:
         pages, blocks, *rest = provider(data)
-        failed = rest[0] if rest else {}
+        failed, ruled = (*rest, {}, {})[:2]
         if not pages:
             return [{"error": "ValueError: no pages were found"}]
         by_page: dict[int, list] = {}
@@ -195,7 +197,9 @@ def parsed_pdf(docs: DataFrame, provider: Callable = pdf.read, providers: Provid
                     regions = [box_row(i, *r) for i, r in enumerate(layout(data, number, width, height))]
                 except Exception as e:
                     note = failure(e)
-            if tables is not None:
+            if tables is None:
+                found = [{**box_row(i, "table", 1.0, *t[:4]), "rows": t[4]} for i, t in enumerate(ruled.get(number, []))]
+            else:
                 try:
                     found = [box_row(i, "table", 1.0, *t) for i, t in enumerate(tables(data, number, width, height))]
                 except Exception:  # a page without found tables

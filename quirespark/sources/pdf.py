@@ -22,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-from . import fonts
+from . import fonts, ruling
 
 OBJECT = re.compile(rb"(?<![\d.])(\d+)\s+(\d+)\s+obj\b")
 SPACE = b"\x00\t\n\x0c\r "
@@ -471,7 +471,12 @@ class File:
             self.decoded[ref.number] = found
         return self.decoded[ref.number]
 
-    def decode(self, data: bytes, at: int) -> tuple[dict, bytes]:
+    def raw(self, ref: Ref, filters: int) -> bytes:
+        """A stream's bytes after as many of its filters."""
+        spot = self.spot(*ref)
+        return self.decode(*spot, filters)[1] if spot is not None else b""
+
+    def decode(self, data: bytes, at: int, most_filters: int | None = None) -> tuple[dict, bytes]:
         reader = Reader(data, at)
         head = reader.value()
         begin = self.stream_start(reader.at) if data is self.content and isinstance(head, dict) else None
@@ -481,7 +486,7 @@ class File:
         listed = lambda v: v if isinstance(v, list) else [] if v is None else [v]
         filters = listed(self.get(head.get("Filter", head.get("F"))))
         parms = listed(self.get(head.get("DecodeParms", head.get("DP"))))
-        for i, name in enumerate(filters):
+        for i, name in enumerate(filters[:most_filters]):
             own = {k: self.get(v) for k, v in self.table(parms[i] if i < len(parms) else None).items()}
             name = self.get(name)
             if name in ("FlateDecode", "Fl"):
@@ -704,6 +709,11 @@ class Font:
 
 # --- content ---------------------------------------------------------------
 
+#: Points by which a rule may be askew, and thickness up to which a filled area is one.
+ASKEW, THIN = 0.5, 3.0
+STROKING = (b"S", b"s", b"B", b"B*", b"b", b"b*")
+PAINTING = (*STROKING, b"f", b"F", b"f*", b"n")
+
 Matrix = tuple[float, float, float, float, float, float]
 UNIT: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
@@ -742,6 +752,8 @@ class Content:
     def __init__(self, file: File, page: Matrix):
         self.file, self.page = file, page
         self.spans: list[Span] = []
+        self.rules: list[tuple[float, float, float, float]] = []
+        self.images: list[tuple[Matrix, Any]] = []
 
     def font(self, ref: Any) -> Font:
         """A font, read once for each file; those that stand in a page's own resources, once for each place."""
@@ -751,12 +763,35 @@ class Content:
             known[key] = (Font(self.file, self.file.table(ref)), ref)  # the value stays, so that its id isn't given away
         return known[key][0]
 
+    def paint(self, path: list[tuple], stroked: bool) -> None:
+        """Ruling lines of a painted path: stroked lines along the axes, and filled areas that are as thin as a line."""
+        if stroked:
+            for x0, y0, x1, y1 in path:
+                if min(abs(x1 - x0), abs(y1 - y0)) <= ASKEW < max(abs(x1 - x0), abs(y1 - y0)):
+                    self.rules.append((x0, y0, x1, y1))
+            return
+        for at in range(0, len(path), 4):
+            part = path[at : at + 4]
+            xs, ys = [v for s in part for v in (s[0], s[2])], [v for s in part for v in (s[1], s[3])]
+            x0, x1, y0, y1 = min(xs), max(xs), min(ys), max(ys)
+            if len(part) == 4 and all(min(abs(s[2] - s[0]), abs(s[3] - s[1])) <= ASKEW for s in part):
+                if y1 - y0 <= THIN < x1 - x0:
+                    self.rules.append((x0, (y0 + y1) / 2, x1, (y0 + y1) / 2))
+                elif x1 - x0 <= THIN < y1 - y0:
+                    self.rules.append(((x0 + x1) / 2, y0, (x0 + x1) / 2, y1))
+
     def run(self, data: bytes, resources: dict, state: State, page_states: dict, depth: int = 0) -> None:
         named, objects, states = (self.file.table(resources.get(k)) for k in ("Font", "XObject", "ExtGState"))
         states = page_states | states
         reader, stack, kept = Reader(data, references=False), [], []
         text: Matrix = UNIT
         line: Matrix = UNIT
+        path: list[tuple] = []
+        here = begin = (0.0, 0.0)
+
+        def point(x: float, y: float) -> tuple[float, float]:
+            m = times(state.matrix, self.page)
+            return x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]
 
         def show(items: list) -> None:
             nonlocal text
@@ -800,6 +835,28 @@ class Content:
                 state = kept.pop()
             elif op == b"cm" and len(numbers) >= 6:
                 state.matrix = times(tuple(numbers[-6:]), state.matrix)
+            elif op == b"m" and len(numbers) >= 2:
+                here = begin = point(*numbers[-2:])
+            elif op == b"l" and len(numbers) >= 2:
+                to = point(*numbers[-2:])
+                path.append((*here, *to))
+                here = to
+            elif op in (b"c", b"v", b"y") and len(numbers) >= 4:
+                here = point(*numbers[-2:])  # a curve is no rule
+            elif op == b"h":
+                path.append((*here, *begin))
+                here = begin
+            elif op == b"re" and len(numbers) >= 4:
+                x, y, w, h = numbers[-4:]
+                corners = [point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h)]
+                path += [(*corners[i], *corners[(i + 1) % 4]) for i in range(4)]
+                here = begin = corners[0]
+            elif op in PAINTING:
+                if op in (b"s", b"b", b"b*"):
+                    path.append((*here, *begin))
+                if path and op != b"n":
+                    self.paint(path, op in STROKING)
+                path = []
             elif op == b"BT":
                 text = line = UNIT
             elif op == b"Tf" and numbers:
@@ -838,7 +895,9 @@ class Content:
                     state.font, state.size = self.font(chosen[0]), Font.number(self.file.get(chosen[1]), state.size)
             elif op == b"Do" and isinstance(last, Name) and depth < DEEPEST:
                 head = self.file.table(objects.get(last))
-                if self.file.get(head.get("Subtype")) == "Form":
+                if self.file.get(head.get("Subtype")) == "Image":
+                    self.images.append((times(state.matrix, self.page), objects[last]))
+                elif self.file.get(head.get("Subtype")) == "Form":
                     inner = state.copy()
                     placed = [Font.number(self.file.get(x), 0.0) for x in self.file.get(head.get("Matrix")) or []]
                     if len(placed) == 6:
@@ -904,33 +963,40 @@ def parse(content: bytes) -> tuple[list[tuple], list[tuple]]:
     return read(content)[:2]
 
 
-def read(content: bytes, most: int = MOST) -> tuple[list[tuple], list[tuple], dict[int, str]]:
-    """What :func:`parse` returns, and what went wrong on a page, by its number."""
+def read(content: bytes, most: int = MOST) -> tuple[list[tuple], list[tuple], dict[int, str], dict[int, list[tuple]]]:
+    """What :func:`parse` returns, what went wrong on a page, by its number, and its ruled tables ``(x0, y0, x1, y1, rows)``."""
     file = File(content, most)
     if file.trailer.get("Encrypt") is not None:
         raise ValueError("the file is encrypted")
-    pages, blocks, failed = [], [], {}
+    pages, blocks, failed, tables = [], [], {}, {}
     for number, page in enumerate(file.pages(), 1):
         width, height, matrix = _page_matrix(file, page)
         pages.append((number, width, height))
         try:
-            blocks += page_blocks(file, page, number, matrix)
+            shown = interpreted(file, page, matrix)
+            blocks += page_blocks(shown.spans, number)
+            if found := [(*t[:4], ruling.texts(t, shown.spans)) for t in ruling.tables(shown.rules)]:
+                tables[number] = found
         except TooLarge:
             raise
         except Exception as e:  # the page stays, without blocks
             failed[number] = f"{type(e).__name__}: {e}"
-    return pages, blocks, failed
+    return pages, blocks, failed, tables
 
 
-def page_blocks(file: File, page: dict, number: int, matrix: Matrix) -> list[tuple]:
+def interpreted(file: File, page: dict, matrix: Matrix | None = None) -> Content:
     contents = page.get("Contents")
     listed = file.get(contents) if isinstance(file.get(contents), list) else [contents]
     data = b"\n".join(file.stream(x)[1] for x in listed)
-    shown = Content(file, matrix)
+    shown = Content(file, matrix or _page_matrix(file, page)[2])
     resources = file.table(page.get("Resources"))
     shown.run(data, resources, State(), file.table(resources.get("ExtGState")))
+    return shown
+
+
+def page_blocks(spans: list[Span], number: int) -> list[tuple]:
     out = []
-    for k, block in enumerate(blocks_of(lines_of(shown.spans))):
+    for k, block in enumerate(blocks_of(lines_of(spans))):
         every = [s for line in block for s in line]
         bbox = {"x0": min(s.x0 for s in every), "y0": min(s.y - s.size for s in every), "x1": max(s.x1 for s in every), "y1": max(s.y + 0.2 * s.size for s in every)}
         out.append((number, k, 0, bbox, [{"spans": [{"text": s.text, "font": s.font, "size": s.size, "flags": s.flags} for s in line]} for line in block]))
