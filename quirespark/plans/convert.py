@@ -170,11 +170,14 @@ def pdf_markdown(docs: DataFrame, mode: str = "academic", provider: Callable = p
 # --- HTML and Word ---------------------------------------------------------
 
 
-def html_markdown(html: DataFrame) -> DataFrame:
-    """``(doc_id, markdown, title)`` and ``error`` if there is one: tables with merged cells stay HTML, formulas lose their escapes."""
+def html_markdown(html: DataFrame, escape: bool = False) -> DataFrame:
+    """``(doc_id, markdown, title)`` and ``error`` if there is one: tables with merged cells stay HTML, formulas lose their escapes.
+
+    With ``escape``, as files are converted, asterisks and underscores of a text stay what they are.
+    """
     shown, pairs = merged_table_slots(F.col("html"))
     slots = html.withColumn("slots", pairs).withColumn("shown", shown)
-    done = slots.withColumn("m", files.html_to_markdown(F.col("shown")))
+    done = slots.withColumn("m", files.html_to_markdown(F.col("shown"), escape))
     title = F.coalesce(*([F.col("title")] if "title" in html.columns else []), F.col("m.title"))
     text = unescaped_math(refilled(F.col("m.markdown"), F.col("slots")))
     if "error" in html.columns:
@@ -190,7 +193,7 @@ def docx_conversion(docs: DataFrame, style_map: str | None = None, opener: Calla
     steps = parsed.where("error is null").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("current")).select("doc_id", F.lit("docx").alias("stage"), "current", F.lit(4).alias("total"))
     shown = F.filter("images", lambda i: i["name"].rlike(r"^image-\d+\.(gif|jpg|png|svg)\z"))
     images = parsed.select("doc_id", F.size(shown).alias("total")).where("total > 0").select("doc_id", F.lit("images").alias("stage"), F.explode(F.sequence(F.lit(1), F.col("total"))).alias("current"), "total")
-    return Conversion(html_markdown(parsed.drop("images")), pictures, steps.unionByName(images))
+    return Conversion(html_markdown(parsed.drop("images"), escape=True), pictures, steps.unionByName(images))
 
 
 def docx_markdown(docs: DataFrame, style_map: str | None = None) -> DataFrame:
@@ -221,7 +224,7 @@ def _docx(docs: DataFrame, options: dict) -> Conversion:
 
 
 def _html(docs: DataFrame, options: dict) -> Conversion:
-    return Conversion(html_markdown(stored(files.parsed_text(docs, _opener(options))).select("doc_id", F.col("text").alias("html"), "error")))
+    return Conversion(html_markdown(stored(files.parsed_text(docs, _opener(options))).select("doc_id", F.col("text").alias("html"), "error"), escape=True))
 
 
 def _text(docs: DataFrame, options: dict) -> Conversion:

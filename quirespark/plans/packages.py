@@ -46,6 +46,14 @@ def html(doc_id: int, body: str) -> bytes:
     return f"<!DOCTYPE html><html><head><title>t</title><style>p {{}}</style></head><body><h1>Document {doc_id}</h1>{lines}{rest}<script>no()</script></body></html>".encode()
 
 
+def loose_html(doc_id: int, body: str) -> bytes:
+    """The lines in turn as items, table rows and quoted paragraphs, with the end tags left out that pages may leave out, and stray ones."""
+    lines = [escape(x) for x in (body or "").replace("$", "S").split("\n")]  # no formulas
+    items, rows, quoted = lines[::3], lines[1::3], lines[2::3]
+    table = "<table><tr><th>k<th>v" + "".join(f"<tr><td>{k}</i><td>{x}<table><tr><td>in</table>" for k, x in enumerate(rows)) + "</table>"
+    return f"<title>d{doc_id}</title><p>Items</b> of <i>{doc_id}<ul><li>none{''.join(f'<li>{x}' for x in items)}</ul>{table}<blockquote><p>quoted{''.join(f'<p>{x}' for x in quoted)}</blockquote><p>end".encode()
+
+
 def packed_pdf(doc_id: int, body: str) -> bytes:
     """The same pages as newer programs write them: objects in a compressed object stream, a cross-reference stream
     instead of a table, entries that pages inherit or refer to, a two-byte font with a ToUnicode map, text

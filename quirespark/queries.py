@@ -593,6 +593,19 @@ def html_convert(spark, sf_dir):
     return convert.html_markdown(pages).select("doc_id", "markdown")
 
 
+@query(
+    f"""WITH {views.LINES}, l AS (SELECT doc_id, line_no, replace(replace(replace({SQUEEZED}, '$', 'S'), '*', '\\*'), '_', '\\_') AS text FROM lines),
+g AS (SELECT doc_id, string_agg(CASE WHEN text = '' THEN '*' ELSE '* ' || text END, {NL} ORDER BY line_no) FILTER (WHERE line_no % 3 = 0) AS items,
+  string_agg('| ' || line_no // 3 || ' | ' || replace(text, '|', '\\|') || CASE WHEN text = '' THEN '' ELSE ' ' END || 'in |', {NL} ORDER BY line_no) FILTER (WHERE line_no % 3 = 1) AS rows,
+  string_agg('> ' || text, {NL} || '>' || {NL} ORDER BY line_no) FILTER (WHERE line_no % 3 = 2 AND text <> '') AS quoted FROM l GROUP BY doc_id)
+SELECT doc_id, 'Items of *' || doc_id || '*' || {NL} || {NL} || '* none' || {NL} || items || {NL} || {NL} || '| k | v |' || {NL} || '| --- | --- |' || coalesce({NL} || rows, '') || {NL} || {NL} || '> quoted' || coalesce({NL} || '>' || {NL} || quoted, '') || {NL} || {NL} || 'end' AS markdown, 'd' || doc_id AS title FROM g"""
+)
+def html_tree(spark, sf_dir):
+    """Pages that leave end tags out, as files are converted: with escapes, block quotes and tables in cells."""
+    pages = built(spark, sf_dir, packages.loose_html).select("doc_id", F.decode("content", "UTF-8").alias("html"))
+    return convert.html_markdown(pages, escape=True).select("doc_id", "markdown", "title")
+
+
 # --- headings that are split off -------------------------------------------
 
 A_NAME = "upper(left(p_name, 1)) || substr(p_name, 2)"

@@ -234,9 +234,9 @@ def parsed_docx(docs: DataFrame, style_map: str | None = None, opener: Callable[
     return each_file(docs, DOCX, parse, {"images": []}, opener)
 
 
-def html_to_markdown(page: Column) -> Column:
+def html_to_markdown(page: Column, escape: bool = False) -> Column:
     def run(texts: pa.Array) -> pa.Array:
-        made = [html.to_markdown(t.as_py()) for t in texts]
+        made = [html.to_markdown(t.as_py(), escape) for t in texts]
         return pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())], names=["markdown", "title"])
 
     return F.arrow_udf(run, MARKDOWN)(page)
