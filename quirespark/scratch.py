@@ -16,9 +16,11 @@ _scopes: list[list[str]] = []
 
 
 def session_folder(spark: SparkSession) -> str:
-    """This session's folder below ``spark.checkpoint.dir``, which goes when the driver ends; that setting is made only where it is unset."""
+    """This session's folder below ``spark.checkpoint.dir``, which goes when the driver ends; that setting is made only where it is unset, and only on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):  # executors would not see each other's files
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/quirespark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     key = f"{spark.sparkContext.applicationId} {base}"
