@@ -34,26 +34,27 @@ from quirespark.scratch import recorded
 ORACLE_SQL = None
 
 
-_kept: dict[int, list[str]] = {}
+_kept: dict[str, dict[int, list[str]]] = {}
 
 
 def numbered(number: int) -> Callable:
-    """A stage of the pipeline, before which the tables that earlier ones stored for themselves go: what they returned has been
-    written by then. Tables that ``docs`` still reads stay.
+    """A stage of the pipeline, before which the tables that earlier ones of its run stored for themselves go: what they returned has been
+    written by then. Tables that ``docs`` still reads stay, and so do those of runs over other inputs: a run is known by its ``sf_dir``.
     """
 
     def wrap(stage: Callable) -> Callable:
         @wraps(stage)
         def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            earlier = [path for k, paths in _kept.items() if k < number for path in paths]
+            own = _kept.setdefault(sf_dir, {})
+            earlier = [path for k, paths in own.items() if k < number for path in paths]
             read = docs.inputFiles() if earlier else []
             free = [path for path in earlier if not any(path.split(":", 1)[-1].lstrip("/") in name for name in read)]
             deleted(spark, free)
-            for k, paths in _kept.items():
-                _kept[k] = [path for path in paths if path not in free]
+            for k, paths in own.items():
+                own[k] = [path for path in paths if path not in free]
             with recorded() as made:
                 out = stage(spark, docs, sf_dir)
-            _kept[number] = _kept.get(number, []) + made
+            own[number] = own.get(number, []) + made
             return out
 
         return run
