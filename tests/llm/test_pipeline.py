@@ -135,3 +135,13 @@ def test_null_ids_ties_and_stored_folders(spark):
         folders = [p.removeprefix("file:") for p in made]
         assert len(folders) > 20 and 0 < sum(map(os.path.isdir, folders)) < 20  # those of a stage go when a later one begins
     assert not any(map(os.path.exists, folders))
+
+
+def test_interleaved_runs_keep_their_tables(spark, sf, tmp_path):
+    """A later stage of one run leaves alone what another run's earlier stage has stored and not yet written."""
+    (_, dedup), (_, join) = corpus_pipeline.STAGES[1:3]
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    first = dedup(spark, table, str(tmp_path / "a"))
+    other = spark.createDataFrame([(1, "some words of the other run here", "en", "s", 1)], table.schema)
+    assert join(spark, other, str(tmp_path / "b")).count() == 1
+    assert first.count() == table.count()
