@@ -280,8 +280,19 @@ def to_html(content: bytes, folder: str | None = None, style_map: str | None = N
         cited.append((kind, key))
         return f'<sup><a href="#{kind}-{key}" id="{kind}-ref-{key}">[{len(cited)}]</a></sup>'
 
+    fields: list[dict] = []  # open ones; a field may go on in the next paragraph
+    beside: list[str] = []  # text boxes of the paragraph at hand, which follow it
+
+    def boxes(e):
+        """Text boxes of a drawing or picture, those in others left to their own."""
+        for x in e:
+            if x.tag == f"{W}txbxContent":
+                beside.append(body(x))
+            else:
+                boxes(x)
+
     def run(r):
-        bold, italic = r.find(f"{W}rPr/{W}b") is not None, r.find(f"{W}rPr/{W}i") is not None
+        on = lambda name: (e := r.find(f"{W}rPr/{W}{name}")) is not None and e.get(f"{W}val", "1") not in ("0", "false", "off", "none")
         text = ""
         for e in r:
             if e.tag == f"{W}t":
@@ -294,31 +305,61 @@ def to_html(content: bytes, folder: str | None = None, style_map: str | None = N
                 text += "\u2011"
             elif e.tag == f"{W}drawing":
                 said = next((d.get("descr") or "" for d in e.iter() if d.tag.endswith("}docPr")), "")
-                text += "".join(image(b.get(f"{R}embed"), said) for b in e.iter(f"{A}blip"))
+                inner = {id(b) for t in e.iter(f"{W}txbxContent") for b in t.iter(f"{A}blip")}
+                text += "".join(image(b.get(f"{R}embed"), said) for b in e.iter(f"{A}blip") if id(b) not in inner)
+                boxes(e)
             elif e.tag == f"{W}pict":
-                text += "".join(image(d.get(f"{R}id"), d.get(f"{O}title") or "") for d in e.iter(f"{V}imagedata"))
+                inner = {id(d) for t in e.iter(f"{W}txbxContent") for d in t.iter(f"{V}imagedata")}
+                text += "".join(image(d.get(f"{R}id"), d.get(f"{O}title") or "") for d in e.iter(f"{V}imagedata") if id(d) not in inner)
+                boxes(e)
             elif e.tag in (f"{W}footnoteReference", f"{W}endnoteReference"):
                 text += note(e.tag.removeprefix(W).removesuffix("Reference"), e)
+            elif e.tag == f"{W}fldChar":
+                kind = e.get(f"{W}fldCharType")
+                if kind == "begin":
+                    fields.append({"code": "", "shown": False})
+                elif kind == "separate" and fields:
+                    fields[-1]["shown"] = True
+                elif kind == "end" and fields:
+                    fields.pop()
+            elif e.tag == f"{W}instrText" and fields:
+                fields[-1]["code"] += e.text or ""
             elif e.tag == f"{C}AlternateContent":
-                chosen = e.find(f"{C}Choice")
-                text += "" if chosen is None else run(chosen)
-        return f"<b>{text}</b>" if bold and text.strip() else f"<i>{text}</i>" if italic and text.strip() else text
+                branches, known = (e.find(f"{C}Choice"), e.find(f"{C}Fallback")), len(beside)
+                made = "" if branches[0] is None else run(branches[0])
+                text += made if made or len(beside) > known or branches[1] is None else run(branches[1])
+        if not text.strip():
+            return text
+        place = r.find(f"{W}rPr/{W}vertAlign")
+        raised = {"superscript": "sup", "subscript": "sub"}.get(place.get(f"{W}val", "")) if place is not None else None
+        for tag in (raised, "s" if on("strike") or on("dstrike") else None, "i" if on("i") else None, "b" if on("b") else None):
+            text = f"<{tag}>{text}</{tag}>" if tag else text
+        return text
 
     def inline(e):
-        out = ""
+        pieces: list[list] = []  # [target, HTML]: neighbours with one target become one link
+
+        def add(target, text):
+            if pieces and pieces[-1][0] == target:
+                pieces[-1][1] += text
+            else:
+                pieces.append([target, text])
+
         for x in e:
             if x.tag == f"{W}r":
-                out += run(x)
+                text = run(x)
+                add(next((t for f in reversed(fields) if f["shown"] and (t := field_target(f["code"]))), None), text)
             elif x.tag == f"{M}oMathPara":
-                out += "".join(f"$${html.escape(latex(m), quote=False)}$$" for m in x.iter(f"{M}oMath"))
+                add(None, "".join(f"$${html.escape(latex(m), quote=False)}$$" for m in x.iter(f"{M}oMath")))
             elif x.tag == f"{M}oMath":
-                out += f"${html.escape(latex(x), quote=False)}$"
+                add(None, f"${html.escape(latex(x), quote=False)}$")
             elif x.tag == f"{W}sdt":
-                out += "".join(map(inline, x.findall(f"{W}sdtContent")))
+                add(None, "".join(map(inline, x.findall(f"{W}sdtContent"))))
             elif x.tag in (f"{W}hyperlink", f"{W}ins", f"{W}smartTag", f"{W}fldSimple"):
-                inside, target = inline(x), targets.get(x.get(f"{R}id"))
-                out += f'<a href="{html.escape(target)}">{inside}</a>' if target else inside
-        return out
+                anchor = x.get(f"{W}anchor") if x.tag == f"{W}hyperlink" else None
+                target = targets.get(x.get(f"{R}id")) or (f"#{anchor}" if anchor else field_target(x.get(f"{W}instr") or ""))
+                add(target, inline(x))
+        return "".join(f'<a href="{html.escape(target)}">{text}</a>' if target and text.strip() else text for target, text in pieces)
 
     def paragraph(p):
         """``(HTML, None)``, or ``(content, (level, kind))`` of an item of a list."""
@@ -372,10 +413,13 @@ def to_html(content: bytes, folder: str | None = None, style_map: str | None = N
         blocks, items = [], []
         for x in children(e):
             if x.tag == f"{W}p":
+                above, beside[:] = list(beside), []
                 text, place = paragraph(x)
+                after, beside[:] = "".join(beside), above
                 if place is not None:
-                    items.append((*place, text))
+                    items.append((*place, text + after))
                     continue
+                text += after
                 if not text:
                     continue
             elif x.tag == f"{W}tbl":
@@ -402,6 +446,14 @@ def to_html(content: bytes, folder: str | None = None, style_map: str | None = N
     return shown + (f"<ol>{ends}</ol>" if ends else ""), images, title
 
 
+def field_target(code: str) -> str | None:
+    """Where a field of the kind HYPERLINK leads: an address, a bookmark, or both."""
+    m = re.match(r'\s*HYPERLINK\s+(?!\\)(?:"([^"]*)"|(\S+))', code)
+    mark = re.search(r'\s\\l\s+(?:"([^"]*)"|(\S+))', code) if re.match(r"\s*HYPERLINK\b", code) else None
+    target = (m[1] or m[2] or "" if m else "") + (f"#{mark[1] or mark[2]}" if mark else "")
+    return target or None
+
+
 def _number(p) -> tuple[str, int] | None:
     """``(number id, level)`` of a paragraph or a style."""
     found = p.find(f"{W}pPr/{W}numPr")
