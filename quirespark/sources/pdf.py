@@ -583,6 +583,7 @@ class Font:
         self.program: dict[int, str] = {}
         self.lengths: list[int] = []
         self.plain: list[tuple] = []
+        self.memo: dict[bytes, tuple] = {}
         describes = entry
         if self.wide:
             below = file.get(entry.get("DescendantFonts")) or []
@@ -692,6 +693,13 @@ class Font:
             return [(text, self.widths.get(int.from_bytes(code, "big"), self.usual), code == b" ") for code, text in fonts.split_codes(data, self.codec)]
         out, at = [], 0
         lengths = (self.lengths or [2]) if self.wide else [1]
+        if len(lengths) == 1:
+            size, known = lengths[0], self.memo
+            for code in [data[i : i + size] for i in range(0, len(data), size)]:
+                if code not in known:
+                    known[code] = self.one(code)
+                out.append(known[code])
+            return out
         while at < len(data):
             size = next((n for n in lengths if data[at : at + n] in self.codes), lengths[0])
             out.append(self.one(data[at : at + size]))
@@ -804,11 +812,12 @@ class Content:
                         made.append(" ")
                     moved += step
                 elif isinstance(x, bytes) and state.font is not None:
-                    for shown, width, blank in state.font.shown(x):
-                        if first:
-                            start, first = moved, False
-                        made.append(shown)
-                        moved += (width / 1000 * state.size + state.between + (state.blank if blank else 0.0)) * state.scale
+                    if first:
+                        start, first = moved, False
+                    glyphs = state.font.shown(x)
+                    made.append("".join([g[0] for g in glyphs]))
+                    wide = sum([g[1] for g in glyphs]) / 1000 * state.size + state.between * len(glyphs)
+                    moved += (wide + (state.blank * sum([g[2] for g in glyphs]) if state.blank else 0.0)) * state.scale
             whole = times((1.0, 0.0, 0.0, 1.0, 0.0, state.rise), times(text, times(state.matrix, self.page)))
             shown = "".join(made).replace("\x00", "")
             if shown and state.font is not None:
