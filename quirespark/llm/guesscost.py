@@ -7,9 +7,9 @@ into known words, dates, repeats, keyboard walks and brute-force characters, fou
 by dynamic programming over its positions. Values of ``MIN_BITS`` and more are
 spans of kind ``guess``, unless a base ``assign`` span covers them already.
 
-Edge cases. A null text is an empty one and has no spans. Texts are scanned whole.
+Edge cases. A null text is an empty one and has no spans; an empty table gives no rows. Texts are scanned whole.
 Positions count code points; ends are exclusive. Repeated rows have equal results.
-Columns besides the id and the text are not read.
+Rows stand for themselves, also without an id. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -77,7 +78,7 @@ STEPS = {pair for row in ROWS for way in (row, row[::-1]) for pair in zip(way, w
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 #: Bits for the first key of a walk and its direction, and for each further character of a walk or a repeat.
 WALK_BITS, STEP_BITS = math.log2(47) + 1, 0.5
-_lengths: dict[int, int] = {}
+_length: list[tuple[dict, int]] = []  # the dictionary that was last in use, and its longest word
 YEAR_BITS, MONTH_BITS, DAY_BITS = math.log2(200), math.log2(12), math.log2(31)
 
 
@@ -94,11 +95,9 @@ def _grown(run: list[float]) -> tuple[float, float]:
 
 
 def _longest(rank: dict[str, int]) -> int:
-    key = id(rank)
-    if key not in _lengths:
-        _lengths.clear()  # one dictionary at a time is in use
-        _lengths[key] = max(map(len, rank), default=0)
-    return _lengths[key]
+    if not _length or _length[0][0] is not rank:
+        _length[:] = [(rank, max(map(len, rank), default=0))]
+    return _length[0][1]
 
 
 def guess_bits(value: str, rank: dict[str, int] = RANK) -> float:
@@ -143,12 +142,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], rank: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
-    assigned = [(a, b) for a, kind, b in base if kind == 0]
+    starts, ends = [a for a, kind, _ in base if kind == 0], [b for _, kind, b in base if kind == 0]  # apart and in order
     found = []
     for m in CONTEXT.finditer(text):
         start, value = m.start(m.lastindex), m[m.lastindex].rstrip(".,:;!?)]}>\"'")
         end = start + len(value)
-        if len(value) < MIN_LENGTH or any(a <= start and end <= b for a, b in assigned):
+        before = bisect_right(starts, start)
+        if len(value) < MIN_LENGTH or before and end <= ends[before - 1]:
             continue
         if guess_bits(value, rank) >= MIN_BITS:
             found.append((start, 3, end))

@@ -101,3 +101,25 @@ def test_another_dictionary(spark):
     kinds = lambda words: {r.doc_id: [s["kind"] for s in r.spans] for r in G.scan(docs, words=words).collect()}
     assert kinds(None) == {1: ["guess"], 2: [], 3: ["guess"]}
     assert kinds(["kranken", "versicherung"]) == {1: [], 2: ["guess"], 3: ["guess"]}
+
+
+def test_many_credentials_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "\n".join(f'password = "abcdef{i:08d}" and pwd: Zq9!x{i}Lw3' for i in range(n))
+        began = time.process_time()
+        spans = guesscost.guess_spans(text, guesscost.base_spans(text))
+        assert len(spans) == n and all(kind == 3 for _, kind, _ in spans)
+        return time.process_time() - began
+
+    small = seconds(1000)
+    assert seconds(8000) < 20 * small
+
+
+def test_dictionaries_of_their_own():
+    """A dictionary's longest word is its own, whatever was in use before."""
+    for words in (["abcdefghijkl"], ["xyz"], ["abcdefghijklmnop"]):
+        rank = guesscost.ranked(words)
+        assert guesscost.guess_bits(words[0], rank) == 1.0
+        del rank
