@@ -109,7 +109,7 @@ def test_many_credentials_take_linear_time():
     def seconds(n):
         text = "\n".join(f'password = "abcdef{i:08d}" and pwd: Zq9!x{i}Lw3' for i in range(n))
         began = time.process_time()
-        spans = guesscost.guess_spans(text, guesscost.base_spans(text))
+        spans = G.guess_spans(text, G.base_spans(text))
         assert len(spans) == n and all(kind == 3 for _, kind, _ in spans)
         return time.process_time() - began
 
@@ -120,6 +120,6 @@ def test_many_credentials_take_linear_time():
 def test_dictionaries_of_their_own():
     """A dictionary's longest word is its own, whatever was in use before."""
     for words in (["abcdefghijkl"], ["xyz"], ["abcdefghijklmnop"]):
-        rank = guesscost.ranked(words)
-        assert guesscost.guess_bits(words[0], rank) == 1.0
+        rank = G.ranked(words)
+        assert G.guess_bits(words[0], rank) == 1.0
         del rank
