@@ -173,7 +173,7 @@ def damaged():
 
 @pytest.mark.parametrize("mode", ["fast", "academic"])
 def test_damage_within_a_page(spark, mode):
-    pages, blocks, failed = pdf.read(damaged())
+    pages, blocks, failed, _ = pdf.read(damaged())
     assert len(pages) == 3 and [b[0] for b in blocks] == [1, 3] and list(failed) == [2]
     docs = spark.createDataFrame([("d", damaged())], "doc_id string, content binary")
     row = convert.pdf_markdown(docs, mode=mode).first()
