@@ -51,7 +51,7 @@ def accepted(top):
 
 def test_files_are_opened_once_and_only_accepted_ones(spark, folder, tmp_path):
     log = tmp_path / "opened"
-    made = convert.path_conversion(spark, f"{folder}/*", opener=opener(log))
+    made = convert.path_conversion(spark, f"{folder}/*", mode="fast", opener=opener(log))
     rows = {os.path.basename(r.doc_id): r for r in made.documents.collect()}
     assert made.documents.count() == 11 and made.events.count() > 0 and made.assets.count() > 0
     assert opened(log) == accepted(folder)  # bytes read are those of the accepted files, once each, whatever is asked for
@@ -60,8 +60,8 @@ def test_files_are_opened_once_and_only_accepted_ones(spark, folder, tmp_path):
 
 
 def test_listings_equal_content(spark, folder):
-    paths = {r.doc_id: (r.markdown, r.title, r.error) for r in convert.convert_path(spark, f"{folder}/*").collect()}
-    content = {r.doc_id: (r.markdown, r.title, r.error) for r in convert.convert(files.read_files(spark, f"{folder}/*")).collect()}
+    paths = {r.doc_id: (r.markdown, r.title, r.error) for r in convert.convert_path(spark, f"{folder}/*", mode="fast").collect()}
+    content = {r.doc_id: (r.markdown, r.title, r.error) for r in convert.convert(files.read_files(spark, f"{folder}/*"), mode="fast").collect()}
     empty = paths.pop(f"file:{folder}/empty.txt")  # which Spark's own scan leaves out
     assert paths == content and len(paths) == 10 and empty == ("", None, None)
 
@@ -98,18 +98,18 @@ def test_files_that_go_missing(spark, folder):
     assert listing.count() == 12
     (folder / "a 1.pdf").unlink()
     (folder / "w.docx").unlink()
-    rows = {os.path.basename(r.doc_id): r for r in convert.convert(listing).collect()}
+    rows = {os.path.basename(r.doc_id): r for r in convert.convert(listing, mode="fast").collect()}
     assert rows["a 1.pdf"].error.startswith("FileNotFoundError") and rows["w.docx"].error.startswith("FileNotFoundError") and rows["a 2.pdf"].error is None
     listing.unpersist()
 
 
 def test_stores_that_only_spark_can_open(spark, folder, monkeypatch):
     """Each converter's files are read by their endings."""
-    want = {r.doc_id: r.markdown for r in convert.convert_path(spark, f"{folder}/*").collect() if r.markdown != ""}
+    want = {r.doc_id: r.markdown for r in convert.convert_path(spark, f"{folder}/*", mode="fast").collect() if r.markdown != ""}
     monkeypatch.setattr(files, "reachable", lambda path: False)
     asked, was = [], files.read_files
     monkeypatch.setattr(files, "read_files", lambda *a, endings=(), **k: asked.append(endings) or was(*a, endings=endings, **k))
-    assert {r.doc_id: r.markdown for r in convert.convert_path(spark, f"{folder}/*").collect()} == want
+    assert {r.doc_id: r.markdown for r in convert.convert_path(spark, f"{folder}/*", mode="fast").collect()} == want
     assert set(asked) == {(".pdf",), (".docx",), (".html", ".htm"), (".md", ".txt")}
     assert sorted(os.path.basename(r.path) for r in was(spark, f"{folder}/*", endings=(".pdf",)).select("path").collect()) == ["B.PDF", *[f"a {i}.pdf" for i in range(5)], "bad.pdf"]
 
@@ -119,7 +119,7 @@ def test_converters_that_want_content(spark, folder):
     was = dict(registry.CONVERTERS)
     registry.register(own)
     try:
-        assert {os.path.basename(r.doc_id): r.markdown for r in convert.convert_path(spark, f"{folder}/*").collect()}["big.bin"] == str(1 << 20)
+        assert {os.path.basename(r.doc_id): r.markdown for r in convert.convert_path(spark, f"{folder}/*", mode="fast").collect()}["big.bin"] == str(1 << 20)
     finally:
         registry.CONVERTERS.clear()
         registry.CONVERTERS.update(was)
@@ -152,7 +152,7 @@ def test_stores():
 def test_streams_open_files_in_their_parser_and_leave_no_tables(spark, folder, tmp_path):
     log, base = tmp_path / "opened", spark.conf.get("spark.checkpoint.dir")
     before = {d for d, _, _ in os.walk(base)}
-    query = watch(spark, str(folder), str(tmp_path / "table"), str(tmp_path / "check"), opener=opener(log))
+    query = watch(spark, str(folder), str(tmp_path / "table"), str(tmp_path / "check"), mode="fast", opener=opener(log))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "table")).count() == 10 and opened(log) == [x for x in accepted(folder) if x[1] != "0"]
     left = {d for d, _, _ in os.walk(base)} - before
