@@ -615,10 +615,10 @@ A_NAME = "upper(left(p_name, 1)) || substr(p_name, 2)"
     f"""SELECT p_partkey,
   '## ' || p_size || '. ' || {A_NAME} || {NL} || {NL} || '### ' || p_size || '.' || (p_partkey % 9 + 1) || '. Then ' || p_name AS combined,
   CASE WHEN p_partkey % 3 = 0 THEN '## Abstract' ELSE '### 2.' || p_size || '. ' || {A_NAME} END || {NL} || {NL} || 'the body of it' AS led,
-  CASE WHEN p_partkey % 4 = 0 THEN '#### 3.' || (p_size % 20) || ' 海洋模型' || {NL} || {NL} || '本文' || p_name END AS han FROM part WHERE p_size < 100"""
+  CASE WHEN p_partkey % 4 = 0 THEN '#### 3.' || (p_size % 20) || ' 海洋模型' || {NL} || {NL} || '本文' || p_name END AS han FROM part"""
 )
 def heading_splits(spark, sf_dir):
-    part = views.table(spark, sf_dir, "part").where("p_size < 100")
+    part = views.table(spark, sf_dir, "part")
     name = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substr("p_name", F.lit(2)))
     number = F.col("p_size").cast("string")
     combined = F.concat(number, F.lit(" "), name, F.lit("  "), number, F.lit("."), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit(". Then "), F.col("p_name"))
