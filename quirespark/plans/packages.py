@@ -264,3 +264,21 @@ def table_pdf(doc_id: int, body: str | None) -> bytes:
         out.append(b"%d 0 obj\n<</Type/Page/Parent 2 0 R/Contents %d 0 R>>\nendobj\n" % (n, n + 1))
         out.append(b"%d 0 obj\n<</Length %d/Filter/FlateDecode>>\nstream\n" % (n + 1, len(packed)) + packed + b"\nendstream\nendobj\n")
     return b"%PDF-1.4\n" + b"".join(out) + b"trailer\n<</Root 1 0 R>>\n%%EOF"
+
+
+# --- stand-ins for models: what they are asked is what they answer -------------
+
+
+def layout(content: bytes, page_no: int, width: float, height: float) -> list[tuple]:
+    """The same three regions on every page but the second, where it fails."""
+    if page_no == 2:
+        raise RuntimeError("no model")
+    return [("figure", 0.9, 100, 100, 200, 150), ("isolate_formula", 0.9, 100, 200, 200, 250), ("table", 0.9, 1, 300, 200, 350)]
+
+
+def picture(content: bytes, page_no: int, box: tuple, scale: float) -> bytes:
+    return f"{page_no} {' '.join(map(str, box))} {scale}".encode()
+
+
+def formula(content: bytes, page_no: int, box: tuple, scale: float) -> str:
+    return f"y = {page_no}" if (box, scale) == ((96.0, 196.0, 204.0, 254.0), 4.0) else "wrong"
