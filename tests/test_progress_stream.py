@@ -90,3 +90,33 @@ def test_equal_chunks_are_asked_about_once(spark, tmp_path):
     assert {k: tuple(r) for k, r in again.items()} == {k: tuple(r) for k, r in first.items()}
     other = translated(df.where("doc_id = 5"), provider, lang_out="de", pause=0.0, memory=memory).first()
     assert other.markdown.startswith("de the same")  # another language is another question
+
+
+def test_runs_that_go_silent_are_forgotten(spark, tmp_path):
+    import time
+
+    source, check, seen = str(tmp_path / "in"), str(tmp_path / "check"), []
+
+    def batch(df, number):
+        seen.extend(tuple(r) for r in df.collect())
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+    def until(done):
+        end = time.time() + 90
+        while not done() and time.time() < end:
+            time.sleep(0.5)
+        assert done()
+
+    send(("r", 5, "pages", 9, 10))
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    query = high_water_stream(stream, expiry_ms=2000).writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", check).trigger(processingTime="1 second").start()
+    try:
+        until(lambda: len(seen) == 1)
+        until(lambda: any(op.numRowsTotal == 0 for p in query.recentProgress for op in p.stateOperators))  # its state is gone
+        send(("r", 6, "pages", 1, 10))
+        until(lambda: len(seen) == 2)
+    finally:
+        query.stop()
+    assert [(s, round(p, 3)) for _, s, p in seen] == [(5, 0.725), (6, 0.125)]
