@@ -11,7 +11,7 @@ from quirespark.plans import convert, packages
 from quirespark.providers import Providers
 from quirespark.sources import pdf, pictures, ruling
 
-from .test_conversion import one_page, stream
+from .test_conversion import one_page
 
 
 def grid(xs, ys, without=()):
