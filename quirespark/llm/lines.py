@@ -13,9 +13,10 @@ one of them unchanged, at a place that the two lengths leave open (the multi-mat
 places of Li, Deng, Wang and Feng, 2011). Distinct lines alone enter the index, by hashes
 of length, segment number and segment; lists that hold one line are dropped at once. A
 list's lines are verified against its earliest one. Where a line stays and others of its list
-come before it, small lists are compared pair by pair, and large ones are split again by the
-segments of what their lines don't share (numbered forms by their numbers), so that no list
-of many lines is ever paired with itself.
+come before it, lists are compared pair by pair: small ones as they are, and middling ones by
+sketches of their lines first (parities of hashed characters and pairs of characters, of which an edit
+turns four at most), so that near copies with more edits than allowed give no pairs. Large lists are split again by the
+segments of what their lines don't share (numbered forms by their numbers), until they are no longer large.
 
 The check is a banded bit-parallel automaton: for every number of errors, the diagonals
 that can be reached are the bits of an integer, which shifts and masks move on by one
@@ -46,8 +47,8 @@ GROWING = ((20, 1), (40, 2), (60, 3))
 LOWEST = -(1 << 63)
 #: Rows up to which the hashes of lines that need a check are broadcast (16 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
-#: Lines of a list that are compared pair by pair, and how often a larger list is split.
-SMALL, LEVELS = 32, 16
+#: Lines of a list that are compared pair by pair, by their texts and by sketches first, and how often a larger list is split.
+SMALL, MIDDLE, LEVELS = 32, 8192, 16
 #: Pairs in all, for each entry of a list, up to which lists that are left aren't split any more.
 LEFT = 2
 #: Characters after which a pair's check may end early, and of which its common beginning and end consist.
@@ -86,13 +87,7 @@ def looked_at(threshold: int | tuple, size: Column) -> Column:
     if isinstance(threshold, int):
         return place_table(threshold)
 
-    def edits_of(length: Column) -> Column:
-        out = F
-        for low, high, edits in classes(threshold):
-            out = out.when(inside(length, low, high), edits)
-        return out.otherwise(-1)
-
-    return F.filter(place_table(threshold), lambda p: p["edits"] == edits_of(size - p["longer"]))
+    return F.filter(place_table(threshold), lambda p: p["edits"] == edits_allowed(size - p["longer"], threshold))
 
 
 def cut_at(size: Column, table: Column) -> Column:
@@ -139,14 +134,70 @@ def finer_entries(threshold: int | tuple) -> Column:
     return entries(F.col("rest"), F.length("rest"), own, F.col("list"), F.col("listed"))
 
 
+def sketch(line: Column) -> Column:
+    """Parities of hashed characters (``c``, 64 bits), of pairs side by side (``p0`` to ``p3``) and of pairs with one character between them (``s0`` to ``s3``).
+
+    A replaced character turns two bits of the first, and four of each of the others; one that is put in or left out turns one, three and five: at most.
+    """
+    names = ["c", *[f"{kind}{k}" for kind in "ps" for k in range(4)]]
+
+    def turned(bits: Column, code: Column, when: Column | None = None) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(F.lit(63)))
+        return bits.bitwiseXOR(bit if when is None else F.when(when, bit).otherwise(F.lit(0).cast("long")))
+
+    def coded(x: Column, i: Column) -> Column:
+        own, beside, over = F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)
+        return F.struct(F.hash(own).alias("c"), F.when(beside.isNotNull(), F.hash(own, beside)).alias("p"), F.when(over.isNotNull(), F.hash(over, own)).alias("s"))
+
+    def step(state: Column, code: Column) -> Column:
+        share = lambda kind: F.shiftrightunsigned(code[kind], 6).bitwiseAND(F.lit(3))
+        return F.struct(turned(state["c"], code["c"]).alias("c"), *[turned(state[f"{kind}{k}"], code[kind], share(kind) == k).alias(f"{kind}{k}") for kind in "ps" for k in range(4)])
+
+    none = F.struct(*[F.lit(0).cast("long").alias(name) for name in names])
+    # the characters are cut apart once: a lambda's variable holds them
+    held = F.array(F.split(line, ""))
+    return F.transform(held, lambda x: F.aggregate(F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: coded(x, i)), none, step))[0]
+
+
+def may_be_near(a: str, b: str, edits: int) -> Column:
+    """Whether the sketches of two rows with ``size``, ``most`` and ``sketch`` leave open that their lines are near.
+
+    They do if some numbers of replaced characters and of others, ``edits`` at most together, explain all bits that differ.
+    """
+    apart = F.abs(F.col(f"{a}.size") - F.col(f"{b}.size"))
+    most = F.when(F.col(f"{a}.size") <= F.col(f"{b}.size"), F.col(f"{a}.most")).otherwise(F.col(f"{b}.most"))
+
+    def unlike(*names: str) -> Column:
+        out = F.lit(0)
+        for name in names:
+            out = out + F.bit_count(F.col(f"{a}.sketch.{name}").bitwiseXOR(F.col(f"{b}.sketch.{name}")))
+        return out
+
+    single, pairs, spread = unlike("c"), unlike("p0", "p1", "p2", "p3"), unlike("s0", "s1", "s2", "s3")
+    # with fewer edits in all than allowed, one more replaced character does no harm to the bounds
+    explained = F.lit(False)
+    for others in range(edits + 1):
+        replaced = most - others
+        explained = explained | ((replaced >= 0) & (apart <= others) & (single <= 2 * replaced + others) & (pairs <= 4 * replaced + 3 * others) & (spread <= 4 * replaced + 5 * others))
+    return explained
+
+
+def edits_allowed(size: Column, threshold: int | tuple) -> Column:
+    """The edits that a line of ``size`` characters allows to no shorter ones; -1 without a class."""
+    out = F
+    for low, high, edits in classes(threshold):
+        out = out.when(inside(size, low, high), edits)
+    return out.otherwise(-1)
+
+
 def near(a: Column, b: Column, threshold: int | tuple) -> Column:
     """Whether two strings are within the edits that the shorter one's class allows."""
     if isinstance(threshold, int):
         return within(a, b, threshold)
-    shorter, allowed = F.least(F.length(a), F.length(b)), F
-    for low, high, edits in classes(threshold):
-        allowed = allowed.when(inside(shorter, low, high), edits)
-    return within(a, b, max(e for _, _, e in classes(threshold)), allowed.otherwise(-1))
+    shorter = F.least(F.length(a), F.length(b))
+    most = max(e for _, _, e in classes(threshold))
+    # long lines that are nearly near take the automaton's lambdas milliseconds: Spark's own bounded distance sends them away first
+    return F.when(F.levenshtein(a, b, most) < 0, False).otherwise(within(a, b, most, edits_allowed(shorter, threshold)))
 
 
 def within(a: Column, b: Column, threshold: int, allowed: Column | None = None) -> Column:
@@ -244,7 +295,8 @@ def near_lines(distinct: DataFrame, threshold: int | tuple) -> DataFrame:
 
     In each round a list's lines are verified against its earliest listed one, so that the pairs are no more
     than the lists' entries. What can still matter then is a line that stays and an earlier one beside it. Lists
-    with such lines are compared pair by pair if they have ``SMALL`` lines at most; larger ones are split by
+    with such lines are compared pair by pair if they have ``SMALL`` lines at most, and up to ``MIDDLE`` by
+    sketches, which let hardly any pair through that isn't near; larger ones are split by
     the segments of what their lines don't share, so that numbered forms, say, part by their numbers.
     """
     lists = shared_lists(distinct)
@@ -255,7 +307,17 @@ def near_lines(distinct: DataFrame, threshold: int | tuple) -> DataFrame:
     def later(pairs: DataFrame) -> DataFrame:
         """The later lines of the pairs that are near."""
         a, b = own.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), own.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
-        return pairs.join(a, "a").join(b, "b").where(near(F.col("la"), F.col("lb"), threshold)).select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+        dealt = pairs.repartition(shuffle_partitions(pairs.sparkSession), "a", "b")  # few bytes and long checks: else they may all lie in a task
+        return dealt.join(a, "a").join(b, "b").where(near(F.col("la"), F.col("lb"), threshold)).select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+
+    def met(side: DataFrame, also: Column | None = None) -> DataFrame:
+        """Each two lines of a list whose later one stays, once."""
+        x, y = side.alias("x"), side.where("listed = 1").alias("y")
+        stays = F.when(F.col("x.first") > F.col("y.first"), ~F.col("x.gone")).otherwise(~F.col("y.gone"))
+        each_once = (F.col("x.listed") == 0) | (F.col("x.id") < F.col("y.id"))
+        both = (F.col("x.list") == F.col("y.list")) & (F.col("x.id") != F.col("y.id")) & each_once & stays
+        pairs = x.join(y, both if also is None else both & also)
+        return stored(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
     members = stored(lists.join(own.select("id", "first"), "id"))
     entered = members.count()
@@ -271,15 +333,14 @@ def near_lines(distinct: DataFrame, threshold: int | tuple) -> DataFrame:
         final = F.lit(level == LEVELS)
         if level:
             final = final | (F.length("rest") - F.col("longer") <= F.col("edits"))
-        large = left.where((F.col("n") > SMALL) & ~final)
+        large = left.where((F.col("n") > MIDDLE) & ~final)
+        middle = left.where((F.col("n") > SMALL) & (F.col("n") <= MIDDLE) & ~final)
         work = large.agg(F.sum("n")).first()[0] or 0
         done = work <= LEFT * entered  # few enough for all lists that are left: no more in all than a constant for each entry
-        paired = left if done else left.where((F.col("n") <= SMALL) | final)
-        x, y = paired.alias("x"), paired.where("listed = 1").alias("y")
-        stays = F.when(F.col("x.first") > F.col("y.first"), ~F.col("x.gone")).otherwise(~F.col("y.gone"))
-        each_once = (F.col("x.listed") == 0) | (F.col("x.id") < F.col("y.id"))
-        met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.id") != F.col("y.id")) & each_once & stays)
-        small.append(stored(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()))
+        paired = left.where((F.col("n") <= SMALL) | (F.col("n") > MIDDLE) | final) if done else left.where((F.col("n") <= SMALL) | final)
+        small.append(met(paired))
+        sketches = own.join(middle.select("id").distinct(), "id", "left_semi").select("id", F.length("line").alias("size"), edits_allowed(F.length("line"), threshold).alias("most"), sketch(F.col("line")).alias("sketch"))
+        small.append(met(middle.join(stored(sketches), "id"), may_be_near("x", "y", max(e for _, _, e in classes(threshold)))))
         if done:
             break
         if not level:

@@ -179,6 +179,72 @@ def test_large_lists_are_split_without_loss(spark, threshold):
     assert got == brute(rows, threshold)
 
 
+def test_near_copies_with_too_many_edits_give_few_rows(spark, monkeypatch):
+    """A group of long lines that share most segments and differ by some words: no table grows much beyond the lists' entries."""
+    rng = random.Random(77)
+    base = " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(50))
+    lines = []
+    for _ in range(400):
+        own = base.split(" ")
+        for at in rng.sample(range(len(own)), 2):
+            own[at] += "".join(rng.choices("abcdefghij", k=4))
+        lines.append(" ".join(own))
+    lines += [edited(rng, rng.choice(lines), rng.randrange(1, 6)) for _ in range(100)]
+    rows = [(i, "\n".join(lines[10 * i : 10 * i + 10])) for i in range(50)]
+    made, plain = [], L.stored
+
+    def counted(df):
+        out = plain(df)
+        made.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(L, "stored", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in L.deduplicated(docs, L.GROWING, short=True).collect()}
+    entries = next(n for names, n in made if names == ["id", "list", "listed", "first"])
+    assert max(n for _, n in made) <= 1.5 * entries
+    seen, want = [], {}
+    for key, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            if not any(closer(line, s) for s in seen):
+                kept.append(line)
+            seen.append(line)
+        want[key] = "\n".join(kept)
+    assert got == want and sum(map(len, want.values())) < sum(len(text) for _, text in rows)
+
+
+def closer(a, b, most=3):
+    """Whether two strings are within ``most`` edits, by the places that each number of edits leads to."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    reached = {(0, 0)}
+    for _ in range(most + 1):
+        ends = set()
+        for i, j in reached:
+            while i < len(a) and j < len(b) and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            ends.add((i, j))
+        if (len(a), len(b)) in ends:
+            return True
+        reached = {(i + x, j + y) for i, j in ends for x, y in ((1, 1), (1, 0), (0, 1)) if i + x <= len(a) and j + y <= len(b)}
+    return False
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_sketches_let_near_lines_through(spark, edits):
+    rng = random.Random(30 + edits)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choices("abcdé漢", k=rng.randrange(4, 60)))
+        pairs.append((a, edited(rng, a, rng.randrange(edits + 1))))
+    pairs += [("abcdefghijklmnop", "ponmlkjihgfedcba"), ("abcdefghijklmnop", "qrstuvwxyzABCDEF")]
+    side = lambda c: F.struct(F.length(c).alias("size"), F.lit(edits).alias("most"), L.sketch(F.col(c)).alias("sketch"))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", side("a").alias("x"), side("b").alias("y"))
+    got = df.select(L.may_be_near("x", "y", edits).alias("open")).collect()
+    assert all(r.open for r in got[:-2]) and not any(r.open for r in got[-2:])
+
+
 def test_very_long_documents_and_ties(spark):
     line = "a line of twenty or more characters"
     rows = [(5, "\n".join([line] * 100_000)), (None, f"{line}\nshort"), (7, f"{line} one\nkept line that is long enough"), (7, f"{line} one\nanother kept line that is long"), (7, f"{line} one\nkept line that is long enough"), (8, "z" * 300_000)]
