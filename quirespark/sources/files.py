@@ -43,7 +43,7 @@ PDF = [
 IMAGES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("mime", T.StringType()), T.StructField("content", T.BinaryType())]))
 DOCX = [T.StructField("assets", T.StringType()), T.StructField("html", T.StringType()), T.StructField("title", T.StringType()), T.StructField("images", IMAGES), T.StructField("error", T.StringType())]
 MARKDOWN = "markdown string, title string"
-#: Bytes of content whose rows are handed on together.
+#: Bytes of content whose rows are handed on together, or of what they take up by ``weight``.
 BATCH_BYTES = 4 << 20
 
 
@@ -131,6 +131,11 @@ def failure(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
 
+def weight(row: dict) -> int:
+    """About the bytes of a row's text, blocks and tables in memory, at a low guess: 1 KB for each block."""
+    return len(row.get("html") or "") + 1024 * len(row.get("blocks") or ()) + sum(64 * len(r) for t in row.get("tables") or () for r in t.get("rows") or ())
+
+
 def each_file(docs: DataFrame, fields: list[T.StructField], parse: Callable[[bytes, str | None], Iterable[dict]], failed: dict | None = None, opener: Callable[[str], bytes] = read_path) -> DataFrame:
     """The rows ``(doc_id, *fields)`` that ``parse`` makes of ``(content, assets)``, which is called once for each file.
 
@@ -154,6 +159,7 @@ def each_file(docs: DataFrame, fields: list[T.StructField], parse: Callable[[byt
                 except Exception as e:
                     rows = [{**(failed or {}), "error": failure(e)}]
                 data = None
+                size = max(size, sum(map(weight, rows)))  # packed files grow many times
                 kept.extend({"doc_id": key, "assets": folder, **row} for row in rows)
                 held += size
                 if held >= BATCH_BYTES:
