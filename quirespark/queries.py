@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import files, geometry, headings, text
 from .functions import markdown as md
@@ -535,13 +536,29 @@ def last_output_path(spark, sf_dir):
 # --- files built from the documents, and converted again -------------------
 
 
-def built(spark, sf_dir, make) -> DataFrame:
-    ship(spark)
+#: Documents of a task that builds and parses files, about, and bytes of built files that are handed on together.
+TASK_ROWS, BUILT_BYTES = 2000, 1 << 20
 
-    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        return pa.array([make(i.as_py(), t.as_py()) for i, t in zip(ids, texts, strict=True)], pa.binary())
 
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.arrow_udf(run, "binary")("doc_id", "text").alias("content"))
+def built(spark, sf_dir, make) -> DataFrame:
+    """``(doc_id, content)``: a file of each document. Rows are dealt out first: a table of few row groups would keep few tasks busy for long."""
+    ship(spark)
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.count()  # known from the files' footers
+    parts = max(1, -(-rows // TASK_ROWS), min(3 * spark.sparkContext.defaultParallelism, rows // 50))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.columns
+            first, made, held = 0, [], 0
+            for i in range(batch.num_rows):
+                made.append(make(ids[i].as_py(), texts[i].as_py()))
+                held += len(made[-1])
+                if held >= BUILT_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(made)), pa.array(made, pa.binary())], names=["doc_id", "content"])
+                    first, made, held = i + 1, [], 0
+
+    return docs.repartition(parts, "doc_id").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("content", T.BinaryType())]))
 
 
 @query(

@@ -134,3 +134,39 @@ def test_entry(spark):
 
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries()) and set(queries.QUERIES) <= set(driver.queries())
+
+
+def test_files_are_built_by_several_tasks(spark, sf):
+    """A table of one row group is one task's: its rows are dealt out, each once, and handed on in small batches."""
+    from quirespark import queries
+    from quirespark.plans import packages
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    made = queries.built(spark, sf, packages.pdf)
+    assert docs.rdd.getNumPartitions() < made.rdd.getNumPartitions()
+    want = {r.doc_id: packages.pdf(r.doc_id, r.text) for r in docs.collect()}
+    rows = made.collect()
+    assert len(rows) == len(want) and {r.doc_id: bytes(r.content) for r in rows} == want
+
+
+def test_large_pages_are_handed_on_in_parts():
+    from quirespark.sources import files
+
+    row = {"blocks": [{}] * 12, "tables": [{"rows": [["a", "b", "c"]] * 4}]}
+    assert files.weight(row) == 12 * 1024 + 4 * 3 * 64 and files.weight({"error": "e"}) == 0 and files.weight({"html": "abc"}) == 3
+
+
+def test_plain_values_equal_other_ones():
+    """Numbers, operators, hex and literal strings that are read at once are what they are otherwise."""
+    from quirespark.sources import pdf
+
+    data = b"1 -2.5 +3 .5 4. --5 1.2.3 T* ' \" true null BT[1(a)2]<</A 1>> <48656C> <4 8 6> <abc> (a\\)b) (a(b)c) (plain) % note\n/N#41 f*q 7"
+
+    def every(references):
+        reader, out = pdf.Reader(data, references=references), []
+        while (found := reader.value()) is not pdf.END:
+            out.append((type(found), found))
+        return out
+
+    assert every(True) == every(False)
+    assert [v for _, v in every(False)][:5] == [1, -2.5, 3, 0.5, 4.0] and (bytes, b"plain") in every(False) and (bytes, b"\xab\xc0") in every(False)
