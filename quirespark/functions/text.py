@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it: a lambda's own column would be worked out each time."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
@@ -83,12 +90,13 @@ def pipe_table(rows: Column) -> Column:
     """Rows of nullable cells as a Markdown table: blank rows go, short ones are filled, the first is the head."""
     cells = F.transform(rows, lambda row: F.transform(row, table_cell))
     full = F.filter(cells, lambda row: F.exists(row, lambda c: c != ""))
-    width = F.array_max(F.transform(full, F.size))
-    even = F.transform(full, lambda row: F.concat(row, F.array_repeat(F.lit(""), width - F.size(row))))
-    drawn = F.transform(even, lambda row: F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    lines = F.concat(F.slice(drawn, 1, 1), F.array(rule), F.slice(drawn, F.lit(2), F.greatest(F.size(drawn) - 1, F.lit(0))))
-    return F.when(F.size(full) > 0, F.array_join(lines, "\n")).otherwise("")
+
+    def shown(full: Column, width: Column) -> Column:
+        drawn = F.transform(full, lambda row: F.concat(F.lit("| "), F.array_join(F.concat(row, F.array_repeat(F.lit(""), width - F.size(row))), " | "), F.lit(" |")))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        return bound(drawn, lambda d: F.array_join(F.concat(F.slice(d, 1, 1), F.array(rule), F.slice(d, F.lit(2), F.greatest(F.size(d) - 1, F.lit(0)))), "\n"))
+
+    return bound(full, lambda f: F.when(F.size(f) > 0, bound(F.array_max(F.transform(f, F.size)), lambda width: shown(f, width))).otherwise(""))
 
 
 def style_line(style: Column, level: Column) -> Column:

@@ -160,3 +160,11 @@ def test_progress(spark):
 
 def test_space_of_every_kind(spark):
     assert one(spark, text.squeeze(F.lit("  a　b c\x1cd\x85e "))) == "a b c d e"
+
+
+def test_a_table_cleans_its_cells_once(spark):
+    """What one row is drawn from must not be worked out anew for each row: that is quadratic in a table's rows."""
+    drawn = spark.createDataFrame([([["h", "i"]] + [[str(i), None] for i in range(300)],)], "rows array<array<string>>").select(text.pipe_table(F.col("rows")).alias("t"))
+    assert drawn.first().t.split("\n") == ["| h | i |", "| --- | --- |", *[f"| {i} |  |" for i in range(300)]]
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
