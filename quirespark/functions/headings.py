@@ -20,6 +20,8 @@ TITLES = [
     "observations", "results", "discussion", "results and discussion", "conclusion", "conclusions", "references",
     "acknowledgements", "acknowledgments", "appendix",
 ]
+#: What has the form of a title at all (letters that are ASCII in lower case): the small letters of other texts cost more than all patterns.
+TITLE_FORM = r"^[A-Za-z\x{212A} ]{1,40}+[.:]*\z"
 # Words that begin a body text after a heading.
 STARTERS = "The This These We In For To A An As Based Here Our Several When Where With".split()
 # Words that begin a Chinese body text after a numbered heading.
@@ -57,10 +59,10 @@ HAN_PREFIX = rf"^(?dU)((?:\d{{1,2}}(?:\.\d{{1,2}})+)\s+.{{2,24}}?)(\s+(?:{HAN_ST
 
 def rejected(text: Column, width: Column, page_width: Column) -> Column:
     """Whether a line belongs to a table of contents or a table."""
-    out = (width >= page_width * 0.68) & text.rlike(PAGE_NUMBER_ENDS)
+    out = (F.length(text) > 90) | ((width >= page_width * 0.68) & text.rlike(PAGE_NUMBER_ENDS))  # most lines are long: no pattern is tried on them
     for pattern in REJECTED:
         out = out | text.rlike(pattern)
-    return out | (F.length(text) > 90) | (text.rlike(LISTED_SENTENCE) & (F.length(text) > 36))
+    return out | (text.rlike(LISTED_SENTENCE) & (F.length(text) > 36))
 
 
 def table_entry(text: Column) -> Column:
@@ -68,8 +70,8 @@ def table_entry(text: Column) -> Column:
 
 
 def academic_title(text: Column) -> Column:
-    bare = F.lower(strip(F.regexp_replace(text, NUMBER, "")))
-    return F.regexp_replace(bare, r"[.:]+\z", "").isin(*TITLES)
+    bare = strip(F.regexp_replace(text, NUMBER, ""))
+    return bare.rlike(TITLE_FORM) & F.regexp_replace(F.lower(bare), r"[.:]+\z", "").isin(*TITLES)
 
 
 def body_continues(text: Column) -> Column:
@@ -149,9 +151,9 @@ def han_prefix(text: Column, level: Column) -> Column:
     return F.when(rest != "", joined(level, heading, rest))
 
 
-def heading_markdown(raw: Column, first_span: Column, font_size: Column, bold: Column, italic: Column, x0: Column, x1: Column, width: Column, body_size: Column, page_width: Column) -> Column:
-    """A block's text as Markdown: a heading, a heading and its body, or the text alone."""
-    text = squeeze(raw)
+def heading_markdown(raw: Column, first_span: Column, font_size: Column, bold: Column, italic: Column, x0: Column, x1: Column, width: Column, body_size: Column, page_width: Column, squeezed: bool = False) -> Column:
+    """A block's text as Markdown: a heading, a heading and its body, or the text alone. Text that is ``squeezed`` already is taken as it is."""
+    text = raw if squeezed else squeeze(raw)
     level = heading_level(text, font_size, bold, italic, x0, width, body_size, page_width)
     prefix = numbered_prefix(text)
     plain = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)

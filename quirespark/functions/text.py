@@ -16,6 +16,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def visible(text: Column) -> Column:
+    """Whether anything is left of a text when it is squeezed: known at its first character that is no white space."""
+    return text.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))

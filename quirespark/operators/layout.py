@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, is_margin, overlap_ratio
-from ..functions.text import squeeze
+from ..functions.text import squeeze, visible
+from ..scratch import merged
 
 PAGE = ["doc_id", "page_no"]
 RICH = ("figure", "table", "isolate_formula")
@@ -25,8 +26,8 @@ def block_stats(blocks: DataFrame) -> DataFrame:
     any_flag = lambda bit: F.exists(spans, lambda s: s["flags"].bitwiseAND(bit) != 0)
     kept = blocks.where(F.col("type") == 0) if "type" in blocks.columns else blocks
     return (
-        kept.withColumn("text", text)
-        .where("text <> ''")
+        kept.where(F.exists(spans, lambda s: visible(s["text"])))  # before the text is put together: a filter on it would do so again
+        .withColumn("text", text)
         .withColumn("font_size", F.when(n > 0, middle).otherwise(0.0))
         .withColumn("max_font_size", F.coalesce(F.array_max(sizes), F.lit(0.0)))
         .withColumn("is_bold", fonts.rlike("(?iu)bold|hei|simhei|黑体") | any_flag(16))
@@ -49,14 +50,14 @@ def outside_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """Blocks that no region covers: over 0.08 of a block for formulas, over 0.35 for the others."""
     r = regions.select(*[F.col(c).alias(f"r_{c}") for c in (*PAGE, "label", "x0", "y0", "x1", "y1")])
     covered = overlap_ratio(box(), box("r_")) > F.when(F.col("r_label") == "isolate_formula", 0.08).otherwise(0.35)
-    return blocks.join(r, (F.col("doc_id") == F.col("r_doc_id")) & (F.col("page_no") == F.col("r_page_no")) & covered, "left_anti")
+    return blocks.join(merged(r), (F.col("doc_id") == F.col("r_doc_id")) & (F.col("page_no") == F.col("r_page_no")) & covered, "left_anti")
 
 
 def admitted_tables(tables: DataFrame, regions: DataFrame) -> DataFrame:
     """Found tables that no rich region covers by more than 0.6; they come with confidence 1."""
     r = regions.where(F.col("label").isin(*RICH)).select(*[F.col(c).alias(f"r_{c}") for c in (*PAGE, "x0", "y0", "x1", "y1")])
     same = (F.col("doc_id") == F.col("r_doc_id")) & (F.col("page_no") == F.col("r_page_no"))
-    return tables.join(r, same & (overlap_ratio(box(), box("r_")) > 0.6), "left_anti").withColumn("confidence", F.lit(1.0))
+    return tables.join(merged(r), same & (overlap_ratio(box(), box("r_")) > 0.6), "left_anti").withColumn("confidence", F.lit(1.0))
 
 
 def region_lists(regions: DataFrame) -> DataFrame:

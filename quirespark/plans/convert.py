@@ -19,7 +19,7 @@ from ..operators import layout as L
 from ..providers import Providers, ready, scaled
 from ..registry import CONVERTERS, Converter, register, routed
 from ..schemas import ASSETS
-from ..scratch import stored
+from ..scratch import merged, stored
 from ..shipping import ship
 from ..sources import files, pdf, pictures
 from . import pages
@@ -71,7 +71,7 @@ def rendered(docs: DataFrame, regions: DataFrame, sizes: DataFrame, providers: P
         padded = F.coalesce(*[F.when(r["label"] == label, render_box(box, full, padding)) for label, (padding, _) in RENDERED.items()])
         return F.struct(r["region_no"].cast("int").alias("region_no"), r["label"].alias("label"), padded.alias("box"))
 
-    each = regions.join(sizes.select(*L.PAGE, "page_width", "page_height"), L.PAGE).select(*L.PAGE, F.transform("regions", boxed).alias("regions"))
+    each = regions.join(merged(sizes.select(*L.PAGE, "page_width", "page_height")), L.PAGE).select(*L.PAGE, F.transform("regions", boxed).alias("regions"))
     listed = each.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "regions")).alias("pages"))
     key, listing = docs.schema["doc_id"].dataType, files.is_listing(docs)
     render, formula, cache = providers.render, providers.formula, providers.cache
@@ -106,9 +106,9 @@ def rendered(docs: DataFrame, regions: DataFrame, sizes: DataFrame, providers: P
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "page_no", "region_no", "label", "png", "latex"])
 
     if listing:
-        both = files.balanced(docs.select("doc_id", "path", "length").join(listed, "doc_id")).select("doc_id", "path", "pages")
+        both = files.balanced(docs.select("doc_id", "path", "length").join(merged(listed), "doc_id")).select("doc_id", "path", "pages")
     else:
-        both = docs.select("doc_id", F.col("content").cast("binary").alias("content")).join(listed, "doc_id")
+        both = docs.select("doc_id", F.col("content").cast("binary").alias("content")).join(merged(listed), "doc_id")
     found = both.mapInArrow(run, f"doc_id {key.simpleString()}, page_no int, region_no int, label string, png binary, latex string")
     return found.withColumn("latex", cleaned_latex(F.col("latex")))
 
@@ -134,7 +134,7 @@ def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable =
     events = whole.select("doc_id", F.lit("pages").alias("stage"), F.col("page_no").alias("current"), F.col("pages").alias("total"))
     errors = failed.select("doc_id", F.when(F.lit(mode == "academic"), F.concat(F.lit(pages.FAILED), F.col("error"), F.lit(" -->\n\n"))).alias("markdown"), "error")
     if mode == "fast":
-        done = whole.select("doc_id").distinct().join(pages.fast(known_blocks(whole), width, height), "doc_id", "left")
+        done = whole.select("doc_id").distinct().join(merged(pages.fast(known_blocks(whole), width, height, squeezed=True)), "doc_id", "left")
         return Conversion(done.withColumn("error", none()).unionByName(errors.withColumn("markdown", none())), None, events)
     lists = made = results = None
     linked = "assets" in docs.columns  # a picture needs a folder
@@ -153,12 +153,12 @@ def pdf_conversion(docs: DataFrame, mode: str = "academic", provider: Callable =
     links = F.col("assets")  # without a picture there is no link, and the text stays
     every = whole.select(*L.PAGE, "page_width", "note", "assets")
     spans = F.flatten(F.transform("lines", lambda line: line["spans"]))
-    full = pages.academic(known_blocks(whole), F.transform(spans, lambda s: s["size"]), lists, width, height, links, results, every)
+    full = pages.academic(known_blocks(whole), F.transform(spans, lambda s: s["size"]), lists, width, height, links, results, every, squeezed=True)
     drawn = None
     if made is not None:
         folder = whole.select(*L.PAGE, "assets")
         name = L.asset_name(F.col("page_no"), F.col("region_no"), F.col("label"))
-        drawn = made.where("png is not null").join(folder, L.PAGE).where("assets is not null").select("doc_id", name.alias("rel_path"), F.when(F.hex(F.substring("png", 1, 2)) == "FFD8", "image/jpeg").otherwise("image/png").alias("mime"), F.col("png").alias("content"))
+        drawn = made.where("png is not null").join(merged(folder), L.PAGE).where("assets is not null").select("doc_id", name.alias("rel_path"), F.when(F.hex(F.substring("png", 1, 2)) == "FFD8", "image/jpeg").otherwise("image/png").alias("mime"), F.col("png").alias("content"))
     return Conversion(full.withColumn("error", none()).unionByName(errors), drawn, events)
 
 

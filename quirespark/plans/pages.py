@@ -9,15 +9,16 @@ from ..functions.geometry import is_margin, overlap_ratio
 from ..functions.headings import heading_markdown
 from ..functions.text import squeeze
 from ..operators import layout as L
+from ..scratch import merged
 
 MARK = "<!-- page %d -->"
 FAILED = "<!-- academic mode failed: "
 SKIPPED = "<!-- layout detection skipped on page "
 
 
-def fast(blocks: DataFrame, width: Column, height: Column) -> DataFrame:
-    """``(doc_id, markdown)``: text blocks in reading order; pages without text are left out."""
-    kept = L.without_margins(blocks.withColumn("text", squeeze(F.col("text"))).where("text <> ''"), height)
+def fast(blocks: DataFrame, width: Column, height: Column, squeezed: bool = False) -> DataFrame:
+    """``(doc_id, markdown)``: text blocks in reading order; pages without text are left out. Blocks that are ``squeezed`` have texts of that form, none blank."""
+    kept = L.without_margins(blocks if squeezed else blocks.withColumn("text", squeeze(F.col("text"))).where("text <> ''"), height)
     pages = L.page_text(kept, width).where(F.trim("text") != "")
     return joined(pages.withColumn("text", F.concat(F.format_string(MARK, "page_no"), F.lit("\n\n"), F.trim("text"))))
 
@@ -27,12 +28,12 @@ def joined(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda p: p["text"]), "\n\n").alias("markdown"))
 
 
-def page_lists(blocks: DataFrame, sizes: Column, width: Column, height: Column) -> DataFrame:
+def page_lists(blocks: DataFrame, sizes: Column, width: Column, height: Column, squeezed: bool = False) -> DataFrame:
     """A row for each page: its items as an array, its width, and the median size of its body text.
 
     Everything up to the document then runs on pages that lie together: this is the one exchange of the blocks.
     """
-    text = squeeze(F.col("text"))
+    text = F.col("text") if squeezed else squeeze(F.col("text"))
     counts = (F.length("text") >= 12) & ~is_margin(F.lit(""), F.col("y0"), F.col("y1"), height)
     stays = (text != "") & ~is_margin(text, F.col("y0"), F.col("y1"), height)
     style = ("first_span", "font_size", "is_bold", "is_italic")
@@ -44,7 +45,7 @@ def page_lists(blocks: DataFrame, sizes: Column, width: Column, height: Column)
     return rows.withColumn("known", known).withColumn("body_size", F.when(n > 0, middle).otherwise(L.BODY_SIZE)).drop("known")
 
 
-def academic(blocks: DataFrame, sizes: Column, regions: DataFrame | None, width: Column, height: Column, assets: Column, results: DataFrame | None = None, every: DataFrame | None = None) -> DataFrame:
+def academic(blocks: DataFrame, sizes: Column, regions: DataFrame | None, width: Column, height: Column, assets: Column, results: DataFrame | None = None, every: DataFrame | None = None, squeezed: bool = False) -> DataFrame:
     """``(doc_id, markdown)``: headings, regions in place of the text they cover, a mark for every page.
 
     ``blocks`` has ``font_size, is_bold, is_italic, first_span``; ``sizes`` are the sizes of a block's spans. ``regions``
@@ -52,17 +53,17 @@ def academic(blocks: DataFrame, sizes: Column, regions: DataFrame | None, width:
     that were read, and pictures that were drawn; others have no link then. ``every`` has all pages
     ``(doc_id, page_no, page_width, note)``, those without a block too; without it a page is known by its blocks.
     """
-    pages = page_lists(blocks, sizes, width, height)
+    pages = page_lists(blocks, sizes, width, height, squeezed)
     if every is not None:
-        pages = every.join(pages.drop("page_width"), L.PAGE, "left").withColumn("body_size", F.coalesce("body_size", F.lit(L.BODY_SIZE)))
+        pages = every.join(merged(pages.drop("page_width")), L.PAGE, "left").withColumn("body_size", F.coalesce("body_size", F.lit(L.BODY_SIZE)))
     else:
         pages = pages.withColumn("note", F.lit(None).cast("string"))
     plain = F.col("items")
     if regions is not None:
         region_fields = regions.schema["regions"].dataType.elementType.names
-        pages = pages.join(regions, L.PAGE, "left")
+        pages = pages.join(merged(regions), L.PAGE, "left")
         if results is not None:
-            pages = pages.join(results, L.PAGE, "left")
+            pages = pages.join(merged(results), L.PAGE, "left")
 
         def as_item(r: Column) -> Column:
             latex = F.try_element_at(F.col("latex"), r["region_no"]) if results is not None else F.lit(None).cast("string")
@@ -94,7 +95,7 @@ def academic(blocks: DataFrame, sizes: Column, regions: DataFrame | None, width:
     kept = bare(F.filter(plain, lambda i: i["stays"]), False)
     every_item = F.coalesce(kept, F.slice(kept, 1, 0)) if regions is None else F.concat(F.coalesce(kept, F.filter(bare(F.col("shown"), True), lambda _: F.lit(False))), bare(F.col("shown"), True))
     items = pages.select(*L.PAGE, "page_width", "note", "body_size", F.explode_outer(every_item).alias("i")).select(*L.PAGE, "page_width", "note", "body_size", "i.*")
-    headed = heading_markdown(*[F.col(c) for c in ("text", "first_span", "font_size", "is_bold", "is_italic", "x0", "x1", "width", "body_size")], F.col("page_width"))
+    headed = heading_markdown(*[F.col(c) for c in ("text", "first_span", "font_size", "is_bold", "is_italic", "x0", "x1", "width", "body_size")], F.col("page_width"), squeezed=True)
     done = items.withColumn("text", F.when(F.col("is_region"), F.col("text")).otherwise(headed))
     note = F.concat(F.lit(SKIPPED), F.col("page_no").cast("string"), F.lit(": "), F.col("note"), F.lit(" -->"))
     pages = L.page_text(done, F.col("page_width"), F.first("note").alias("note"))
@@ -104,7 +105,7 @@ def academic(blocks: DataFrame, sizes: Column, regions: DataFrame | None, width:
 
 def with_fallback(academic_docs: DataFrame, fast_docs: DataFrame) -> DataFrame:
     """Per document: the fast text where the academic one failed (``error``) or is blank."""
-    both = academic_docs.join(fast_docs.withColumnRenamed("markdown", "fast"), "doc_id", "left")
+    both = academic_docs.join(merged(fast_docs.withColumnRenamed("markdown", "fast")), "doc_id", "left")
     failed = F.col("error").isNotNull()
     note = F.concat(F.lit(FAILED), F.col("error"), F.lit(" -->\n\n"), F.coalesce("fast", F.lit("")))
     return both.select("doc_id", F.when(failed, note).when(F.trim(F.coalesce("markdown", F.lit(""))) == "", F.col("fast")).otherwise(F.col("markdown")).alias("markdown"), "error")

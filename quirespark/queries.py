@@ -17,6 +17,7 @@ from .operators import styles
 from .operators.blocks import joined_blocks, markdown_blocks
 from .plans import convert, packages, pages, translate, views
 from .providers import Providers
+from .scratch import merged
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -630,7 +631,7 @@ def pdf_regions(spark, sf_dir):
         count(r"!\[(?:figure|table) page \d+\]\(x/page-\d{4}-0[13]-(?:figure|table)\.png\)").alias("links"),
         count(r"<!-- layout detection skipped on page 2: RuntimeError: no model -->").alias("skipped"),
     )
-    return texts.join(pictures, "doc_id").select("doc_id", "pictures", "formulas", "links", "skipped")
+    return texts.join(merged(pictures), "doc_id").select("doc_id", "pictures", "formulas", "links", "skipped")
 
 
 @query(

@@ -69,6 +69,15 @@ def scratch(spark: SparkSession):
             deleted(spark, own)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts and merges, on executors alone.
+
+    Spark takes a stored table for as large as its files: lists that are alike on every page have a hundredth of their size there, and would be
+    gathered whole by the driver, to be broadcast.
+    """
+    return df.hint("merge")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses nothing.
 

@@ -168,3 +168,13 @@ def test_a_table_cleans_its_cells_once(spark):
     assert drawn.first().t.split("\n") == ["| h | i |", "| --- | --- |", *[f"| {i} |  |" for i in range(300)]]
     plan = drawn._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+@pytest.mark.parametrize("words, title", [("Case Study.", True), ("2 BacKground:", True), ("methods..", True), ("Methods, new", False), ("abstract" * 9, False), ("Ünlü", False)])
+def test_titles_by_their_form(spark, words, title):
+    assert one(spark, headings.academic_title(F.lit(words))) is title
+
+
+@pytest.mark.parametrize("words", ["", " \t\n", "  \x1c", "　x", " a ", "."])
+def test_what_is_visible_is_left(spark, words):
+    assert one(spark, text.visible(F.lit(words))) == bool(one(spark, text.squeeze(F.lit(words))))

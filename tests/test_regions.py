@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quirespark import queries
 from quirespark.plans import convert, packages
 from quirespark.providers import Providers
 from quirespark.sources import pdf, pictures, ruling
@@ -175,3 +176,11 @@ def test_figures_get_their_pixels_without_a_provider(spark):
     (asset,) = made.assets.collect()
     assert asset.rel_path == "page-0001-01-figure.png" and asset.mime == "image/png" and decoded(asset.content).shape == (208, 408, 3)
     assert made.documents.first().markdown == "<!-- page 1 -->\n\n![figure page 1](x_assets/page-0001-01-figure.png)"
+
+
+def test_pages_join_on_executors(spark, sf):
+    """Stored lists of regions take up a hundredth of their size in files: no plan may count on that and send them through the driver."""
+    made = queries.pdf_regions(spark, sf)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 5
+    assert made.count() == 200
