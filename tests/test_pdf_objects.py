@@ -210,3 +210,21 @@ def test_cells_hold_the_spans_within():
     table = ruling.Table(0.0, 0.0, 100.0, 2000.0, [[(0.0, float(y), 50.0, y + 20.0), (50.0, float(y), 100.0, y + 20.0)] for y in ys])
     spans = [pdf.Span(t, "F", 6.0, 0, x, x + 4.0, y + d) for y in reversed(ys) for t, x, d in (("c", 60.0, 18.0), ("b", 70.0, 10.2), ("a", 60.0, 9.8), (f"{y}", 2.0, 12.0))]
     assert ruling.texts(table, spans) == [[f"{y}", "a b c"] for y in ys]
+
+
+def test_lists_of_characters_are_read_as_wholes(monkeypatch):
+    """The pairs of a ToUnicode map take no step each, also with surrogates, and say the same behind a note."""
+    pairs = b"<0001> <0041>\n<0002> <D835DCB3>\n<0003> <00660069>\n" + b"".join(b"<%04X> <%04X>\n" % (k, 0x4E00 + k) for k in range(4, 90))
+    plain = b"begincmap 89 beginbfchar\n" + pairs + b"endbfchar endcmap "
+    seen, real = [], pdf.Reader.value
+    monkeypatch.setattr(pdf.Reader, "value", lambda self: seen.append(1) or real(self))
+
+    def codes(data):
+        font = pdf.Font.__new__(pdf.Font)
+        font.codes, font.lengths = {}, []
+        font.read_map(data)
+        return font.codes
+
+    found, steps = codes(plain), len(seen)
+    assert found == codes(plain.replace(b"<0001>", b"% a note\n<0001>")) and len(found) == 89 and found[b"\0\2"] == "𝒳" and found[b"\0\3"] == "fi"
+    assert steps < 10
