@@ -89,3 +89,22 @@ def test_type1_encodings():
     clear = b"%!PS\n/Encoding StandardEncoding def\ncurrentfile eexec"
     assert fonts.type1_codes(clear)[0xE1] == "Æ"
     assert fonts.type1_codes(b"/Encoding 256 array\ndup 8#101 /alpha put dup 16#42/beta put dup 3 /.notdef put eexec dup 5 /gamma put") == {65: "α", 66: "β"}
+
+
+def test_strings_are_read_as_wholes(monkeypatch):
+    """A string of a predefined map, and the codes of a two-byte font, take no step for each code; damaged ones fall back to that."""
+    body = "一二三 words of a line, " * 40
+    split, ones = [], []
+    real_split, real_one = fonts.split_codes, pdf.Font.one
+    monkeypatch.setattr(fonts, "split_codes", lambda data, codec: split.append(len(data)) or real_split(data, codec))
+    monkeypatch.setattr(pdf.Font, "one", lambda self, code: ones.append(code) or real_one(self, code))
+    for doc in range(5):  # all kinds of fonts come first by turns
+        assert ["".join(s["text"] for s in line["spans"]) for b in pdf.read(packages.font_pdf(doc, body))[1] for line in b[4]] == [body]
+    assert not split and len(ones) <= 3 * len(set(body))
+    ones.clear()
+    assert pdf.read(packages.packed_pdf(1, body))[1] and len(ones) == len(set(body))
+    for codec, data in (("utf-16-be", b"\0a\xd8"), ("gb18030", b"a\xff"), ("big5hkscs", b"\x88\x62"), ("utf-8", b"a")):
+        assert fonts.whole(data, codec) is None and real_split(data, codec)
+    for codec in fonts.ONE_EACH:
+        line = "abc 一二 x".encode(codec)
+        assert fonts.whole(line, codec) == "".join(c for _, c in real_split(line, codec)) and len(fonts.whole(line, codec)) == len(real_split(line, codec))
